@@ -41,6 +41,15 @@ VIEWS: dict[str, str] = {
       / count(*) OVER (PARTITION BY date, mom>0) AS weight FROM wmom WHERE mom IS NOT NULL""",
 }
 
+for _n, _src, _key in (("reg", "idx", "series"), ("mreg", "(SELECT *, 0 AS series FROM mkt)", "series")):
+    VIEWS[f"{_n}0"] = f"""SELECT *, CASE WHEN count(ret) OVER w=20 THEN stddev_samp(ret) OVER w END AS vol FROM {_src}
+      WINDOW w AS (PARTITION BY {_key} ORDER BY date ROWS 19 PRECEDING)"""
+    VIEWS[f"{_n}1"] = f"""SELECT a.*, CASE WHEN vol>q2 THEN 2 WHEN vol>q1 THEN 1 ELSE 0 END AS st FROM {_n}0 a JOIN
+      (SELECT series, quantile_cont(vol,1.0::DOUBLE/3) AS q1, quantile_cont(vol,2.0::DOUBLE/3) AS q2 FROM {_n}0 GROUP BY series) q USING (series)"""
+    VIEWS[f"{_n}2"] = f"""SELECT * EXCLUDE (st), avg((st=0)::INT) OVER c AS p0, avg((st=1)::INT) OVER c AS p1, avg((st=2)::INT) OVER c AS p2
+      FROM {_n}1 WINDOW c AS (PARTITION BY series, vol IS NOT NULL ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""
+    VIEWS[_n] = f"SELECT *, CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END AS regime FROM {_n}2"
+
 _LINES = """sum(e) AS revenue, sum(e*(1-d)) AS gross_profit, sum(e*(0.06::DOUBLE-d)) AS operating_income,
       sum(e*(0.05::DOUBLE-d)*(1-t)) AS net_income, sum(e*(1+t)*2) AS total_assets, sum(e*(0.5::DOUBLE+d)) AS total_equity,
       sum(e*(0.4::DOUBLE+t)) AS current_assets, sum(e*(0.2::DOUBLE+d)) AS current_liabilities, sum(e*t) AS inventory,

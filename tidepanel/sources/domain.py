@@ -144,3 +144,15 @@ def weights(spark, sf_dir) -> DataFrame:
     n = m.groupBy("date", "side").agg(F.count(F.lit(1)).alias("n"))
     w = F.when(F.col("side") > 0, 1.3 / F.col("n")).otherwise(-0.3 / F.col("n"))
     return m.join(n, ["date", "side"]).select("symbol", "date", w.alias("weight"))
+
+
+def regimes(spark, sf_dir) -> DataFrame:
+    """Volatility regimes of each sector index: index columns plus vol, probs, regime."""
+    from tidepanel.operators.regimes import threshold
+    return threshold(index(spark, sf_dir))
+
+
+def market_regimes(spark, sf_dir) -> DataFrame:
+    """Regimes of the market index: (date, close, volume, ret, vol, probs, regime)."""
+    from tidepanel.operators.regimes import threshold
+    return threshold(market(spark, sf_dir)).drop("series")
