@@ -26,7 +26,11 @@ def expanding(key=KEY, time=TIME) -> WindowSpec:
 
 
 def ahead(key=KEY, time=TIME) -> WindowSpec:
-    return ordered(key, time).rowsBetween(0, Window.unboundedFollowing)
+    """Current row and everything later, written as a running frame over descending time:
+    a frame that ends in UNBOUNDED FOLLOWING would be re-evaluated from scratch per row.
+    The nearest later row is the *last* one of this frame."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return Window.partitionBy(*keys).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def whole(key=KEY) -> WindowSpec:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidepanel.core.ordering import grouped_quantiles
 from tidepanel.core.frames import ahead, div, expanding, no_inf, ordered
 
 PRICES = ("open", "high", "low", "close")
@@ -33,7 +34,7 @@ def ffill(df: DataFrame, cols, max_gap: int | None = None, key="symbol", time="d
 
 def bfill(df: DataFrame, cols, key="symbol", time="date") -> DataFrame:
     w = ahead(key, time)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in cols})
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
 def interpolate(df: DataFrame, cols, limit: int = 10, key="symbol", time="date") -> DataFrame:
@@ -44,7 +45,7 @@ def interpolate(df: DataFrame, cols, limit: int = 10, key="symbol", time="date")
     for c in cols:
         known = F.when(F.col(c).isNotNull(), F.col("_i"))
         i0, i1 = F.max(known).over(back), F.min(known).over(fwd)
-        v0, v1 = F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(fwd)
+        v0, v1 = F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(fwd)
         i = F.col("_i")
         near = (i - i0 <= limit) | (i1 - i <= limit)
         out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(near & i0.isNotNull() & i1.isNotNull(),
@@ -69,13 +70,13 @@ def impute_neighbours(df: DataFrame, target: str, features, bins: int = 8) -> Da
     neighbours meet in a partial aggregate instead of a pairwise distance. Empty cells use
     the table mean. Cut points and the table mean are a handful of scalars.
     """
-    at = [F.percentile_approx(f, F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10000).alias(f) for f in features]
-    row = df.agg(*at, F.avg(target).alias("_all")).first()
-    cells = [_cell(f, row[f]) for f in features]
+    cuts = {f: grouped_quantiles(df, [], f, {f"q{i}": i / bins for i in range(1, bins)}).first() for f in features}
+    overall = df.agg(F.avg(target)).first()[0]
+    cells = [_cell(f, [cuts[f][f"q{i}"] for i in range(1, bins)]) for f in features]
     d = df.withColumn("_cell", F.struct(*[c.alias(f"c{n}") for n, c in enumerate(cells)]))
     mean = d.groupBy("_cell").agg(F.avg(target).alias("_m"))
     d = d.join(mean, "_cell", "left")
-    return d.withColumn(target, F.coalesce(F.col(target), F.col("_m"), F.lit(row["_all"]))).drop("_cell", "_m")
+    return d.withColumn(target, F.coalesce(F.col(target), F.col("_m"), F.lit(overall))).drop("_cell", "_m")
 
 
 def _cell(feature: str, bounds) -> Column:

@@ -15,6 +15,12 @@ VIEWS: dict[str, str] = {
       FROM (SELECT symbol, date AS date, open, high, low, close, volume FROM bars) GROUP BY symbol, date_trunc('week', date)""",
     "rets": """SELECT *, close/nullif(lag(close) OVER s,0)-1 AS ret, ln(close/nullif(lag(close) OVER s,0)) AS log_ret
       FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)""",
+    "cal": """SELECT g.symbol, g.date, open, high, low, close, volume FROM
+      (SELECT symbol, date FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS date
+        FROM (SELECT min(date) AS lo, max(date) AS hi FROM bars)) WHERE isodow(date)<6) g
+      LEFT JOIN bars b ON b.symbol=g.symbol AND b.date=g.date""",
+    "pord": """SELECT l_orderkey AS order_id, l_suppkey AS symbol, o_orderdate AS order_time, sum(l_quantity) AS quantity
+      FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY ALL""",
     "sectors": """SELECT s_suppkey AS symbol, r_name AS sector, n_name AS industry FROM supplier
       JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey""",
     "idx0": """SELECT sector AS series, ts AS date, sum(price*quantity)/sum(quantity) AS close, sum(quantity) AS volume

@@ -62,6 +62,20 @@ def rets(spark, sf_dir) -> DataFrame:
     return with_returns(bars(spark, sf_dir))
 
 
+def calendar_bars(spark, sf_dir) -> DataFrame:
+    """Bars on every weekday of the table's range, with null rows where a symbol did not trade."""
+    from tidepanel.operators.cleaning import align_calendar
+    return align_calendar(bars(spark, sf_dir).drop("adj_close"))
+
+
+def parent_orders(spark, sf_dir) -> DataFrame:
+    """One row per (order, symbol) with the order time and total quantity."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("symbol")).agg(
+        F.sum("l_quantity").alias("quantity"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_time"))
+    return li.join(o, "order_id")
+
+
 def sectors(spark, sf_dir) -> DataFrame:
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
