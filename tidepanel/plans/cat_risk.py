@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.core.scratch import materialise
 from tidepanel.core.frames import change, div, ordered
 from tidepanel.models import factors as fm
 from tidepanel.operators import backtest as bt, execution as ex, pairs, risk as rk, sets
@@ -18,8 +19,9 @@ def last_book(sp, sf):
 
 def model(sp, sf):
     """(betas long, factor covariance, specific variance) of the two-factor model."""
-    p = _panel(sp, sf)
-    l = fm.loadings(p, FX)
+    # the panel and the loadings feed several branches: write each once instead of recomputing
+    p = materialise(_panel(sp, sf), "panel")
+    l = materialise(fm.loadings(p, FX), "loadings")
     spec = fm.alpha_components(p, l, FX).select("symbol", F.col("alpha_var").alias("specific_var"))
     betas = l.select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col("loadings")[i].alias("beta")) for i, f in enumerate(FX)])).alias("b")).select("symbol", "b.*")
     return betas, fm.factor_covariance(_factors(sp, sf), FX).drop("regime"), spec
