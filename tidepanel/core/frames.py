@@ -55,6 +55,15 @@ def roll(fn, x, n: int, key=KEY, time=TIME, least: int | None = None) -> Column:
     return full(n, x, fn(c(x)).over(trailing(n, key, time)), key, time, least)
 
 
+def corr(x, y, w: WindowSpec | None = None) -> Column:
+    """Correlation of the complete pairs; null instead of an ANSI error when either side is constant."""
+    x, y = c(x), c(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    o = (lambda e: e.over(w)) if w is not None else (lambda e: e)
+    return o(F.covar_pop(x, y)) / F.nullif(o(F.stddev_pop(x)) * o(F.stddev_pop(y)), F.lit(0.0))
+
+
 def change(x, k: int = 1, key=KEY, time=TIME) -> Column:
     return div(x, F.lag(c(x), k).over(ordered(key, time))) - 1
 

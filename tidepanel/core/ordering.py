@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-CUTS = 64
+from tidepanel.core.scratch import materialise
+
+CUTS = 16
 
 
 def _cut(df: DataFrame, keys: list[str], value: str, cuts: int) -> DataFrame:
@@ -41,8 +43,14 @@ def positions(df: DataFrame, keys: list[str], value: str, cuts: int = CUTS) -> D
 
 
 def grouped_rank(df: DataFrame, keys: list[str], value: str, out: str, method: str = "average",
-                 pct: bool = True, cuts: int = CUTS) -> DataFrame:
-    """Add the ascending rank of ``value`` within ``keys``; null stays null."""
+                 pct: bool = True, cuts: int = CUTS, stage: bool = True) -> DataFrame:
+    """Add the ascending rank of ``value`` within ``keys``; null stays null.
+
+    The input is read three times (values, cut points, join back); ``stage`` writes it once
+    so that the plan that made it does not run three times.
+    """
+    if stage:
+        df = materialise(df, "rank")
     pos = positions(df, keys, value, cuts)
     rank = {"average": F.col("below") + (F.col("cnt") + 1) / 2.0,
             "min": F.col("below") + 1.0,
@@ -52,8 +60,11 @@ def grouped_rank(df: DataFrame, keys: list[str], value: str, out: str, method: s
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      cuts: int = CUTS) -> DataFrame:
+                      cuts: int = CUTS, stage: bool = True) -> DataFrame:
     """(keys, n, one column per name): linearly interpolated exact quantiles."""
+    df = df.select(*keys, value)
+    if stage:
+        df = materialise(df, "quantile")
     cut = _cut(df, keys, value, cuts)
     wanted = None
     for p in probs.values():

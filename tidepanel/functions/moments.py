@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from tidepanel.core.frames import c, div
 
@@ -26,6 +26,36 @@ def kurt_g2(x, w: WindowSpec | None = None) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
 
 
+def window_moments(df: DataFrame, x: str, frames: dict[str, WindowSpec]) -> DataFrame:
+    """Bias-corrected rolling skewness and kurtosis (<tag>_skew, <tag>_kurt) from four plain power sums per frame.
+
+    Re-evaluating Spark's central-moment aggregates for every frame costs several times
+    more. Frames are summed afresh, so nothing accumulates; meant for return-like values
+    whose mean is not far larger than their spread. Sums become columns first: a window
+    expression repeated inside a formula would be evaluated once per mention.
+    """
+    v = F.col(x)
+    sums = {}
+    for tag, w in frames.items():
+        sums[f"_{tag}n"] = F.count(v).over(w).cast("double")
+        sums |= {f"_{tag}{k}": F.sum(e).over(w) for k, e in enumerate((v, v * v, v * v * v, v * v * v * v), 1)}
+    df = df.withColumns(sums)
+    central = {}
+    for tag in frames:
+        n, s1, s2, s3, s4 = (F.col(f"_{tag}{k}") for k in ("n", 1, 2, 3, 4))
+        m = s1 / F.nullif(n, F.lit(0.0))
+        central[f"_{tag}m2"] = F.when(s2 / n - m * m > 1e-14 * (s2 / n), s2 / n - m * m)
+        central[f"_{tag}m3"] = s3 / n - 3 * m * s2 / n + 2 * m * m * m
+        central[f"_{tag}m4"] = s4 / n - 4 * m * s3 / n + 6 * m * m * s2 / n - 3 * m * m * m * m
+    df = df.withColumns({k: F.when(F.col(k.rsplit("m", 1)[0] + "n") > 0, e) for k, e in central.items()})
+    out = {}
+    for tag in frames:
+        n, m2, m3, m4 = (F.col(f"_{tag}{k}") for k in ("n", "m2", "m3", "m4"))
+        out[f"{tag}_skew"] = F.when(n >= 3, m3 / (m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1)) / (n - 2))
+        out[f"{tag}_kurt"] = F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6))
+    return df.withColumns(out).drop(*sums, *central)
+
+
 def f_tail_df2(f: Column, d2: Column) -> Column:
     """P(F > f) for 2 and d2 degrees of freedom."""
     return F.pow(1 + 2 * f / d2, -d2 / 2)

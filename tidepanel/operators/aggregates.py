@@ -5,8 +5,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import ANNUAL, div, expanding, full, ordered, roll, trailing, whole
+from tidepanel.core.frames import ANNUAL, corr, div, expanding, full, ordered, roll, trailing, whole
 from tidepanel.core.ordering import grouped_quantiles, grouped_rank
+from tidepanel.core.scratch import materialise
 from tidepanel.functions.moments import f_tail_df2, kurt_g2, skew_g1
 from tidepanel.operators.sets import top_per_group
 from tidepanel.operators.technical import drawdown
@@ -29,10 +30,11 @@ def market_summary(rets: DataFrame, key="symbol", time="date") -> DataFrame:
 def feature_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, std, min, max, median, skew, kurtosis and missing share per column."""
     long = df.select(*[F.col(c).cast("double") for c in cols]).unpivot([], cols, "feature", "value")
+    long = materialise(long, "long")
     g = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                     F.min("value").alias("min"), F.max("value").alias("max"), skew_g1("value").alias("skewness"),
                                     kurt_g2("value").alias("kurtosis"), F.avg(F.col("value").isNull().cast("int")).alias("missing"))
-    return g.join(grouped_quantiles(long, ["feature"], "value", {"median": 0.5}).drop("n"), "feature")
+    return g.join(grouped_quantiles(long, ["feature"], "value", {"median": 0.5}, stage=False).drop("n"), "feature")
 
 
 def regime_drawdown(df: DataFrame, keys: list[str], value="ret", time="date") -> DataFrame:
@@ -65,8 +67,9 @@ def regime_characterise(df: DataFrame, key="series", value="ret", least=5) -> Da
 
 def regime_asset_vol(df: DataFrame, key="symbol", value="ret") -> DataFrame:
     a = df.groupBy("regime", key).agg((F.stddev_pop(value) * math.sqrt(YEAR)).alias("vol")).where("vol is not null")
+    a = materialise(a, "vol")
     g = a.groupBy("regime").agg(F.avg("vol").alias("mean_vol"), F.stddev_pop("vol").alias("std_vol"), F.min("vol").alias("min_vol"), F.max("vol").alias("max_vol"))
-    return g.join(grouped_quantiles(a, ["regime"], "vol", {"median_vol": 0.5}).drop("n"), "regime")
+    return g.join(grouped_quantiles(a, ["regime"], "vol", {"median_vol": 0.5}, stage=False).drop("n"), "regime")
 
 
 def regime_beta(df: DataFrame, key="symbol", value="ret", market="market", least=10) -> DataFrame:
@@ -91,7 +94,7 @@ def regime_reversion(df: DataFrame, key="symbol", value="ret", time="date", leas
     """Lag-1 autocorrelation inside the regime-filtered sequence of each asset."""
     d = df.where(F.col(value).isNotNull())
     d = d.withColumn("_l", F.lag(value).over(ordered(["regime", key], time)))
-    a = d.groupBy("regime", key).agg(F.corr(value, "_l").alias("ac"), F.count("_l").alias("n")).where((F.col("n") > least) & F.col("ac").isNotNull())
+    a = d.groupBy("regime", key).agg(corr(value, "_l").alias("ac"), F.count("_l").alias("n")).where((F.col("n") > least) & F.col("ac").isNotNull())
     return a.groupBy("regime").agg(F.count(F.lit(1)).alias("assets"), F.avg("ac").alias("mean_autocorr"), F.avg((F.col("ac") < 0).cast("int")).alias("share_reverting"))
 
 
@@ -168,7 +171,7 @@ def factor_series(rets: DataFrame) -> DataFrame:
     d = rets.withColumn("_p", F.lag("ret").over(ordered()))
     d = d.withColumns({"_m21": roll(F.avg, "ret", 21), "_m63": roll(F.avg, "ret", 63), "_m252": roll(F.avg, "ret", 252),
                        "_s21": roll(F.stddev_samp, "ret", 21), "_s63": roll(F.stddev_samp, "ret", 63),
-                       "_ac": full(21, "ret", F.corr("ret", "_p").over(trailing(20)))})
+                       "_ac": full(21, "ret", corr("ret", "_p", trailing(20)))})
     g = d.groupBy("date").agg(F.avg("ret").alias("market"), F.stddev_samp("ret").alias("_sd"), *[F.avg(f"_{k}").alias(k) for k in ("m21", "m63", "m252", "s21", "s63", "ac")])
     g = g.where("market is not null").withColumn("_k", F.lit(0))
     return g.select("date", "market", (-F.col("_sd")).alias("smb"), (F.col("m252") - F.col("m21")).alias("hml"), F.col("m21").alias("momentum_1m"),
@@ -191,7 +194,7 @@ def information_coefficient(df: DataFrame, features: list[str], target: str, met
     if method == "spearman":
         long = grouped_rank(grouped_rank(long, ["feature"], "value", "_x"), ["feature"], target, "_y")
         x, y = "_x", "_y"
-    return long.groupBy("feature").agg(F.coalesce(F.corr(x, y), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"))
+    return long.groupBy("feature").agg(F.coalesce(corr(x, y), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def portfolio_metrics(weights: DataFrame, keys=("date",)) -> DataFrame:

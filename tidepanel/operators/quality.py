@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.core.frames import div, ordered, roll, trailing, whole
 from tidepanel.core.ordering import grouped_quantiles
+from tidepanel.core.scratch import materialise
 
 PASS, WARN, FAIL = "PASS", "WARNING", "FAIL"
 
@@ -25,8 +26,8 @@ def outlier_counts(df: DataFrame, value: str, limit=0.05) -> DataFrame:
     Quartiles and the median absolute deviation come from the split-range quantiles, so the
     whole table is never gathered in one task. The statistics are single rows.
     """
-    x = df.select(F.col(value).alias("x")).where("x is not null")
-    q = grouped_quantiles(x, [], "x", {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    x = materialise(df.select(F.col(value).alias("x")).where("x is not null"), "column")
+    q = materialise(grouped_quantiles(x, [], "x", {"q1": 0.25, "med": 0.5, "q3": 0.75}, stage=False), "quartiles")
     m = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     base = x.join(m.join(q))
     mad = grouped_quantiles(base.select(F.abs(F.col("x") - F.col("med")).alias("dev")), [], "dev", {"mad": 0.5}).select("mad")

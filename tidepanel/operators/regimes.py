@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import div, expanding, ordered, roll, whole
+from tidepanel.core.frames import corr, div, expanding, ordered, roll, whole
 from tidepanel.functions.moments import argmax, array_sum, chi2_tail_even, entropy, f_tail_df2, kolmogorov_tail, normalised
 from tidepanel.functions.smoothing import ewm_mean
 
@@ -192,7 +192,7 @@ def stability(df: DataFrame, n: int = 3, key=KEY, time=TIME) -> DataFrame:
     long = long.withColumn("_l", F.lag("p").over(ordered([key, "regime"], time)))
     g = long.groupBy(key, "regime").agg(F.avg("p").alias("mean_p"), F.stddev_pop("p").alias("std_p"),
                                         F.avg(F.when(F.col("p") > 0.5, 1.0).otherwise(0.0)).alias("persistence"),
-                                        F.coalesce(F.corr("p", "_l"), F.lit(0.0)).alias("autocorrelation"))
+                                        F.coalesce(corr("p", "_l"), F.lit(0.0)).alias("autocorrelation"))
     return g.withColumn("score", F.col("mean_p") * F.col("autocorrelation") / (F.col("std_p") + 1e-8))
 
 
@@ -211,7 +211,7 @@ def arch_test(df: DataFrame, value="ret", lags=10, key=KEY, time=TIME) -> DataFr
     d = d.withColumn("_d", F.col("_q") - F.avg("_q").over(whole(key)))
     w = ordered(key, time)
     d = d.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)})
-    d = d.groupBy(key).agg(F.corr("_d", "_l1").alias("corr"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("c0"),
+    d = d.groupBy(key).agg(corr("_d", "_l1").alias("corr"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("c0"),
                            *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
     n = F.col("n").cast("double")
     q = sum((F.pow(div(f"c{k}", "c0"), 2) / (n - k) for k in range(2, lags + 1)), F.pow(div("c1", "c0"), 2) / (n - 1))

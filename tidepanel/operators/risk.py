@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import div, whole
+from tidepanel.core.frames import corr, div, whole
 
 # fixed values: one-sided normal quantiles
 Z = {0.95: -1.6449, 0.99: -2.3263}
@@ -124,7 +124,7 @@ def hedge_ratios(port: DataFrame, instruments: DataFrame, key="series", least=50
     """Minus beta, R-squared and variance reduction per hedge instrument."""
     d = port.select("date", F.col("ret").alias("p")).join(instruments.where("ret is not null").select(key, "date", "ret"), "date")
     hedged = F.var_samp("p") - F.pow(F.covar_samp("p", "ret"), 2) / F.var_samp("ret")
-    g = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (-F.regr_slope("p", "ret")).alias("hedge_ratio"), F.pow(F.corr("p", "ret"), 2).alias("r_squared"),
+    g = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (-F.regr_slope("p", "ret")).alias("hedge_ratio"), F.pow(corr("p", "ret"), 2).alias("r_squared"),
                            (1 - hedged / F.var_samp("p")).alias("variance_reduction"))
     return g.where(F.col("n") > least)
 

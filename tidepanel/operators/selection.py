@@ -5,14 +5,14 @@ import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import div
+from tidepanel.core.frames import corr, div
 from tidepanel.core.ordering import grouped_quantiles, positions
 from tidepanel.operators.sets import top
 
 
 def univariate(df: DataFrame, features: list[str], target: str, k: int) -> DataFrame:
     """k best features by the F statistic of a simple regression: r^2 / (1 - r^2) * (n - 2), one pass."""
-    aggs = [F.corr(f, target).alias(f) for f in features]
+    aggs = [corr(f, target).alias(f) for f in features]
     row = df.agg(F.count(target).alias("_n"), *aggs)
     r = F.col("e.r")
     long = row.select("_n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in features])).alias("e"))

@@ -10,8 +10,8 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import ANNUAL, change, div, expanding, full, ordered, roll, trailing
-from tidepanel.functions.moments import kurt_g2, skew_g1
+from tidepanel.core.frames import ANNUAL, change, corr, div, expanding, full, ordered, roll, trailing
+from tidepanel.functions.moments import window_moments
 from tidepanel.functions.smoothing import ewm_mean, ewm_recursive, ewm_std
 
 LOOKBACKS = (5, 10, 20, 50, 100, 252)
@@ -72,22 +72,29 @@ def bollinger(df: DataFrame, periods=(20,), width: float = 2.0, ddof: int = 1) -
     return df.withColumns(out).drop(*[f"_sd_{n}" for n in periods])
 
 
+def _extremes(df: DataFrame, periods) -> DataFrame:
+    """Rolling high and low as columns, so formulas that use them twice do not evaluate them twice."""
+    return df.withColumns({k: e for n in periods for k, e in ((f"_hi{n}", roll(F.max, "high", n)), (f"_lo{n}", roll(F.min, "low", n)))})
+
+
+def _drop_extremes(df: DataFrame, periods) -> DataFrame:
+    return df.drop(*[f"_{k}{n}" for n in periods for k in ("hi", "lo")])
+
+
 def channel(df: DataFrame, periods=(20, 50)) -> DataFrame:
     """Position of the close inside the rolling high-low channel."""
-    out = {}
-    for n in periods:
-        hi, lo = roll(F.max, "high", n), roll(F.min, "low", n)
-        out[f"channel_position_{n}"] = div(F.col("close") - lo, hi - lo)
-    return df.withColumns(out)
+    df = _extremes(df, periods).withColumns({
+        f"channel_position_{n}": div(F.col("close") - F.col(f"_lo{n}"), F.col(f"_hi{n}") - F.col(f"_lo{n}")) for n in periods})
+    return _drop_extremes(df, periods)
 
 
 def support_resistance(df: DataFrame, periods=(20, 50)) -> DataFrame:
-    out = {}
+    df, out = _extremes(df, periods), {}
     for n in periods:
-        hi, lo = roll(F.max, "high", n), roll(F.min, "low", n)
+        hi, lo = F.col(f"_hi{n}"), F.col(f"_lo{n}")
         out |= {f"high_{n}": hi, f"low_{n}": lo, f"high_distance_{n}": div(F.col("close") - hi, hi),
                 f"low_distance_{n}": div(F.col("close") - lo, lo)}
-    return df.withColumns(out)
+    return _drop_extremes(df.withColumns(out), periods)
 
 
 def rsi(df: DataFrame, periods=(14, 30)) -> DataFrame:
@@ -95,12 +102,13 @@ def rsi(df: DataFrame, periods=(14, 30)) -> DataFrame:
     delta = F.col("close") - F.lag("close").over(ordered())
     df = df.withColumn("_d", F.coalesce(delta, F.lit(0.0)))
     df = df.withColumns({"_gain": F.greatest(F.col("_d"), F.lit(0.0)), "_loss": F.greatest(-F.col("_d"), F.lit(0.0))})
-    out = {}
+    means = {f"{k}{n}": roll(F.avg, k, n) for k in ("_gain", "_loss") for n in periods}
+    df, out = df.withColumns(means), {}
     for n in periods:
-        g, l = roll(F.avg, "_gain", n), roll(F.avg, "_loss", n)
+        g, l = F.col(f"_gain{n}"), F.col(f"_loss{n}")
         # no losses: RSI 100; no movement at all: undefined
         out[f"rsi_{n}"] = F.when((l == 0) & (g > 0), 100.0).otherwise(100 - 100 / (1 + div(g, l)))
-    return df.withColumns(out).drop("_d", "_gain", "_loss")
+    return df.withColumns(out).drop("_d", "_gain", "_loss", *means)
 
 
 def rsi_wilder(df: DataFrame, periods=(14, 30)) -> DataFrame:
@@ -134,20 +142,15 @@ def momentum(df: DataFrame, periods=(5, 10, 20)) -> DataFrame:
 
 
 def williams_r(df: DataFrame, periods=(14, 28)) -> DataFrame:
-    out = {}
-    for n in periods:
-        hi, lo = roll(F.max, "high", n), roll(F.min, "low", n)
-        out[f"williams_r_{n}"] = -100 * div(hi - F.col("close"), hi - lo)
-    return df.withColumns(out)
+    df = _extremes(df, periods).withColumns({
+        f"williams_r_{n}": -100 * div(F.col(f"_hi{n}") - F.col("close"), F.col(f"_hi{n}") - F.col(f"_lo{n}")) for n in periods})
+    return _drop_extremes(df, periods)
 
 
 def stochastic(df: DataFrame, periods=(14, 21), smooth=3) -> DataFrame:
-    out = {}
-    for n in periods:
-        hi, lo = roll(F.max, "high", n), roll(F.min, "low", n)
-        out[f"stoch_k_{n}"] = 100 * div(F.col("close") - lo, hi - lo)
-    df = df.withColumns(out)
-    return df.withColumns({f"stoch_d_{n}": roll(F.avg, f"stoch_k_{n}", smooth) for n in periods})
+    df = _extremes(df, periods).withColumns({
+        f"stoch_k_{n}": 100 * div(F.col("close") - F.col(f"_lo{n}"), F.col(f"_hi{n}") - F.col(f"_lo{n}")) for n in periods})
+    return _drop_extremes(df, periods).withColumns({f"stoch_d_{n}": roll(F.avg, f"stoch_k_{n}", smooth) for n in periods})
 
 
 def hist_vol(df: DataFrame, periods=(5, 10, 20, 50)) -> DataFrame:
@@ -184,7 +187,7 @@ def vol_clustering(df: DataFrame, n=20) -> DataFrame:
     df = df.withColumn("_r2", F.col("ret") * F.col("ret"))
     df = df.withColumn("_l2", F.lag("_r2").over(ordered()))
     return df.withColumn("volatility_clustering", full(
-        n, "_l2", F.corr("_r2", "_l2").over(trailing(n)))).drop("_r2", "_l2")
+        n, "_l2", corr("_r2", "_l2", trailing(n)))).drop("_r2", "_l2")
 
 
 def ewm_vol(df: DataFrame, periods=(10, 20, 50)) -> DataFrame:
@@ -266,11 +269,11 @@ def engulfing_gaps(df: DataFrame) -> DataFrame:
 
 
 def higher_moments(df: DataFrame, periods=(10, 20, 50), value="ret") -> DataFrame:
+    df = window_moments(df, value, {f"_hm{n}": trailing(n) for n in periods})
     out = {}
     for n in periods:
-        out[f"skewness_{n}"] = full(n, value, skew_g1(value, trailing(n)))
-        out[f"kurtosis_{n}"] = full(n, value, kurt_g2(value, trailing(n)))
-    return df.withColumns(out)
+        out |= {f"skewness_{n}": full(n, value, F.col(f"_hm{n}_skew")), f"kurtosis_{n}": full(n, value, F.col(f"_hm{n}_kurt"))}
+    return df.withColumns(out).drop(*[f"_hm{n}_{k}" for n in periods for k in ("skew", "kurt")])
 
 
 def var_quantile(df: DataFrame, periods=(20, 50), levels=(0.05, 0.01)) -> DataFrame:
@@ -296,7 +299,7 @@ def cvar(df: DataFrame, periods=(20, 50), levels=(0.05, 0.01)) -> DataFrame:
 def autocorr(df: DataFrame, n=50, lags=(1, 5, 10), value="ret") -> DataFrame:
     """Autocorrelation of the pairs that lie inside the last n rows."""
     df = df.withColumns({f"_p_{k}": F.lag(value, k).over(ordered()) for k in lags})
-    out = {f"autocorr_lag_{k}": full(n, value, F.corr(value, f"_p_{k}").over(trailing(n - k))) for k in lags}
+    out = {f"autocorr_lag_{k}": full(n, value, corr(value, f"_p_{k}", trailing(n - k))) for k in lags}
     return df.withColumns(out).drop(*[f"_p_{k}" for k in lags])
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.core.frames import div, ordered
+from tidepanel.core.frames import corr, div, ordered
 from tidepanel.operators import sets as s
 from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
@@ -16,7 +16,7 @@ def topk_features(sp, sf):
     x = d.index(sp, sf).withColumns({"log_close": F.log("close"), "abs_ret": F.abs("ret"), "value": F.col("volume") * F.col("close"),
                                      "fwd": F.lead("ret").over(ordered("series"))})
     names = ["ret", "volume", "log_close", "abs_ret", "value"]
-    g = x.agg(*[F.abs(F.corr(n, "fwd")).alias(n) for n in names])
+    g = x.agg(*[F.abs(corr(n, "fwd")).alias(n) for n in names])
     long = g.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("importance")) for n in names])).alias("e")).select("e.*")
     return s.top(long, 3, F.col("importance").desc(), F.col("feature"))
 

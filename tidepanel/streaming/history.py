@@ -5,8 +5,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.core.frames import div, full, ordered, roll, trailing
-from tidepanel.functions.moments import argmax, entropy, kurt_g2, skew_g1
+from tidepanel.core.frames import corr, div, full, ordered, roll, trailing
+from tidepanel.functions.moments import argmax, entropy, window_moments
 
 
 def buffer_features(points: DataFrame, n=252, least=10, key="symbol", time="date") -> DataFrame:
@@ -15,8 +15,9 @@ def buffer_features(points: DataFrame, n=252, least=10, key="symbol", time="date
     d = d.withColumn("_v", F.when(F.col("ret").isNotNull(), F.col("volume")))
     w = trailing(n, key, time)
     ok = lambda e: F.when(F.count("ret").over(w) >= least, e)
-    return d.withColumns({"f_mean": ok(F.avg("ret").over(w)), "f_std": ok(F.stddev_samp("ret").over(w)), "f_skew": ok(skew_g1("ret", w)),
-                          "f_kurt": ok(kurt_g2("ret", w)), "f_volume": ok(F.avg("_v").over(w)), "f_volatility": ok(F.avg(F.abs("ret")).over(w))}).drop("_v")
+    d = window_moments(d, "ret", {"_b": w})
+    return d.withColumns({"f_mean": ok(F.avg("ret").over(w)), "f_std": ok(F.stddev_samp("ret").over(w)), "f_skew": ok(F.col("_b_skew")),
+                          "f_kurt": ok(F.col("_b_kurt")), "f_volume": ok(F.avg("_v").over(w)), "f_volatility": ok(F.avg(F.abs("ret")).over(w))}).drop("_v", "_b_skew", "_b_kurt")
 
 
 def transition_alerts(history: DataFrame, level=0.8, key="series", time="date") -> DataFrame:
@@ -63,7 +64,7 @@ def trend_warnings(history: DataFrame, n=3, window=5, key="series", time="date")
     d = history.withColumn("_i", F.row_number().over(ordered(key, time)).cast("double"))
     long = d.select(key, time, "_i", F.posexplode("probs").alias("regime", "p"))
     w = trailing(window, [key, "regime"], time)
-    long = long.withColumns({"slope": full(window, "p", F.regr_slope("p", "_i").over(w), [key, "regime"], time), "r": full(window, "p", F.corr("p", "_i").over(w), [key, "regime"], time)})
+    long = long.withColumns({"slope": full(window, "p", F.regr_slope("p", "_i").over(w), [key, "regime"], time), "r": full(window, "p", corr("p", "_i", w), [key, "regime"], time)})
     r2 = F.col("r") * F.col("r")
     t_ok = F.when(r2 >= 1 - 1e-12, True).otherwise(F.abs("r") * F.sqrt(F.lit(window - 2.0)) > 2.3534 * F.sqrt(F.greatest(1 - r2, F.lit(0.0))))
     return long.where((F.col("slope") > 0.1) & (F.col("r") > 0.7) & t_ok).select(key, time, "regime", "slope", r2.alias("r_squared"))
