@@ -64,6 +64,17 @@ def corr(x, y, w: WindowSpec | None = None) -> Column:
     return o(F.covar_pop(x, y)) / F.nullif(o(F.stddev_pop(x)) * o(F.stddev_pop(y)), F.lit(0.0))
 
 
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a single-row frame to every row as one scalar subquery: no join, no collect.
+
+    The subquery runs once; more than one row is a runtime error, none gives nulls.
+    """
+    packed = row.select(F.struct(*[F.col(n) for n in row.columns]).alias("r")).scalar()
+    tmp = "_row_" + "_".join(row.columns)[:40]
+    out = df.withColumn(tmp, packed)
+    return out.select(*df.columns, *[F.col(f"`{tmp}`.`{n}`").alias(n) for n in row.columns])
+
+
 def change(x, k: int = 1, key=KEY, time=TIME) -> Column:
     return div(x, F.lag(c(x), k).over(ordered(key, time))) - 1
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidepanel.core.frames import attach
 from tidepanel.core.scratch import materialise
 
 CUTS = 16
@@ -25,8 +26,7 @@ def _cut(df: DataFrame, keys: list[str], value: str, cuts: int) -> DataFrame:
     if keys:
         counts = counts.join(bounds, keys)
     else:
-        # one row of cut points by construction of a global aggregate
-        counts = counts.join(bounds, F.lit(True))
+        counts = attach(counts, bounds)
     counts = counts.withColumn("part", F.size(F.filter("_at", lambda b: b < F.col(value)))).drop("_at")
     totals = counts.groupBy(*keys, "part").agg(F.sum("cnt").alias("_t"))
     w = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

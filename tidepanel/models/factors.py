@@ -6,7 +6,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.core.frames import div
+from tidepanel.core.frames import attach, div
 from tidepanel.functions.moments import dot
 from tidepanel.models.gram import gram, gram_columns, key_schema, per_row, ridge, square
 
@@ -85,7 +85,7 @@ def alpha_components_regime(panel: DataFrame, fitted: DataFrame, factors: list[s
 def attribution(fitted: DataFrame, factor_table: DataFrame, factors: list[str], key="symbol") -> DataFrame:
     """(asset, factor, loading, factor_return, contribution, volatility_contribution) from mean factor returns (one row)."""
     m = factor_table.agg(*[F.avg(f).alias(f"m_{f}") for f in factors], *[F.var_samp(f).alias(f"v_{f}") for f in factors])
-    d = fitted.join(m)
+    d = attach(fitted, m)
     z = F.array(*[F.struct(F.lit(f).alias("factor"), F.col("loadings")[i].alias("loading"), F.col(f"m_{f}").alias("factor_return"), F.col(f"v_{f}").alias("v"))
                   for i, f in enumerate(factors)])
     d = d.select(key, "alpha", F.explode(z).alias("z"))
@@ -100,8 +100,9 @@ def portfolio_attribution(attr: DataFrame) -> DataFrame:
 
 
 def predict_alpha(new_rows: DataFrame, fitted: DataFrame, factors: list[str], key="symbol", include_intercept=True) -> DataFrame:
-    """Prediction of every asset for each (few) new factor row."""
-    d = fitted.join(new_rows)
+    """Prediction of every asset for each new factor row (one per future date: a calendar-sized list)."""
+    rows = new_rows.agg(F.collect_list(F.struct(*new_rows.columns)).alias("_n"))
+    d = attach(fitted, rows).withColumn("_n", F.explode("_n")).select(*fitted.columns, "_n.*")
     x = dot(F.array(*[F.col(f) for f in factors]), F.col("loadings"))
     return d.select(key, *[c for c in new_rows.columns if c not in factors], (x + F.col("alpha") if include_intercept else x).alias("prediction"))
 

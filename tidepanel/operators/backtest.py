@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import ANNUAL, div, expanding, ordered
+from tidepanel.core.frames import ANNUAL, attach, div, expanding, ordered
 from tidepanel.operators.joins import asof
 
 # fixed values: commission, spread and slippage in basis points
@@ -112,13 +112,13 @@ def expected_returns(rets: DataFrame, current: DataFrame, looks=(63, 126, 252),
     g = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.when(F.col("_r") <= k, F.col("ret"))).alias(f"m_{k}") for k in looks]).where(F.col("n") >= least)
     p = current.select(F.col("probs").alias("_p"))
     e = sum((F.col("_p")[i] * F.col(f"m_{k}") for i, k in enumerate(looks[1:], 1)), F.col("_p")[0] * F.col(f"m_{looks[0]}"))
-    return g.join(p).select("symbol", "n", e.alias("expected_return"))
+    return attach(g, p).select("symbol", "n", e.alias("expected_return"))
 
 
 def signal_returns(signals: DataFrame, current: DataFrame) -> DataFrame:
     """Signal scaled by sum p * (1 + 0.1 * regime)."""
     k = F.aggregate(F.transform("_p", lambda p, i: p * (1 + 0.1 * i)), F.lit(0.0), lambda a, v: a + v)
-    return signals.join(current.select(F.col("probs").alias("_p"))).withColumn("expected_return", F.col("signal") * k).drop("_p")
+    return attach(signals, current.select(F.col("probs").alias("_p"))).withColumn("expected_return", F.col("signal") * k).drop("_p")
 
 
 def equal_weight(universe: DataFrame, time="date") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.core.ordering import grouped_quantiles
-from tidepanel.core.frames import ahead, div, expanding, no_inf, ordered
+from tidepanel.core.frames import ahead, attach, div, expanding, no_inf, ordered
 
 PRICES = ("open", "high", "low", "close")
 
@@ -163,5 +163,5 @@ def min_history(df: DataFrame, value="ret", least: int = 252, share: float = 0.2
     """Symbols with at least max(least, share of all dates) observations; missing values become 0."""
     dates = df.select("date").distinct().agg(F.count(F.lit(1)).alias("d"))
     n = df.groupBy("symbol").agg(F.count(value).alias("n"))
-    ok = n.join(dates).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("d") * share))).select("symbol")
+    ok = attach(n, dates).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("d") * share))).select("symbol")
     return df.join(ok, "symbol", "left_semi").withColumn(value, F.coalesce(value, F.lit(0.0)))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import div, ordered, roll, whole
+from tidepanel.core.frames import attach, div, ordered, roll, whole
 
 # fixed values: regime multipliers (0 bull, 1 bear, otherwise neutral) for duration and slice count
 DURATION = {0: 0.8, 1: 1.5}
@@ -31,7 +31,7 @@ def summary(cost: DataFrame, orders: DataFrame) -> DataFrame:
     """Order, completion and fill counts with average costs: two single-row aggregates."""
     c = cost.agg(F.count(F.lit(1)).alias("completed_orders"), F.sum("fills").alias("total_fills"),
                  *[F.coalesce(F.avg(f"{k}_bps"), F.lit(0.0)).alias(f"avg_{k}_bps") for k in ("implementation_shortfall", "commission", "total_cost")])
-    return c.join(orders.agg(F.count(F.lit(1)).alias("total_orders")))
+    return attach(c, orders.agg(F.count(F.lit(1)).alias("total_orders")))
 
 
 def _calibration(bars: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import change, div, ordered
+from tidepanel.core.frames import attach, change, div, ordered
 from tidepanel.operators.technical import history_rank
 
 GROWTH_LINES = ("revenue", "gross_profit", "operating_income", "net_income", "total_assets", "total_equity")
@@ -112,7 +112,7 @@ def row_mean(cols: list[Column]) -> Column:
 def scores(m: DataFrame) -> DataFrame:
     """Min-max scores (inverted where low is good), group composites and the overall score."""
     stat = m.groupBy().agg(*[f(c).alias(f"_{t}_{c}") for c in SCORES + INVERSE for f, t in ((F.min, "lo"), (F.max, "hi"))])
-    df = m.withColumn("_k", F.lit(0)).join(stat.withColumn("_k", F.lit(0)), "_k")
+    df = attach(m, stat)
     s = {}
     for c in SCORES + INVERSE:
         z = div(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))

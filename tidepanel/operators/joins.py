@@ -48,7 +48,8 @@ def asof_lag(prices: DataFrame, fundamentals: DataFrame, values: list[str], lag_
     return asof(prices, f, ["symbol"], "date", "available", values)
 
 
-def nearest_price(orders: DataFrame, prices: DataFrame, order_time="order_time", time="date", price="close") -> DataFrame:
+def nearest_price(orders: DataFrame, prices: DataFrame, order_time="order_time", time="date", price="close",
+                  bucket="month") -> DataFrame:
     """Price at the timestamp closest to each order; a tie takes the earlier one.
 
     Only the distinct (symbol, time) pairs of the orders go through the ordered matching;
@@ -56,8 +57,8 @@ def nearest_price(orders: DataFrame, prices: DataFrame, order_time="order_time",
     """
     slots = orders.select("symbol", order_time).distinct()
     p = prices.select("symbol", time, price)
-    b = asof(slots, p, ["symbol"], order_time, time, [price], "prev_", bucket="year", keep_time=True)
-    f = asof(b, p, ["symbol"], order_time, time, [price], "next_", bucket="year", forward=True, keep_time=True)
+    b = asof(slots, p, ["symbol"], order_time, time, [price], "prev_", bucket=bucket, keep_time=True)
+    f = asof(b, p, ["symbol"], order_time, time, [price], "next_", bucket=bucket, forward=True, keep_time=True)
     secs = lambda c: F.col(c).cast("double")
     db, df_ = secs(order_time) - secs(f"prev_{time}"), secs(f"next_{time}") - secs(order_time)
     take_prev = F.when(db.isNull(), False).when(df_.isNull(), True).otherwise(db <= df_)

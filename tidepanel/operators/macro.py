@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.core.frames import change, div, expanding, ordered, roll
+from tidepanel.core.frames import attach, change, div, expanding, ordered, roll
 
 
 def derived(long: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def features(wide: DataFrame, growth: str, long_rate: str, short_rate: str, infl
     names = [f"_c_{c}" for c in conditions]
     if full_sample:
         stat = df.groupBy("_k").agg(*[f(n).alias(f"{n}{t}") for n in names for f, t in ((F.avg, "m"), (F.stddev_samp, "s"))])
-        df = df.join(stat, "_k")
+        df = attach(df, stat.drop("_k"))
     else:
         w = expanding("_k", time)
         df = df.withColumns({f"{n}{t}": f(n).over(w) for n in names for f, t in ((F.avg, "m"), (F.stddev_samp, "s"))})
@@ -54,7 +54,6 @@ def features(wide: DataFrame, growth: str, long_rate: str, short_rate: str, infl
 
 def regime_indicators(wide: DataFrame, slope: str, vol: str, level: float = 0.75) -> DataFrame:
     """Recession flag (negative slope) and high-volatility flag (above the quantile)."""
-    q = wide.groupBy().agg(F.percentile(vol, F.lit(level)).alias("_q")).withColumn("_k", F.lit(0))
-    df = wide.withColumn("_k", F.lit(0)).join(q, "_k")
+    df = attach(wide, wide.agg(F.percentile(vol, F.lit(level)).alias("_q")))
     return df.withColumns({"recession_signal": F.coalesce(F.col(slope) < 0, F.lit(False)).cast("int"),
-                           "high_volatility_regime": F.coalesce(F.col(vol) > F.col("_q"), F.lit(False)).cast("int")}).drop("_q", "_k")
+                           "high_volatility_regime": F.coalesce(F.col(vol) > F.col("_q"), F.lit(False)).cast("int")}).drop("_q")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import div, ordered, roll, trailing, whole
+from tidepanel.core.frames import attach, div, ordered, roll, trailing, whole
 from tidepanel.core.ordering import grouped_quantiles
 from tidepanel.core.scratch import materialise
 
@@ -29,9 +29,9 @@ def outlier_counts(df: DataFrame, value: str, limit=0.05) -> DataFrame:
     x = materialise(df.select(F.col(value).alias("x")).where("x is not null"), "column")
     q = materialise(grouped_quantiles(x, [], "x", {"q1": 0.25, "med": 0.5, "q3": 0.75}, stage=False), "quartiles")
     m = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    base = x.join(m.join(q))
+    base = attach(attach(x, m), q)
     mad = grouped_quantiles(base.select(F.abs(F.col("x") - F.col("med")).alias("dev")), [], "dev", {"mad": 0.5}).select("mad")
-    base = base.join(mad)
+    base = attach(base, mad)
     z = F.abs(div(F.col("x") - F.col("m"), "s")) > 3
     iqr = F.col("q3") - F.col("q1")
     i = (F.col("x") < F.col("q1") - 1.5 * iqr) | (F.col("x") > F.col("q3") + 1.5 * iqr)
@@ -87,16 +87,25 @@ def duplicates(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     h = F.concat(F.xxhash64(*cols).cast("string"), F.lit(":"), F.hash(*cols).cast("string"))
     by_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("duplicate_keys"))
     by_row = df.groupBy(h.alias("h"), *keys).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("duplicate_rows"))
-    return by_key.join(by_row)
+    return attach(by_key, by_row)
 
 
-def dates(df: DataFrame, time="date", seq="seq", key="symbol", now=None) -> DataFrame:
-    """Out-of-order rows by ingest sequence, future dates and dates before 1900."""
+def dates(df: DataFrame, time="date", seq="seq", key="symbol", now=None, span: int = 1_000_000) -> DataFrame:
+    """Out-of-order rows by (numeric) ingest sequence, future dates and dates before 1900.
+
+    Raw rows of a key may be very many, so they are compared inside sequence ranges; the last
+    row before a range comes from a per-range summary.
+    """
     ref = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
-    d = df.withColumn("_p", F.lag(time).over(Window.partitionBy(key).orderBy(seq)))
+    d = df.select(key, F.col(time).alias("_t"), F.col(seq).alias("_q"), F.floor(F.col(seq) / span).alias("_b"))
+    ends = d.groupBy(key, "_b").agg(F.max_by("_t", "_q").alias("_e"))
+    ends = ends.select(key, "_b", F.lag("_e").over(Window.partitionBy(key).orderBy("_b")).alias("_carry"))
+    w = Window.partitionBy(key, "_b").orderBy("_q")
+    d = d.withColumns({"_p": F.lag("_t").over(w), "_first": F.row_number().over(w) == 1}).join(ends, [key, "_b"])
+    d = d.withColumn("_p", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_p")))
     n = lambda e: F.sum(F.coalesce(e, F.lit(False)).cast("long"))
-    return d.groupBy(key).agg(n(F.col(time) < F.col("_p")).alias("unsorted"), n(F.col(time) > ref).alias("future"),
-                              n(F.year(time) < 1900).alias("ancient"))
+    return d.groupBy(key).agg(n(F.col("_t") < F.col("_p")).alias("unsorted"), n(F.col("_t") > ref).alias("future"),
+                              n(F.year("_t") < 1900).alias("ancient"))
 
 
 def business_rules(df: DataFrame, kind: str) -> DataFrame:
@@ -189,5 +198,5 @@ def cross_dataset(frames: dict[str, DataFrame], key="symbol", time="date", max_d
         names = s if names is None else names.unionByName(s)
     g = rows.agg(F.date_diff(F.max("lo"), F.min("lo")).alias("start_spread"), F.date_diff(F.max("hi"), F.min("hi")).alias("end_spread"))
     k = names.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("symbols"), F.sum((F.col("c") == len(frames)).cast("long")).alias("common"))
-    return g.join(k).withColumns({"overlap": div(F.col("common").cast("double"), F.col("symbols").cast("double")),
+    return attach(g, k).withColumns({"overlap": div(F.col("common").cast("double"), F.col("symbols").cast("double")),
                                   "status": F.when((F.col("start_spread") > max_days) | (F.col("end_spread") > max_days), WARN).otherwise(PASS)})

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import corr, div, whole
+from tidepanel.core.frames import attach, corr, div, whole
 
 # fixed values: one-sided normal quantiles
 Z = {0.95: -1.6449, 0.99: -2.3263}
@@ -22,7 +22,7 @@ def variance_split(weights: DataFrame, betas: DataFrame, cov: DataFrame, specifi
          .join(b.withColumnRenamed("factor", "f2").withColumnRenamed("exposure", "e2"), "f2")
          .agg(F.sum(F.col("e1") * F.col("e2") * F.col("cov")).alias("factor_variance")))
     i = weights.join(specific, "symbol").agg(F.sum(F.col("weight") * F.col("weight") * F.col("specific_var")).alias("specific_variance"))
-    out = s.join(i).withColumn("total_variance", F.col("factor_variance") + F.col("specific_variance"))
+    out = attach(s, i).withColumn("total_variance", F.col("factor_variance") + F.col("specific_variance"))
     return out.withColumns({"volatility": F.sqrt("total_variance"), "factor_share": div("factor_variance", "total_variance")})
 
 
@@ -34,7 +34,7 @@ def contributions(weights: DataFrame, betas: DataFrame, cov: DataFrame, specific
     d = weights.join(m, "symbol").join(specific, "symbol")
     d = d.withColumn("marginal", F.col("systematic") + F.col("weight") * F.col("specific_var")).withColumn("component", F.col("weight") * F.col("marginal"))
     total = d.agg(F.sum("component").alias("_t"))
-    return d.join(total).select("symbol", "weight", "marginal", "component", div("component", "_t").alias("share"))
+    return attach(d, total).select("symbol", "weight", "marginal", "component", div("component", "_t").alias("share"))
 
 
 def pair_attribution(weights: DataFrame, cov: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def pair_attribution(weights: DataFrame, cov: DataFrame) -> DataFrame:
     m = cov.join(w, "b").groupBy(F.col("a").alias("symbol")).agg(F.sum(F.col("cov") * F.col("wb")).alias("marginal"))
     d = weights.join(m, "symbol").withColumn("component", F.col("weight") * F.col("marginal"))
     total = d.agg(F.sum("component").alias("_t"))
-    return d.join(total).select("symbol", "weight", "marginal", "component", div("component", "_t").alias("share"))
+    return attach(d, total).select("symbol", "weight", "marginal", "component", div("component", "_t").alias("share"))
 
 
 def concentration(contrib: DataFrame) -> DataFrame:
@@ -71,9 +71,9 @@ def component_var(weights: DataFrame, rets: DataFrame, level=0.95, least=5) -> D
     """Weight times mean asset return on the portfolio's tail dates."""
     port = portfolio_returns(weights, rets).withColumn("_k", F.lit(0))
     tail = port.withColumn("_q", F.percentile("ret", F.lit(1 - level)).over(whole("_k"))).where(F.col("ret") <= F.col("_q"))
-    n = tail.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    n = tail.agg(F.count(F.lit(1)).alias("n"))
     m = rets.where("ret is not null").join(tail.select("date"), "date", "left_semi").groupBy("symbol").agg(F.avg("ret").alias("m"))
-    return weights.join(m, "symbol").join(n).select("symbol", (F.col("weight") * F.col("m")).alias("component_var"))
+    return attach(weights.join(m, "symbol"), n).where(F.col("n") > least).select("symbol", (F.col("weight") * F.col("m")).alias("component_var"))
 
 
 def marginal_var(weights: DataFrame, rets: DataFrame, level=0.95, eps=1e-6) -> DataFrame:
@@ -92,14 +92,15 @@ def marginal_var(weights: DataFrame, rets: DataFrame, level=0.95, eps=1e-6) -> D
     pos = F.lit(1 - level) * (F.col("_n") - 1)
     p = p.withColumns({"_lo": F.floor(pos), "_hi": F.ceil(pos), "_f": pos - F.floor(pos)})
     p = p.withColumns({"_vlo": F.max(F.when(F.col("_r") == F.col("_lo"), F.col("ret"))).over(w), "_vhi": F.max(F.when(F.col("_r") == F.col("_hi"), F.col("ret"))).over(w)})
-    p = p.join(big)
+    p = attach(p, big)
     band = 2.000001 * eps * F.col("_big")
     c = p.where((F.col("ret") >= F.col("_vlo") - band) & (F.col("ret") <= F.col("_vhi") + band))
     box = c.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("date", "ret"))).alias("_c"), F.min("_r").alias("_below"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
-                              F.max("_f").alias("_f"), F.max(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("_base")).join(tot)
+                              F.max("_f").alias("_f"), F.max(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("_base"))
+    box = attach(box, tot)
     own = rets.where("ret is not null").join(c.select("date"), "date", "left_semi").groupBy("symbol").agg(
         F.map_from_entries(F.collect_list(F.struct("date", "ret"))).alias("_own"))
-    d = weights.join(own, "symbol", "left").join(box)
+    d = attach(weights.join(own, "symbol", "left"), box)
     bumped = F.array_sort(F.transform("_c", lambda e: (e["ret"] + eps * F.coalesce(F.col("_own")[e["date"]], F.lit(0.0))) / (F.col("_w") + eps)))
     d = d.withColumn("_b", bumped)
     at = lambda k: F.element_at("_b", (F.col(k) - F.col("_below") + 1).cast("int"))

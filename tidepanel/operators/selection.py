@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import corr, div
+from tidepanel.core.frames import attach, corr, div
 from tidepanel.core.ordering import grouped_quantiles, positions
 from tidepanel.operators.sets import top
 
@@ -48,14 +48,14 @@ def pca_ranking(df: DataFrame, features: list[str], k: int) -> DataFrame:
 def standard(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / population deviation over the whole table (statistics are one row)."""
     s = df.agg(*[f(c).alias(f"_{t}_{c}") for c in cols for f, t in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    return df.join(s).withColumns({f"{c}_standard": div(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}") for c in cols}).drop(*s.columns)
+    return attach(df, s).withColumns({f"{c}_standard": div(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}") for c in cols}).drop(*s.columns)
 
 
 def robust(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - median) / interquartile range with exact split-range quantiles."""
     for c in cols:
         q = grouped_quantiles(df, [], c, {"_a": 0.25, "_m": 0.5, "_b": 0.75}).drop("n")
-        df = df.join(q).withColumn(f"{c}_robust", div(F.col(c) - F.col("_m"), F.col("_b") - F.col("_a"))).drop("_a", "_m", "_b")
+        df = attach(df, q).withColumn(f"{c}_robust", div(F.col(c) - F.col("_m"), F.col("_b") - F.col("_a"))).drop("_a", "_m", "_b")
     return df
 
 

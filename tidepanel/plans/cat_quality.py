@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tidepanel.core.frames import attach
 from tidepanel.operators import fundamentals as fu, quality as q
 from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
@@ -58,7 +59,7 @@ def dq_duplicates(sp, sf):
  SELECT symbol, sum(coalesce(date<p,false)::INT)::BIGINT AS unsorted, sum((date>TIMESTAMP '2001-01-01')::INT)::BIGINT AS future, sum((year(date)<1900)::INT)::BIGINT AS ancient FROM a GROUP BY symbol""")
 def dq_dates(sp, sf):
     o = d.table(sp, sf, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderdate").alias("date"), F.col("o_orderkey").alias("seq"))
-    return q.dates(o, now="2001-01-01")
+    return q.dates(o, now="2001-01-01", span=1000)
 
 
 @query("dq_business_rules", """WITH f AS (SELECT net_income/nullif(revenue,0) AS net_margin, price*shares/nullif(net_income,0) AS pe_ratio FROM fund)
@@ -70,7 +71,7 @@ def dq_business_rules(sp, sf):
     r = fu.ratio_columns()
     f = q.business_rules(d.fundamentals(sp, sf).select(r["net_margin"].alias("net_margin"), r["pe_ratio"].alias("pe_ratio")), "fundamental")
     x = q.business_rules(d.macro_wide(sp, sf).select("date", "urgent"), "macro")
-    return m.join(f).join(x)
+    return attach(attach(m, f), x)
 
 
 @query("dq_summary", """WITH r AS (SELECT 'bars' AS dataset, CASE WHEN (SELECT max(c) FROM (SELECT count(*) AS c FROM bars GROUP BY symbol, date))>1 THEN 'FAIL' ELSE 'PASS' END AS status
