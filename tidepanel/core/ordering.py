@@ -43,15 +43,16 @@ def positions(df: DataFrame, keys: list[str], value: str, cuts: int = CUTS) -> D
 
 
 def grouped_rank(df: DataFrame, keys: list[str], value: str, out: str, method: str = "average",
-                 pct: bool = True, cuts: int = CUTS, stage: bool = True) -> DataFrame:
+                 pct: bool = True, cuts: int = CUTS, base: DataFrame | None = None) -> DataFrame:
     """Add the ascending rank of ``value`` within ``keys``; null stays null.
 
-    The input is read three times (values, cut points, join back); ``stage`` writes it once
-    so that the plan that made it does not run three times.
+    The input is read three times (values, cut points, join back), so it is written once
+    to keep the plan that made it from running three times. A caller that already holds a
+    stored table passes it as ``base`` (same keys and values, any columns).
     """
-    if stage:
-        df = materialise(df, "rank")
-    pos = positions(df, keys, value, cuts)
+    if base is None:
+        df = base = materialise(df, "rank")
+    pos = positions(base, keys, value, cuts)
     rank = {"average": F.col("below") + (F.col("cnt") + 1) / 2.0,
             "min": F.col("below") + 1.0,
             "max": (F.col("below") + F.col("cnt")).cast("double")}[method]

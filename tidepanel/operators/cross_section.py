@@ -13,19 +13,19 @@ from tidepanel.core.frames import div, full, roll
 from tidepanel.core.ordering import grouped_rank
 
 
-def cs_rank(df: DataFrame, value: str, out: str | None = None, time="date") -> DataFrame:
+def cs_rank(df: DataFrame, value: str, out: str | None = None, time="date", base: DataFrame | None = None) -> DataFrame:
     """Percentile rank per date, lowest rank for ties; null stays null."""
-    return grouped_rank(df, [time], value, out or f"{value}_cs_rank", "min")
+    return grouped_rank(df, [time], value, out or f"{value}_cs_rank", "min", base=base)
 
 
-def sector_rank(df: DataFrame, value: str, sector="sector", out: str | None = None, time="date") -> DataFrame:
-    return grouped_rank(df, [sector, time], value, out or f"{value}_sector_rank", "average")
+def sector_rank(df: DataFrame, value: str, sector="sector", out: str | None = None, time="date", base: DataFrame | None = None) -> DataFrame:
+    return grouped_rank(df, [sector, time], value, out or f"{value}_sector_rank", "average", base=base)
 
 
-def cs_zscore(df: DataFrame, value: str, out: str | None = None, time="date") -> DataFrame:
+def cs_zscore(df: DataFrame, value: str, out: str | None = None, time="date", base: DataFrame | None = None) -> DataFrame:
     """(x - mean) / sd per date, 0 where the spread is zero or undefined."""
     out = out or f"{value}_cs_zscore"
-    stat = df.groupBy(time).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    stat = (base if base is not None else df).groupBy(time).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     z = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)
     return df.join(stat, time).withColumn(out, z).drop("_m", "_s")
 

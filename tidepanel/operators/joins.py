@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import div, ordered
+from tidepanel.core.scratch import materialise
 
 
 def asof(left: DataFrame, right: DataFrame, key: list[str], lt: str, rt: str, values: list[str], prefix: str = "",
@@ -49,21 +49,25 @@ def asof_lag(prices: DataFrame, fundamentals: DataFrame, values: list[str], lag_
 
 
 def nearest_price(orders: DataFrame, prices: DataFrame, order_time="order_time", time="date", price="close",
-                  bucket="month") -> DataFrame:
+                  bucket="year", keep_next: bool = False) -> DataFrame:
     """Price at the timestamp closest to each order; a tie takes the earlier one.
 
     Only the distinct (symbol, time) pairs of the orders go through the ordered matching;
-    the orders themselves come back by an equi-join.
+    the orders themselves come back by an equi-join. Choose ``bucket`` so that a symbol has
+    few distinct order times per period: a year for daily stamps, a day for intraday ones.
     """
+    # both inputs are read by two passes: store them once
+    orders = materialise(orders, "orders")
+    p = materialise(prices.select("symbol", time, price), "prices")
     slots = orders.select("symbol", order_time).distinct()
-    p = prices.select("symbol", time, price)
     b = asof(slots, p, ["symbol"], order_time, time, [price], "prev_", bucket=bucket, keep_time=True)
     f = asof(b, p, ["symbol"], order_time, time, [price], "next_", bucket=bucket, forward=True, keep_time=True)
     secs = lambda c: F.col(c).cast("double")
-    db, df_ = secs(order_time) - secs(f"prev_{time}"), secs(f"next_{time}") - secs(order_time)
-    take_prev = F.when(db.isNull(), False).when(df_.isNull(), True).otherwise(db <= df_)
-    m = f.select("symbol", order_time, F.when(take_prev, F.col(f"prev_{price}")).otherwise(F.col(f"next_{price}")).alias("market_price"))
-    return orders.join(m, ["symbol", order_time], "left")
+    back, ahead = secs(order_time) - secs(f"prev_{time}"), secs(f"next_{time}") - secs(order_time)
+    take_prev = F.when(back.isNull(), False).when(ahead.isNull(), True).otherwise(back <= ahead)
+    m = f.select("symbol", order_time, F.when(take_prev, F.col(f"prev_{price}")).otherwise(F.col(f"next_{price}")).alias("market_price"),
+                 F.col(f"next_{price}").alias("next_price"))
+    return orders.join(m if keep_next else m.drop("next_price"), ["symbol", order_time], "left")
 
 
 def latest_regime(dates: DataFrame, regimes: DataFrame, key: list[str], n: int = 3, time="date") -> DataFrame:

@@ -308,11 +308,8 @@ _EX = """fl AS (SELECT l_orderkey AS order_id, l_suppkey AS symbol, sum(l_quanti
 
 def _costs(sp, sf):
     po = d.parent_orders(sp, sf)
-    bars = d.bars(sp, sf)
-    o = j.nearest_price(po, bars).withColumnRenamed("market_price", "arrival_price")
-    slots = po.select("symbol", "order_time").distinct()
-    nxt = j.asof(slots, bars.select("symbol", "date", "close"), ["symbol"], "order_time", "date", ["close"], bucket="year", forward=True)
-    o = o.join(nxt.withColumnRenamed("close", "completion_price"), ["symbol", "order_time"], "left").withColumn("side", (F.col("order_id") % 2 * 2 - 1).cast("int"))
+    o = j.nearest_price(po, d.bars(sp, sf), keep_next=True).withColumnsRenamed({"market_price": "arrival_price", "next_price": "completion_price"})
+    o = o.withColumn("side", (F.col("order_id") % 2 * 2 - 1).cast("int"))
     li = d.table(sp, sf, "lineitem")
     f = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("symbol"), div("l_extendedprice", "l_quantity").alias("price"),
                   F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") * F.col("l_tax") * 0.01).alias("commission"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.core.frames import no_inf
+from tidepanel.core.scratch import materialise
 from tidepanel.operators import cleaning as c, cross_section as cs, quality as q, technical as t
 
 
@@ -23,10 +24,15 @@ def engineer(bars: DataFrame, sectors: DataFrame | None = None, max_missing: flo
     for step in (t.price_ratios, lambda x: t.sma(x, (5, 20, 50)), lambda x: t.momentum(x, (5, 20)), t.rsi,
                  lambda x: t.hist_vol(x, (20,)), t.volume_ma, t.obv, t.candles):
         df = df.transform(step)
-    df = cs.cs_rank(df, "momentum_20")
-    df = cs.cs_zscore(df, "momentum_20")
+    df = materialise(df, "features")
+    # ranks work on a narrow view of the stored table and come back in one join
+    x = df.select("symbol", "date", "momentum_20")
     if sectors is not None:
-        df = cs.sector_rank(df.join(sectors.select("symbol", "sector"), "symbol"), "momentum_20")
+        x = x.join(sectors.select("symbol", "sector"), "symbol")
+    y = cs.cs_zscore(cs.cs_rank(x, "momentum_20", base=x), "momentum_20", base=x)
+    if sectors is not None:
+        y = cs.sector_rank(y, "momentum_20", base=x)
+    df = df.join(y.drop("momentum_20"), ["symbol", "date"])
     keys = {"symbol", "date", "sector"}
     numeric = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double" and f.name not in keys]
     df = df.withColumns({n: no_inf(n) for n in numeric})
