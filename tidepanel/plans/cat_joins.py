@@ -36,7 +36,7 @@ def join_macro_daily(sp, sf):
     return j.macro_daily(d.bars(sp, sf).select("symbol", "date", "close"), d.macro_wide(sp, sf), ["urgent", "low"])
 
 
-@query("join_macro_reindex", "SELECT a.date, R(urgent) AS urgent, R(low) AS low FROM mkt a ASOF LEFT JOIN macro_wide m ON a.date>=m.date")
+@query("join_macro_reindex", "SELECT a.date, R(urgent) AS urgent, R(low) AS low FROM mkt a ASOF LEFT JOIN macro_fill m ON a.date>=m.date")
 def join_macro_reindex(sp, sf):
     return j.macro_reindex(d.market(sp, sf).select("date"), d.macro_wide(sp, sf), ["urgent", "low"])
 
