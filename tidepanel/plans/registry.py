@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.core.frames import rnd
+from tidepanel.core.session import ship
 from tidepanel.plans.oracle import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None, digits: int = 6, **special: int):
     """Register a query. Doubles are rounded on the way out; SQL marks them with R(...)."""
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return rnd(fn(spark, sf_dir), digits, **special)
         run.__name__ = name
         run.__doc__ = fn.__doc__
