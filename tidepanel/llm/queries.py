@@ -39,3 +39,10 @@ def op6_secret_scan(spark, sf_dir):
     """Secrets of every whole text."""
     from tidepanel.llm import secrets
     return secrets.digests(documents(spark, sf_dir))
+
+
+@query
+def op10_substring_dedup(spark, sf_dir):
+    """Words of every whole text outside 13-word passages that a smaller document has too."""
+    from tidepanel.llm import repeats
+    return repeats.kept_words(documents(spark, sf_dir))
