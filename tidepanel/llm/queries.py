@@ -46,3 +46,58 @@ def op10_substring_dedup(spark, sf_dir):
     """Words of every whole text outside 13-word passages that a smaller document has too."""
     from tidepanel.llm import repeats
     return repeats.kept_words(documents(spark, sf_dir))
+
+
+@query
+def op5_near_dups(spark, sf_dir):
+    """Class of near-duplicates of every document."""
+    from tidepanel.llm import neardup
+    return neardup.classes(documents(spark, sf_dir))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    """Language of every whole text."""
+    from tidepanel.llm import langid
+    return langid.identify(documents(spark, sf_dir))
+
+
+@query
+def op4_fingerprints(spark, sf_dir):
+    """Multiset fingerprints of every text and of its edited text."""
+    from tidepanel.llm import fingerprints
+    return fingerprints.edited(documents(spark, sf_dir))
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    """Token counts of all documents, found by scanning flat token files."""
+    from tidepanel.llm import tokencount
+    return tokencount.count_documents(spark, documents(spark, sf_dir), public_tokenizers.path(BYTE), public_tokenizers.PATTERN, 50256)
+
+
+@query
+def op8_best_fit_packing(spark, sf_dir):
+    """All documents in sequences of at most 4096 tokens."""
+    from tidepanel.llm import packing
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD))
+
+
+@query
+def op9_nearest_vectors(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth."""
+    from tidepanel.llm import curves
+    return curves.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The place of a document in a tree of folders: source, language, hundred.
+DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), cast(floor(doc_id / 100) as string), cast(doc_id as string))"
+
+
+@query
+def op2_licences(spark, sf_dir):
+    """Licence of every document, its own or that of the nearest folder."""
+    from tidepanel.llm import licences
+    docs = documents(spark, sf_dir)
+    found = licences.scan(docs.select(F.expr(DOCUMENT_PATH).alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "origin", "inherited_from")
