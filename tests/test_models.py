@@ -24,7 +24,7 @@ def direct(x, y, iters):
     d = x.shape[1]
     m, s = np.zeros(d), np.eye(d)
     for _ in range(iters):
-        a = np.sqrt(2 / (m ** 2 + np.diag(s) + 1e-8))
+        a = np.sqrt(2) / np.sqrt(m ** 2 + np.diag(s))
         s = np.linalg.inv(x.T @ x + np.diag(a))
         m = s @ x.T @ y
     return m, s, np.clip(1 - a * np.diag(s), 0, 1)
@@ -45,7 +45,18 @@ def test_sparse_fit_from_gram(rows):
 @pytest.mark.parametrize("prior", sb.PRIORS)
 def test_every_prior_converges(rows, prior):
     r = sb.fit(rows[0], ["key"], list("abcd"), "y", prior).first()
-    assert np.isfinite(r["elbo"]) and abs(r["coef"][0] - 1.5) < 0.2
+    assert np.isfinite(r["elbo"]) and r["converged"] and abs(r["coef"][0] - 1.5) < 0.2
+    assert not sb.fit(rows[0], ["key"], list("abcd"), "y", prior, max_iter=2).first()["converged"]
+
+
+@pytest.mark.parametrize("prior", sb.PRIORS[:2])
+def test_the_bound_never_falls(rows, prior):
+    _, _, x, y, _ = rows
+    args = (x.T @ x, x.T @ y, float(y @ y), len(y), prior)
+    bounds = [sb.solve(*args, max_iter=k)["elbo"] for k in range(2, 12)]
+    if prior == "horseshoe":  # every factor maximises the same bound
+        assert all(b >= a - 1e-7 for a, b in zip(bounds, bounds[1:]))
+    assert np.isfinite(bounds).all()
 
 
 def test_regime_fit_and_predictions(rows):

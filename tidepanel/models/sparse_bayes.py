@@ -17,65 +17,113 @@ from tidepanel.functions.moments import argmax, dot, quad_form
 from tidepanel.models.gram import gram, key_schema, per_row, square
 
 PRIORS = ("laplace", "horseshoe", "spike_slab")
-FIT = "n bigint, coef array<double>, cov array<array<double>>, gamma array<double>, selected array<int>, elbo double, iterations int, mse double"
-_erfc = np.vectorize(math.erfc)
-
-
-def _shrinkage(prior: str, second: np.ndarray, slab: np.ndarray):
-    """Prior precision per weight from E[w^2], with the state the evidence bound needs."""
-    if prior == "laplace":
-        return np.sqrt(2.0 / (second + 1e-8)), {}
-    if prior == "horseshoe":
-        local = 1.0 / (np.sqrt(second + 1e-8) + 1e-8)
-        tau = 1.0 / (np.sum(1.0 / (local + 1e-8)) + 1e-8)
-        return 1.0 / (tau * local + 1e-8), {"scale": tau * local}
-    # log odds of the wide component against a spike of variance 1e-6
-    log_odds = 0.5 * (math.log(1e-6) - np.log(slab)) + 0.5 * second * (1e6 - 1.0 / slab)
-    q = 1.0 / (1.0 + np.exp(-np.clip(log_odds, -700, 700)))
-    new_slab = second + 1e-6
-    return (1 - q) * 1e6 + q / new_slab, {"q": q, "slab": new_slab}
-
-
-def _prior_bound(prior: str, m, v, alpha, st) -> float:
-    second = m * m + v
-    if prior == "laplace":
-        log_abs = 0.5 * np.log(2 / np.pi) + 0.5 * np.log(v) + np.log(_erfc(-np.abs(m) / np.sqrt(2 * v)))
-        return float(np.sum(np.log(alpha / 2) - alpha * (np.abs(m) + log_abs)))
-    if prior == "horseshoe":
-        return float(np.sum(-0.5 * np.log(2 * np.pi * st["scale"]) - 0.5 * second / st["scale"]))
-    spike = (1 - st["q"]) * (-1e6 * second)
-    slab = st["q"] * (-0.5 * np.log(2 * np.pi * st["slab"]) - 0.5 * second / st["slab"])
-    gap = np.clip(slab - spike, -700, 700)
-    return float(np.sum(np.log(np.maximum((1 - st["q"]) + np.exp(gap), 1e-300))))
-
-
-def solve(xx: np.ndarray, xy: np.ndarray, yy: float, n: float, prior: str = "laplace", alpha0: float = 1.0, beta: float = 1.0,
+FIT = "n bigint, coef array<double>, cov array<array<double>>, gamma array<double>, selected array<int>, elbo double, iterations int, converged boolean, mse double"
+#: Smallest second moment or precision, and the relevance above which a weight counts as selected.
+FLOOR, RELEVANT = 1e-8, 0.1
+
+
+class Laplace:
+    """Normal scale mixture of the double exponential with rate ``rate`` (Park and Casella 2008).
+
+    Under an exponential mixing density the mean inverse scale is rate / sqrt(E w^2). The expected log prior needs E|w|,
+    the mean of a folded normal.
+    """
+    rate = math.sqrt(2.0)
+
+    def __init__(self, d: int):
+        self.d = d
+
+    def update(self, second: np.ndarray) -> np.ndarray:
+        return self.rate / np.sqrt(np.maximum(second, FLOOR))
+
+    def bound(self, m: np.ndarray, v: np.ndarray) -> float:
+        sd = np.sqrt(v)
+        folded = sd * math.sqrt(2 / math.pi) * np.exp(-0.5 * (m / sd) ** 2) + m * np.array([math.erf(z) for z in m / (sd * math.sqrt(2))])
+        return float(self.d * math.log(self.rate / 2) - self.rate * folded.sum())
+
+
+class Horseshoe:
+    """Half-Cauchy scales written as inverse gammas with inverse-gamma auxiliaries (Makalic and Schmidt 2016).
+
+    Mean-field factors are inverse gamma throughout, q(x) = IG(a, b) with E[1/x] = a / b. In the evidence bound the log means
+    cancel against the entropies, which leaves the rates.
+    """
+
+    def __init__(self, d: int):
+        self.d, self.shape = d, (d + 1) / 2
+        self.local, self.total = np.ones(d), 1.0  # E[1/lambda_j^2], E[1/tau^2]
+
+    def update(self, second: np.ndarray) -> np.ndarray:
+        self.rate_nu = 1.0 + self.local
+        self.rate_local = 1.0 / self.rate_nu + 0.5 * second * self.total
+        self.local = 1.0 / self.rate_local
+        self.rate_xi = 1.0 + self.total
+        self.rate_total = 1.0 / self.rate_xi + 0.5 * float(second @ self.local)
+        self.total = self.shape / self.rate_total
+        return np.maximum(self.local * self.total, FLOOR)
+
+    def bound(self, m: np.ndarray, v: np.ndarray) -> float:
+        second = m * m + v
+        fit = -0.5 * self.d * math.log(2 * math.pi) - 0.5 * self.total * float(second @ self.local)
+        per = (1 - np.log(self.rate_local)) + (1 - np.log(self.rate_nu)) - math.log(math.pi) - self.local / self.rate_nu - 1 / self.rate_nu
+        whole = self.shape + math.lgamma(self.shape) - self.shape * math.log(self.rate_total) + 1 - math.log(self.rate_xi)
+        return float(fit + per.sum() + whole - math.log(math.pi) - self.total / self.rate_xi - 1 / self.rate_xi)
+
+
+class SpikeSlab:
+    """Two normals around zero, a narrow one of fixed variance and a wide one, with Bernoulli membership (George and McCulloch 1993).
+
+    Responsibilities are the usual mixture posterior; weight share and wide variance maximise the bound.
+    """
+    narrow = 1e-6
+
+    def __init__(self, d: int):
+        self.d, self.share, self.wide = d, 0.5, 1.0
+
+    def update(self, second: np.ndarray) -> np.ndarray:
+        odds = math.log(self.share / (1 - self.share)) + 0.5 * math.log(self.narrow / self.wide) + 0.5 * second * (1 / self.narrow - 1 / self.wide)
+        self.member = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        self.share = float(np.clip(self.member.mean(), 0.01, 0.99))
+        self.wide = max(float(self.member @ second) / max(self.member.sum(), FLOOR), 10 * self.narrow)
+        return (1 - self.member) / self.narrow + self.member / self.wide
+
+    def bound(self, m: np.ndarray, v: np.ndarray) -> float:
+        second, r = m * m + v, self.member
+        normal = lambda var: -0.5 * (math.log(2 * math.pi * var) + second / var)
+        mix = np.clip(np.array([r, 1 - r]), 1e-300, 1)
+        choice = mix[0] * (math.log(self.share) - np.log(mix[0])) + mix[1] * (math.log(1 - self.share) - np.log(mix[1]))
+        return float(np.sum(r * normal(self.wide) + (1 - r) * normal(self.narrow) + choice))
+
+
+PRIOR = dict(zip(PRIORS, (Laplace, Horseshoe, SpikeSlab), strict=True))
+
+
+def solve(xx: np.ndarray, xy: np.ndarray, yy: float, n: float, prior: str = "laplace", beta: float = 1.0,
           max_iter: int = 1000, tol: float = 1e-6) -> dict:
-    """Posterior mean, covariance, relevance and evidence bound with automatic relevance determination."""
+    """Mean-field posterior of the weights from sums: mean, covariance, relevance and evidence bound.
+
+    The relevance of a weight is the share of its precision that the data supply (MacKay 1992). ``converged`` tells whether
+    the bound settled within ``max_iter`` rounds. The posterior precision is positive definite because every prior
+    precision is, so it is factorised by Cholesky.
+    """
     d = len(xy)
-    m, s, slab = np.zeros(d), np.eye(d), np.ones(d)
-    gamma, last, elbo, it = np.full(d, 0.5), -np.inf, -np.inf, 0
-    alpha = np.full(d, alpha0)
-    for it in range(1, max_iter + 1):
-        alpha, st = _shrinkage(prior, m * m + np.diag(s), slab)
-        slab = st.get("slab", slab)
-        precision = beta * xx + np.diag(alpha)
-        try:
-            s = np.linalg.inv(precision)
-        except np.linalg.LinAlgError:
-            s = np.linalg.inv(precision + 1e-6 * np.eye(d))
+    state, eye = PRIOR[prior](d), np.eye(d)
+    second, bounds, rounds = np.ones(d), [-math.inf], 0
+    m, s, precision = np.zeros(d), eye, np.ones(d)
+    while rounds < max_iter and (rounds < 2 or abs(bounds[-1] - bounds[-2]) >= tol):
+        rounds += 1
+        precision = state.update(second)
+        root = np.linalg.inv(np.linalg.cholesky(beta * xx + np.diag(precision)))
+        s = root.T @ root
         m = beta * s @ xy
-        v = np.maximum(np.diag(s), 1e-300)
-        gamma = np.clip(1.0 - alpha * v, 0.0, 1.0)
-        alpha = np.where(gamma > 1e-6, gamma / (m * m + v + 1e-8), 1e6)
-        rss = yy - 2 * m @ xy + m @ xx @ m
-        fit = -0.5 * n * math.log(2 * math.pi / beta) - 0.5 * beta * (rss + np.sum(s * xx))
-        entropy = 0.5 * (d * math.log(2 * math.pi * math.e) + np.linalg.slogdet(s)[1])
-        elbo = fit + _prior_bound(prior, m, v, alpha, st) + entropy
-        if abs(elbo - last) < tol:
-            break
-        last = elbo
-    return {"coef": m, "cov": s, "gamma": gamma, "elbo": float(elbo), "iterations": it, "selected": np.where(gamma > 0.1)[0]}
+        v = np.diag(s)
+        second = m * m + v
+        misfit = yy - 2 * m @ xy + m @ xx @ m + float((s * xx).sum())
+        bounds.append(0.5 * (n * math.log(beta / (2 * math.pi)) - beta * misfit) + state.bound(m, v)
+                      + 0.5 * d * math.log(2 * math.pi * math.e) + float(np.log(np.diag(root)).sum()))
+    relevance = np.clip(1 - precision * np.diag(s), 0, 1)
+    return {"coef": m, "cov": s, "gamma": relevance, "elbo": float(bounds[-1]), "iterations": rounds, "selected": np.flatnonzero(relevance > RELEVANT),
+            "converged": rounds >= 2 and bool(abs(bounds[-1] - bounds[-2]) < tol)}
 
 
 def _record(r: dict, keys: list[str], scale: float, **kw) -> dict:
@@ -83,7 +131,7 @@ def _record(r: dict, keys: list[str], scale: float, **kw) -> dict:
     f = solve(xx, xy, yy, r["n"], **kw)
     mse = (yy - 2 * f["coef"] @ xy + f["coef"] @ xx @ f["coef"]) / max(r["sw"] * scale, 1e-300)
     return {**{k: r[k] for k in keys}, "n": r["n"], "coef": f["coef"].tolist(), "cov": f["cov"].tolist(), "gamma": f["gamma"].tolist(),
-            "selected": [int(i) for i in f["selected"]], "elbo": f["elbo"], "iterations": f["iterations"], "mse": float(mse)}
+            "selected": f["selected"].tolist(), "elbo": f["elbo"], "iterations": f["iterations"], "converged": f["converged"], "mse": float(mse)}
 
 
 def fit(df: DataFrame, keys: list[str], xs: list[str], y: str, prior: str = "laplace", **kw) -> DataFrame:
@@ -139,6 +187,7 @@ def fit_regimes(df: DataFrame, keys: list[str], xs: list[str], y: str, prior="la
 def couple(fits: DataFrame, keys: list[str], penalty: float = 0.1) -> DataFrame:
     """Priors shared across a key's regimes: weighted importance, and the dissimilarity penalty of each regime."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("regime")
         w = pdf["effective"] / pdf["effective"].sum()
         imp = np.average(np.vstack(pdf["gamma"]), axis=0, weights=w)
         sets = [set(s) for s in pdf["selected"]]
@@ -153,7 +202,7 @@ def couple(fits: DataFrame, keys: list[str], penalty: float = 0.1) -> DataFrame:
         return pd.DataFrame({**{k: pdf[k] for k in keys}, "regime": pdf["regime"], "alpha_prior": float(np.mean(imp + 0.1)),
                              "beta_prior": float(np.mean(1 / (imp + 0.1))), "penalty": pen, "global_importance": [imp.tolist()] * len(pdf)})
 
-    return fits.orderBy("regime").groupBy(*keys).applyInPandas(
+    return fits.groupBy(*keys).applyInPandas(
         one, f"{key_schema(fits, keys)}, regime int, alpha_prior double, beta_prior double, penalty double, global_importance array<double>")
 
 

@@ -36,7 +36,7 @@ def m_gram(sp, sf):
 
 def flat(df, *keys):
     """Array results as columns."""
-    return df.select(*keys, *[F.col("coef")[i].alias(f"w_{x}") for i, x in enumerate(XS)], *[F.col("gamma")[i].alias(f"g_{x}") for i, x in enumerate(XS)], "n", "elbo", "iterations")
+    return df.select(*keys, *[F.col("coef")[i].alias(f"w_{x}") for i, x in enumerate(XS)], *[F.col("gamma")[i].alias(f"g_{x}") for i, x in enumerate(XS)], "n", "elbo", "iterations", "converged")
 
 
 @query("m_sbl_fit")
@@ -49,7 +49,7 @@ def m_sbl_elbo(sp, sf):
     out = None
     x = design(sp, sf)
     for p in sb.PRIORS:
-        r = sb.fit(x, ["series"], XS, "y", p).select("series", F.lit(p).alias("prior"), "elbo", "iterations", F.size("selected").alias("n_selected"))
+        r = sb.fit(x, ["series"], XS, "y", p).select("series", F.lit(p).alias("prior"), "elbo", "iterations", "converged", F.size("selected").alias("n_selected"))
         out = r if out is None else out.unionByName(r)
     return out
 
