@@ -88,3 +88,78 @@ def test_business_day_arithmetic(spark):
     pdf["hi"] = pdf["lo"] + pd.to_timedelta(pdf["k"], "D")
     got = spark.createDataFrame(pdf).select(q.business_days(F.col("lo"), F.col("hi")).alias("n")).toPandas()["n"]
     assert list(got) == [len(pd.bdate_range(a, b)) for a, b in zip(pdf["lo"], pdf["hi"])]
+
+
+def test_bars_without_close_survive_adjustments(spark):
+    from tidepanel.operators import cleaning as cl
+    from pyspark.sql import functions as F
+    b = bars_frame(spark, [("A", "2020-01-01", 1.0, 2.0, 0.5, None, 10.0), ("A", "2020-01-02", 1.0, 2.0, 0.5, 1.5, 10.0)])
+    a = spark.createDataFrame([("A", "2020-01-02", 2.0), ("A", "2020-01-05", 3.0)], "symbol string, d string, value double").select("symbol", F.col("d").cast("timestamp").alias("date"), "value")
+    got = {str(r["date"])[:10]: (r["open"], r["close"]) for r in cl.adjust_splits(b, a).collect()}
+    assert got == {"2020-01-01": (6.0, None), "2020-01-02": (3.0, 4.5)}
+    assert cl.adjust_dividends(b, a).count() == 2
+
+
+def test_total_loss_ends_wealth(spark):
+    from tidepanel.operators import backtest as bt, technical as t
+    from pyspark.sql import functions as F
+    d = spark.createDataFrame([("A", i, r) for i, r in enumerate([0.1, -1.0, 0.1])] + [("B", i, r) for i, r in enumerate([-1.5, 0.2])], "symbol string, date int, ret double")
+    got = [(r["symbol"], round(r["wealth"], 6), round(r["drawdown"], 6)) for r in t.drawdown(d).orderBy("symbol", "date").collect()]
+    assert got == [("A", 1.1, 0.0), ("A", 0.0, -1.0), ("A", 0.0, -1.0), ("B", 0.0, -1.0), ("B", 0.0, -1.0)]
+    b = bt.bootstrap_ci(d.where("symbol = 'B'").select(F.col("symbol").alias("series"), "date", "ret"), 20).where("metric = 'max_drawdown'").first()
+    assert b["q05"] == -1.0
+
+
+def test_ewm_with_nulls_inside_like_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from tidepanel.functions import smoothing as sm
+    x = [None, 1.0, None, 3.0, 2.0, None, None, 5.0, 1.0]
+    d = spark.createDataFrame([("A", i, v) for i, v in enumerate(x)], "symbol string, date int, x double")
+    s = pd.Series(x, dtype=float)
+    got = sm.ewm_mean(d, {"m": ("x", 3)}).orderBy("date").toPandas()["m"]
+    np.testing.assert_allclose(got, s.ewm(span=3).mean(), rtol=1e-12)
+    got = sm.ewm_std(d, {"m": ("x", 3)}).orderBy("date").toPandas()["m"]
+    np.testing.assert_allclose(got, s.ewm(span=3).std(), rtol=1e-9)
+    got = sm.ewm_recursive(d, {"m": ("x", 3)}).orderBy("date").toPandas()["m"]
+    np.testing.assert_allclose(got, s.ewm(span=3, adjust=False, ignore_na=True).mean(), rtol=1e-12)
+
+
+def test_duplicates_tell_null_columns_apart(spark):
+    from tidepanel.operators import quality as q
+    d = spark.createDataFrame([(1, None, 1.0), (1, 1.0, None), (1, None, 1.0)], "k int, a double, b double")
+    assert q.duplicates(d, ["k"], ["a", "b"]).first().asDict() == {"duplicate_keys": 2, "duplicate_rows": 1}
+
+
+def test_slices_add_up_to_the_order(spark):
+    from pyspark.sql import functions as F
+    from tidepanel.operators import execution as ex
+    o = spark.createDataFrame([(1, "A", "2020-01-01 09:00:00", 100.0, 2), (2, "A", "2020-01-01 09:00:00", 1e6, 2)], "order_id int, symbol string, t string, quantity double, regime int").withColumn("order_time", F.col("t").cast("timestamp"))
+    adv = spark.createDataFrame([("A", 6500.0)], "symbol string, adv double")
+    for r in ex.slice_schedule(o, adv).groupBy("order_id").agg(F.sum("slice_quantity").alias("s"), F.max("unfilled").alias("u")).collect():
+        assert abs(r["s"] + r["u"] - (100.0 if r["order_id"] == 1 else 1e6)) < 1e-6
+
+
+def test_raw_trades_are_not_sorted(spark, sf):
+    from tidepanel.sources import domain as d
+    plan = d.bars(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "ObjectHash" not in plan
+    plan = d.bars(spark, sf, "1996-03-01", "1997-08-31")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_staging_refuses_a_machine_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from tidepanel.core import scratch
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda k, default=None: default)
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session())

@@ -79,6 +79,12 @@ def change(x, k: int = 1, key=KEY, time=TIME) -> Column:
     return div(x, F.lag(c(x), k).over(ordered(key, time))) - 1
 
 
+def log_growth(x) -> Column:
+    """log(1 + x), minus infinity for a loss of everything or more: wealth stays 0 from there on."""
+    x = c(x)
+    return F.when(x > -1, F.log1p(x)).when(x <= -1, F.lit(float("-inf")))
+
+
 def no_inf(x) -> Column:
     """NaN and infinities become null."""
     x = c(x)

@@ -1,16 +1,31 @@
 """Run-scoped folders for tables a job writes and reads back."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local temporary folder only when none is set."""
+    """The cluster's shared checkpoint folder; in local mode a temporary folder of the session if none is set.
+
+    On a cluster a machine's own folder would be seen by that machine only, so a missing setting is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+    return _LOCAL[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

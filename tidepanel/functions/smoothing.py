@@ -18,10 +18,15 @@ def _keep(span: float | None, alpha: float | None) -> float:
     return 1.0 - (alpha if alpha is not None else 2.0 / (span + 1.0))
 
 
-def _decayed_sums(df: DataFrame, jobs: dict[str, tuple[Column, float]], key, time) -> DataFrame:
-    """Add sum_i value_i * keep^(t-i) for each (value, keep); null values count as zero."""
+def _carried(x: str, value: Column, key, time) -> Column:
+    """``value`` where ``x`` is known, else the last such value; a long gap would decay to nothing otherwise."""
+    return F.last(F.when(F.col(x).isNotNull(), value), ignorenulls=True).over(expanding(key, time))
+
+
+def _decayed_sums(df: DataFrame, jobs: dict[str, tuple[Column, float]], key, time, position: Column | None = None) -> DataFrame:
+    """Add sum_i value_i * keep^(t-i) for each (value, keep); null values count as zero. ``position``: i other than the row number."""
     keys = [key] if isinstance(key, str) else list(key)
-    df = df.withColumn("_i", F.row_number().over(ordered(key, time)) - 1)
+    df = df.withColumn("_i", position if position is not None else F.row_number().over(ordered(key, time)) - 1)
     keeps = sorted({k for _, k in jobs.values()})
     tag = {k: f"_b{n}" for n, k in enumerate(keeps)}
     length = {k: max(2, math.ceil(math.log(1e-17) / math.log(k))) for k in keeps}
@@ -42,24 +47,28 @@ def _decayed_sums(df: DataFrame, jobs: dict[str, tuple[Column, float]], key, tim
 
 
 def ewm_mean(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIME, by_alpha=False) -> DataFrame:
-    """Adjusted EWM means: out -> (column, span). A column may start with nulls but not contain later ones."""
+    """Adjusted EWM means: out -> (column, span). Weights decay over null rows too, which keep the value before them."""
     keep = {n: _keep(None, s) if by_alpha else _keep(s, None) for n, (_, s) in jobs.items()}
-    df = _decayed_sums(df, {n: (F.col(x), keep[n]) for n, (x, _) in jobs.items()}, key, time)
-    out = {}
-    for n, (x, _) in jobs.items():
-        seen = F.count(x).over(expanding(key, time))
-        out[n] = F.when(seen > 0, F.col(n) * (1 - keep[n]) / (1 - F.pow(F.lit(keep[n]), seen)))
-    return df.withColumns(out)
+    sums = {n: (F.col(x), keep[n]) for n, (x, _) in jobs.items()}
+    sums |= {f"_w_{n}": (F.col(x).isNotNull().cast("double"), keep[n]) for n, (x, _) in jobs.items()}
+    df = _decayed_sums(df, sums, key, time)
+    out = {n: _carried(x, F.col(n) / F.col(f"_w_{n}"), key, time) for n, (x, _) in jobs.items()}
+    return df.withColumns(out).drop(*[f"_w_{n}" for n in jobs])
 
 
 def ewm_recursive(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIME) -> DataFrame:
-    """Unadjusted y = a x + (1-a) y_prev, seeded with the first value: the first value weighs 1/a more."""
+    """Unadjusted y = a x + (1-a) y_prev over the non-null rows, seeded with the first of them; null rows keep the value.
+
+    The seed weighs 1/a more than the others. Positions count non-null rows, so a null adds nothing and decays nothing.
+    """
     keep = {n: _keep(s, None) for n, (_, s) in jobs.items()}
-    first = F.row_number().over(ordered(key, time)) == 1
-    df = df.withColumn("_f", first)
-    df = _decayed_sums(df, {n: (F.col(x) * F.when(F.col("_f"), 1.0).otherwise(1 - keep[n]), keep[n])
-                            for n, (x, _) in jobs.items()}, key, time)
-    return df.drop("_f")
+    for x in dict.fromkeys(x for x, _ in jobs.values()):
+        mine = [n for n, (y, _) in jobs.items() if y == x]
+        df = df.withColumn("_seen", F.count(x).over(expanding(key, time)))
+        df = _decayed_sums(df, {n: (F.col(x) * F.when(F.col("_seen") == 1, 1.0).otherwise(1 - keep[n]), keep[n]) for n in mine}, key, time,
+                           F.greatest(F.col("_seen") - 1, F.lit(0)))
+        df = df.withColumns({n: _carried(x, F.col(n), key, time) for n in mine}).drop("_seen")
+    return df
 
 
 def ewm_std(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIME) -> DataFrame:
@@ -68,14 +77,14 @@ def ewm_std(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIM
     sums: dict[str, tuple[Column, float]] = {}
     for n, (x, _) in jobs.items():
         sums[f"{n}_1"], sums[f"{n}_2"] = (F.col(x), keep[n]), (F.col(x) * F.col(x), keep[n])
+        there = F.col(x).isNotNull().cast("double")
+        sums[f"{n}_w"], sums[f"{n}_v"] = (there, keep[n]), (there, keep[n] ** 2)
     df = _decayed_sums(df, sums, key, time)
     out = {}
     for n, (x, _) in jobs.items():
         seen = F.count(x).over(expanding(key, time))
-        r = F.lit(keep[n])
-        w = (1 - F.pow(r, seen)) / (1 - keep[n])
-        w2 = (1 - F.pow(r, 2 * seen)) / (1 - keep[n] ** 2)
-        m = F.col(f"{n}_1") / w
-        var = F.greatest(F.col(f"{n}_2") / w - m * m, F.lit(0.0))
-        out[n] = F.when(seen >= 2, F.sqrt(var * div(w * w, w * w - w2)))
+        w, w2 = F.col(f"{n}_w"), F.col(f"{n}_v")
+        m = div(F.col(f"{n}_1"), w)
+        var = F.greatest(div(F.col(f"{n}_2"), w) - m * m, F.lit(0.0))
+        out[n] = _carried(x, F.when(seen >= 2, F.sqrt(var * div(w * w, w * w - w2))), key, time)
     return df.withColumns(out).drop(*sums)

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import ANNUAL, corr, div, expanding, full, ordered, roll, trailing, whole
+from tidepanel.core.frames import ANNUAL, corr, div, expanding, full, log_growth, ordered, roll, trailing, whole
 from tidepanel.core.ordering import grouped_quantiles, grouped_rank
 from tidepanel.core.scratch import materialise
 from tidepanel.functions.moments import f_tail_df2, kurt_g2, skew_g1
@@ -123,7 +123,7 @@ def performance(df: DataFrame, keys: list[str], value="ret", bench="bench", rf=0
     d = drawdown(df.where(F.col(value).isNotNull() & F.col(bench).isNotNull()), keys, time, value).withColumn("_e", F.col(value) - F.col(bench))
     x, ann = F.col(value), math.sqrt(YEAR)
     g = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.log1p(x)).alias("_l"), (F.stddev_samp(x) * ann).alias("annualized_volatility"),
+        F.count(F.lit(1)).alias("n"), F.sum(log_growth(x)).alias("_l"), (F.stddev_samp(x) * ann).alias("annualized_volatility"),
         (F.stddev_samp(F.when(x < 0, x)) * ann).alias("_dv"), F.min("drawdown").alias("max_drawdown"), F.avg("_e").alias("_em"),
         (F.stddev_samp("_e") * ann).alias("tracking_error"), F.regr_slope(value, bench).alias("_b"), F.regr_intercept(value, bench).alias("_a"),
         F.avg((x > 0).cast("int")).alias("win_rate"), F.max(x).alias("best_day"), F.min(x).alias("worst_day"),

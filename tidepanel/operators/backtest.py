@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import ANNUAL, attach, div, expanding, ordered
+from tidepanel.core.frames import ANNUAL, attach, div, expanding, log_growth, no_inf, ordered
 from tidepanel.operators.joins import asof
 
 # fixed values: commission, spread and slippage in basis points
@@ -63,19 +63,22 @@ def portfolio_returns(weights: DataFrame, rets: DataFrame, time="date") -> DataF
 def trades_costs(weights: DataFrame, growth: DataFrame, bps: float = COST_BPS, min_trade: float = 1e-6) -> DataFrame:
     """Trades against drifted weights, cost per rebalance and cumulative log wealth net of cost.
 
-    ``growth`` is (symbol, date, growth): gross growth from the book of ``date`` to the next one.
+    ``growth`` is (symbol, date, growth): gross growth from the book of ``date`` to the next one. What the weights of a
+    book leave of 1 is cash and does not grow, so long and short positions drift together and a growth of 0 or less
+    ends all wealth: ``ruined`` from there on, without a log.
     """
     g = weights.join(growth, ["symbol", "date"], "left").withColumn("growth", F.coalesce("growth", F.lit(1.0)))
-    port = g.groupBy("date").agg(F.sum(F.col("weight") * F.col("growth")).alias("pg"))
+    port = g.groupBy("date").agg((1 + F.sum(F.col("weight") * (F.col("growth") - 1))).alias("pg"))
     dates = weights.select("date").distinct().withColumn("_k", F.lit(0)).select("date", F.lead("date").over(Window.partitionBy("_k").orderBy("date")).alias("next"))
     drift = (g.join(port, "date").join(dates, "date").where("next is not null")
-             .select("symbol", F.col("next").alias("date"), (-F.col("weight") * F.col("growth") / F.col("pg")).alias("weight")))
+             .select("symbol", F.col("next").alias("date"), (-F.coalesce(div(F.col("weight") * F.col("growth"), "pg"), F.lit(0.0))).alias("weight")))
     t = weights.select("symbol", "date", "weight").unionByName(drift).groupBy("symbol", "date").agg(F.sum("weight").alias("trade"))
     t = t.where(F.abs("trade") > min_trade).groupBy("date").agg(F.count(F.lit(1)).alias("trades"), F.sum(F.abs("trade")).alias("turnover"))
     d = port.join(t, "date", "left").withColumns({"cost": F.coalesce("turnover", F.lit(0.0)) * bps / 1e4, "_k": F.lit(0)})
-    step = F.log(F.col("pg")) + F.log(1 - F.col("cost"))
+    step = log_growth(F.col("pg") - 1) + log_growth(-F.col("cost"))
     d = d.withColumn("_s", step)
-    return d.select("date", "trades", "turnover", "cost", F.col("pg").alias("gross_growth"), F.sum("_s").over(expanding("_k")).alias("log_wealth"))
+    return d.select("date", "trades", "turnover", "cost", F.col("pg").alias("gross_growth"),
+                    no_inf(F.sum("_s").over(expanding("_k"))).alias("log_wealth"), (F.sum("_s").over(expanding("_k")) == float("-inf")).alias("ruined"))
 
 
 def benchmark(rets: DataFrame) -> DataFrame:
@@ -96,8 +99,8 @@ def bootstrap_ci(df: DataFrame, n_sim: int = 200, levels=(0.05, 0.95), key="seri
     draw = draw.withColumn("pos", F.pmod(h, F.col("n")))
     x = draw.join(s, [key, "pos"])
     w = Window.partitionBy(key, "sim").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_l", F.sum(F.log1p("r")).over(w)).withColumn("_d", F.exp(F.col("_l") - F.max("_l").over(w)) - 1)
-    m = x.groupBy(key, "sim").agg((F.exp(F.sum(F.log1p("r")) * float(ANNUAL) / F.count(F.lit(1))) - 1).alias("annual_return"),
+    x = x.withColumn("_l", F.sum(log_growth("r")).over(w)).withColumn("_d", F.exp(F.col("_l") - F.greatest(F.max("_l").over(w), F.lit(-1e300))) - 1)
+    m = x.groupBy(key, "sim").agg((F.exp(F.sum(log_growth("r")) * float(ANNUAL) / F.count(F.lit(1))) - 1).alias("annual_return"),
                                   (F.stddev_samp("r") * math.sqrt(ANNUAL)).alias("volatility"), F.min("_d").alias("max_drawdown"))
     m = m.withColumn("sharpe", div("annual_return", "volatility"))
     long = m.unpivot([key, "sim"], ["annual_return", "volatility", "max_drawdown", "sharpe"], "metric", "value")

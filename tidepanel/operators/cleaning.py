@@ -103,7 +103,7 @@ def adjust_dividends(df: DataFrame, dividends: DataFrame) -> DataFrame:
 
 def _adjust(df: DataFrame, actions: DataFrame, kind: str) -> DataFrame:
     a = actions.groupBy("symbol", "date").agg((F.product("value") if kind == "ratio" else F.sum("value")).alias("_v"))
-    d = df.join(a, ["symbol", "date"], "full_outer").withColumn("_bar", F.col("close").isNotNull())
+    d = df.withColumn("_bar", F.lit(True)).join(a, ["symbol", "date"], "full_outer")
     later = Window.partitionBy("symbol").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
     if kind == "ratio":
         f = F.coalesce(F.product(F.coalesce("_v", F.lit(1.0))).over(later), F.lit(1.0))

@@ -75,7 +75,10 @@ def adv(bars: DataFrame, n=20) -> DataFrame:
 
 
 def slice_schedule(orders: DataFrame, adv: DataFrame, hours=4.0, slices=20, participation=0.2, style="vwap") -> DataFrame:
-    """Orders to timed slices: volume-profile weight by hour and a participation cap; ``regime`` scales both numbers."""
+    """Orders to timed slices: volume-profile weight by hour and a participation cap; ``regime`` scales both numbers.
+
+    A slice never exceeds what is left of its order; what the caps leave over stands in ``unfilled`` of each of its rows.
+    """
     dur = F.lit(hours) * F.when(F.col("regime") == 0, DURATION[0]).when(F.col("regime") == 1, DURATION[1]).otherwise(1.0)
     n = F.floor(slices * F.when(F.col("regime") == 0, SLICES[0]).when(F.col("regime") == 1, SLICES[1]).otherwise(1.0)).cast("int")
     d = orders.join(adv, "symbol", "left").withColumns({"_d": dur, "_n": n})
@@ -87,5 +90,9 @@ def slice_schedule(orders: DataFrame, adv: DataFrame, hours=4.0, slices=20, part
     weight = F.when(h.isin(9, 10, 15, 16), 1.5).when(h.between(11, 14), 0.7).otherwise(1.0) if style == "vwap" else F.lit(1.0)
     d = d.withColumns({"slice_id": F.col("_i") + 1, "weight": weight, "max_participation": F.col("adv") / 6.5 * participation})
     size = F.col("quantity") / F.col("_n") * F.col("weight")
-    return d.withColumn("slice_quantity", F.least(size, F.col("max_participation"))).select(
-        "order_id", "symbol", "slice_id", "scheduled_time", "slice_quantity", "weight", "max_participation")
+    d = d.withColumn("_want", F.least(size, F.col("max_participation")))
+    order = Window.partitionBy("order_id", "symbol")
+    done = F.sum("_want").over(order.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("quantity") - F.coalesce(done, F.lit(0.0))
+    return d.select("order_id", "symbol", "slice_id", "scheduled_time", F.greatest(F.least("_want", left), F.lit(0.0)).alias("slice_quantity"),
+                    F.greatest(F.col("quantity") - F.sum("_want").over(order), F.lit(0.0)).alias("unfilled"), "weight", "max_participation")

@@ -11,7 +11,7 @@ GROWTH_LINES = ("revenue", "gross_profit", "operating_income", "net_income", "to
 
 def latest(statements: DataFrame, time="fiscal_date") -> DataFrame:
     cols = [c for c in statements.columns if c != "symbol"]
-    return (statements.groupBy("symbol").agg(F.max_by(F.struct(*cols), time).alias("r")).select("symbol", "r.*"))
+    return statements.groupBy("symbol").agg(*[F.max_by(c, time).alias(c) for c in cols])
 
 
 def ratio_columns() -> dict[str, Column]:

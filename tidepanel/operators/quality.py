@@ -83,10 +83,9 @@ def continuity(df: DataFrame, key="symbol", time="date", max_gap=7) -> DataFrame
 
 
 def duplicates(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Rows beyond the first per key, and per identical row (128-bit row hash)."""
-    h = F.concat(F.xxhash64(*cols).cast("string"), F.lit(":"), F.hash(*cols).cast("string"))
+    """Rows beyond the first per key, and per identical row; nulls equal nulls in the same column only."""
     by_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("duplicate_keys"))
-    by_row = df.groupBy(h.alias("h"), *keys).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("duplicate_rows"))
+    by_row = df.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("duplicate_rows"))
     return attach(by_key, by_row)
 
 

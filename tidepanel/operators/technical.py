@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.core.frames import ANNUAL, change, corr, div, expanding, full, ordered, roll, trailing
+from tidepanel.core.frames import ANNUAL, change, corr, div, expanding, full, log_growth, ordered, roll, trailing
 from tidepanel.functions.moments import window_moments
 from tidepanel.functions.smoothing import ewm_mean, ewm_recursive, ewm_std
 
@@ -390,11 +390,11 @@ def rolling_rank(df: DataFrame, periods=(10, 20)) -> DataFrame:
 
 
 def drawdown(df: DataFrame, key="symbol", time="date", value="ret") -> DataFrame:
-    """Cumulative wealth, running peak and drawdown; a missing return counts as zero."""
+    """Cumulative wealth, running peak and drawdown; a missing return counts as zero, a total loss ends in wealth 0 for good."""
     w = expanding(key, time)
-    df = df.withColumn("wealth", F.exp(F.sum(F.log1p(F.coalesce(F.col(value), F.lit(0.0)))).over(w)))
+    df = df.withColumn("wealth", F.exp(F.sum(log_growth(F.coalesce(F.col(value), F.lit(0.0)))).over(w)))
     df = df.withColumn("peak", F.max("wealth").over(w))
-    return df.withColumn("drawdown", F.col("wealth") / F.col("peak") - 1)
+    return df.withColumn("drawdown", F.coalesce(div("wealth", "peak"), F.lit(0.0)) - 1)
 
 
 def drawdown_periods(df: DataFrame, key="symbol", time="date", value="ret") -> DataFrame:

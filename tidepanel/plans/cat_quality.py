@@ -49,10 +49,12 @@ def dq_continuity(sp, sf):
     return q.continuity(d.bars(sp, sf))
 
 
-@query("dq_duplicates", """WITH a AS (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber), b AS (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber, l_suppkey, l_quantity)
+@query("dq_duplicates", """WITH a AS (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber), b AS (SELECT c FROM (SELECT *, count(*) AS c FROM lineitem GROUP BY ALL))
  SELECT (SELECT sum(c-1)::BIGINT FROM a) AS duplicate_keys, (SELECT sum(c-1)::BIGINT FROM b) AS duplicate_rows""")
 def dq_duplicates(sp, sf):
-    return q.duplicates(d.table(sp, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_quantity"])
+    li = d.table(sp, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber"]
+    return q.duplicates(li, keys, [c for c in li.columns if c not in keys])
 
 
 @query("dq_dates", """WITH a AS (SELECT o_custkey AS symbol, o_orderdate AS date, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders)

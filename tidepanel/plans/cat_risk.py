@@ -160,15 +160,14 @@ def bt_portfolio_returns(sp, sf):
     return bt.portfolio_returns(d.weights(sp, sf), d.rets(sp, sf))
 
 
-@query("bt_trades_costs", """WITH lw AS (SELECT symbol, date, weight/1.3::DOUBLE AS weight FROM weights WHERE weight>0), gr AS (SELECT symbol, last_day(month)::TIMESTAMP AS date, lead(close) OVER (PARTITION BY symbol ORDER BY month)/close AS g FROM wmonth),
- j AS (SELECT lw.symbol, lw.date, weight, coalesce(g,1) AS g FROM lw LEFT JOIN gr USING (symbol, date)), pg AS (SELECT date, sum(weight*g) AS pg FROM j GROUP BY date), dd AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM pg),
+@query("bt_trades_costs", """WITH lw AS (SELECT symbol, date, weight FROM weights), gr AS (SELECT symbol, last_day(month)::TIMESTAMP AS date, lead(close) OVER (PARTITION BY symbol ORDER BY month)/close AS g FROM wmonth),
+ j AS (SELECT lw.symbol, lw.date, weight, coalesce(g,1) AS g FROM lw LEFT JOIN gr USING (symbol, date)), pg AS (SELECT date, 1+sum(weight*(g-1)) AS pg FROM j GROUP BY date), dd AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM pg),
  u AS (SELECT symbol, date, weight AS t FROM lw UNION ALL SELECT symbol, nx, -weight*g/pg FROM j JOIN pg USING (date) JOIN dd USING (date) WHERE nx IS NOT NULL), s AS (SELECT symbol, date, sum(t) AS t FROM u GROUP BY ALL), tr AS (SELECT date, count(*) AS trades, sum(abs(t)) AS tv FROM s WHERE abs(t)>1e-6 GROUP BY date),
- c AS (SELECT pg.date, trades, tv, coalesce(tv,0)*16.0::DOUBLE/1e4 AS cost, pg FROM pg LEFT JOIN tr USING (date)) SELECT date, trades, R(tv) AS turnover, R(cost) AS cost, R(pg) AS gross_growth, R(sum(ln(pg)+ln(1-cost)) OVER (ORDER BY date)) AS log_wealth FROM c""")
+ c AS (SELECT pg.date, trades, tv, coalesce(tv,0)*16.0::DOUBLE/1e4 AS cost, pg FROM pg LEFT JOIN tr USING (date)) SELECT date, trades, R(tv) AS turnover, R(cost) AS cost, R(pg) AS gross_growth, R(CASE WHEN min(least(pg,1-cost)) OVER (ORDER BY date)>0 THEN sum(CASE WHEN pg>0 AND cost<1 THEN ln(pg)+ln(1-cost) END) OVER (ORDER BY date) END) AS log_wealth, min(least(pg,1-cost)) OVER (ORDER BY date)<=0 AS ruined FROM c""")
 def bt_trades_costs(sp, sf):
-    w = d.weights(sp, sf).where("weight > 0").withColumn("weight", F.col("weight") / 1.3)
     m = d.bars(sp, sf).groupBy("symbol", F.date_trunc("month", "date").alias("month")).agg(F.max_by("close", "date").alias("close"))
     g = m.select("symbol", F.last_day("month").cast("timestamp").alias("date"), div(F.lead("close").over(ordered("symbol", "month")), "close").alias("growth"))
-    return bt.trades_costs(w, g)
+    return bt.trades_costs(d.weights(sp, sf), g)
 
 
 @query("bt_benchmark", "SELECT date, R(avg(ret)) AS ret, count(*) AS assets FROM rets WHERE ret IS NOT NULL GROUP BY date")
@@ -214,7 +213,7 @@ def ex_impact_apply(sp, sf):
 
 @query("ex_slice_schedule", f"""WITH {_ADV}, o AS (SELECT order_id, symbol, order_time+INTERVAL 9 HOUR AS ot, quantity, (order_id%3)::INT AS rg FROM pord), k AS (SELECT *, 4.0::DOUBLE*CASE rg WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1 END AS dh, floor(20*CASE rg WHEN 0 THEN 1.2::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 1 END)::INT AS ns FROM o LEFT JOIN av USING (symbol)),
  s AS (SELECT *, unnest(range(ns))::INT AS i FROM k), t AS (SELECT *, ot+to_microseconds(round(dh/ns*3600*i*1e6)::BIGINT) AS st FROM s), h AS (SELECT *, CASE WHEN hour(st) IN (9,10,15,16) THEN 1.5::DOUBLE WHEN hour(st) BETWEEN 11 AND 14 THEN 0.7::DOUBLE ELSE 1 END AS w FROM t)
- SELECT order_id, symbol, i+1 AS slice_id, st AS scheduled_time, R(least(quantity/ns*w, adv/6.5*0.2)) AS slice_quantity, R(w) AS weight, R(adv/6.5*0.2) AS max_participation FROM h""")
+ SELECT order_id, symbol, slice_id, scheduled_time, R(greatest(least(want, quantity-coalesce(done,0)),0)) AS slice_quantity, R(greatest(quantity-total,0)) AS unfilled, R(w) AS weight, R(cap) AS max_participation FROM (SELECT *, sum(want) OVER (PARTITION BY order_id, symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done, sum(want) OVER (PARTITION BY order_id, symbol) AS total FROM (SELECT order_id, symbol, i, i+1 AS slice_id, st AS scheduled_time, quantity, w, adv/6.5*0.2 AS cap, least(quantity/ns*w, adv/6.5*0.2) AS want FROM h))""")
 def ex_slice_schedule(sp, sf):
     o = d.parent_orders(sp, sf).withColumns({"order_time": F.col("order_time") + F.expr("INTERVAL 9 HOURS"), "regime": (F.col("order_id") % 3).cast("int")})
     return ex.slice_schedule(o, ex.adv(d.bars(sp, sf)))

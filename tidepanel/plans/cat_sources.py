@@ -13,9 +13,9 @@ BAR = "open high low close volume".split()
 RB = ", ".join(f"R({c}) AS {c}" for c in BAR)
 
 
-@query("src_bars", f"SELECT symbol, date, {RB} FROM bars WHERE date BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2001-12-31'")
+@query("src_bars", f"SELECT symbol, date, {RB} FROM bars WHERE date BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-08-31'")
 def src_bars(sp, sf):
-    return b.select_bars(d.bars(sp, sf), None, "1995-01-01", "2001-12-31").select("symbol", "date", *BAR)
+    return b.select_bars(d.bars(sp, sf, "1996-03-01", "1997-08-31"), None, "1996-03-01", "1997-08-31").select("symbol", "date", *BAR)
 
 
 @query("src_bars_from_trades", f"SELECT symbol, date, {RB}, R(adj_close) AS adj_close FROM bars")

@@ -25,13 +25,20 @@ def select_bars(df: DataFrame, symbols=None, start=None, end=None, key="symbol",
 
 
 def bars_from_trades(trades: DataFrame, unit: str, tie: Column | None = None, key="symbol", time="ts",
-                     price="price", quantity="quantity", extra: dict[str, Column] | None = None) -> DataFrame:
-    """OHLCV bars per key and calendar unit. Every aggregate combines map-side."""
-    order = F.struct(F.col(time), tie) if tie is not None else F.col(time)
-    return trades.groupBy(F.col(key).alias("symbol"), F.date_trunc(unit, time).alias("date")).agg(
-        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, order).alias("close"), F.sum(quantity).alias("volume"),
-        *[e.alias(n) for n, e in (extra or {}).items()])
+                     price="price", quantity="quantity", last: dict[str, Column] | None = None) -> DataFrame:
+    """OHLCV bars per key and calendar unit; ``last`` adds closing values of further columns.
+
+    Trades are reduced per (key, timestamp) first, ordered by one long ``tie``, then per unit, ordered by the timestamp. Both
+    orders are primitive, so both steps are hash aggregations that combine map-side; no raw trade is sorted.
+    """
+    tie = tie if tie is not None else F.lit(0).cast("long")
+    more = last or {}
+    ticks = trades.groupBy(F.col(key).alias("symbol"), F.col(time).alias("_t")).agg(
+        F.min_by(price, tie).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, tie).alias("close"),
+        F.sum(quantity).alias("volume"), *[F.max_by(e, tie).alias(n) for n, e in more.items()])
+    return ticks.groupBy("symbol", F.date_trunc(unit, "_t").alias("date")).agg(
+        F.min_by("open", "_t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_t").alias("close"),
+        F.sum("volume").alias("volume"), *[F.max_by(n, "_t").alias(n) for n in more])
 
 
 def index_and_sector_sets(df: DataFrame, mapping: DataFrame) -> DataFrame:

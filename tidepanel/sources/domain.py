@@ -33,11 +33,19 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("seq1"), F.col("l_linenumber").alias("seq2"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_order(order: str, line: str):
+    """One long that sorts like (order, line); orders have fewer than 2**16 lines."""
+    return F.shiftleft(F.col(order).cast("long"), 16) + F.col(line)
+
+
+def bars(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """Daily bars; a date range is applied to the raw trades, so that it reaches their scan."""
     t = trades(spark, sf_dir)
-    tie = F.struct("seq1", "seq2", "price")
-    return bars_from_trades(t, "day", tie, extra={
-        "adj_close": F.max_by(F.col("price") * (1 - F.col("discount")), tie)})
+    if start is not None:
+        t = t.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        t = t.where(F.col("ts") < F.lit(end).cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+    return bars_from_trades(t, "day", line_order("seq1", "seq2"), last={"adj_close": F.col("price") * (1 - F.col("discount"))})
 
 
 def weekly(daily: DataFrame) -> DataFrame:
@@ -105,8 +113,9 @@ def fundamentals(spark, sf_dir, period: str = "quarter") -> DataFrame:
     e, d, t, q = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
     months = {"quarter": 3, "year": 12}[period]
     start = F.date_trunc(period, "l_shipdate")
-    tie = F.struct("l_shipdate", "l_orderkey", "l_linenumber", div(e, q))
-    out = li.groupBy(F.col("l_suppkey").alias("symbol"), start.alias("start")).agg(
+    sums = ("revenue", "gross_profit", "operating_income", "net_income", "total_assets", "total_equity", "current_assets", "current_liabilities",
+            "inventory", "cash", "total_debt", "operating_cash_flow", "shares")
+    days = li.groupBy(F.col("l_suppkey").alias("symbol"), start.alias("start"), "l_shipdate").agg(
         F.sum(e).alias("revenue"), F.sum(e * (1 - d)).alias("gross_profit"),
         F.sum(e * (0.06 - d)).alias("operating_income"),
         F.sum(e * (0.05 - d) * (1 - t)).alias("net_income"),
@@ -114,7 +123,9 @@ def fundamentals(spark, sf_dir, period: str = "quarter") -> DataFrame:
         F.sum(e * (0.4 + t)).alias("current_assets"), F.sum(e * (0.2 + d)).alias("current_liabilities"),
         F.sum(e * t).alias("inventory"), F.sum(e * d * 0.5).alias("cash"),
         F.sum(e * (0.3 + t - d)).alias("total_debt"), F.sum(e * (0.05 - d + t)).alias("operating_cash_flow"),
-        F.sum(q).alias("shares"), F.max_by(div(e, q), tie).alias("price"))
+        F.sum(q).alias("shares"), F.max_by(div(e, q), line_order("l_orderkey", "l_linenumber")).alias("price"))
+    # by day and then by period: orders by single longs keep both steps hash aggregations
+    out = days.groupBy("symbol", "start").agg(*[F.sum(c).alias(c) for c in sums], F.max_by("price", "l_shipdate").alias("price"))
     end = F.last_day(F.add_months(F.col("start"), months - 1)).cast("timestamp")
     return out.withColumn("fiscal_date", end).drop("start")
 

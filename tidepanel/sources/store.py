@@ -151,6 +151,9 @@ def retention(df: DataFrame, days: int, time="date", asof=None) -> DataFrame:
 def retention_delete(spark: SparkSession, path: str, out_path: str, days: int, time="date", asof=None, by=("year",)) -> None:
     """Plain Parquet has no DELETE: kept rows are written to a new table version; partition pruning skips old files."""
     df = retention(spark.read.parquet(path), days, time, asof)
+    if "year" in df.columns:  # the partition column bounds the files that are read
+        ref = F.lit(asof).cast("timestamp") if asof is not None else F.current_timestamp()
+        df = df.where(F.col("year") >= F.year(ref - F.make_dt_interval(F.lit(days))))
     _write(df, out_path, "overwrite", [b for b in by if b in df.columns])
 
 
