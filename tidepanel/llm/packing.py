@@ -17,6 +17,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +32,8 @@ from tidepanel.llm.common import Stage, id_text, steps, without_gc
 SEQUENCE, END = 4096, 1
 #: Lengths above this share of a sequence are large; the numbers of groups that are tried.
 LARGE, GROUPS = 1 / 8, (12, 16)
-#: Words that a worker remembers.
-CACHE = 250_000
+#: Entries of each generation of a worker's memos of words and of their parts.
+CACHE = 350_000
 
 
 class WordIds:
@@ -42,23 +43,53 @@ class WordIds:
     ODD = re.compile("[\\x1c-\\x1f]")
     WORD = re.compile("[^\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
+    #: Words on which lower case and the splitting pattern work letter by letter, and what they are split into.
+    PLAIN = re.compile("[!-~\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
+    PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|[^a-z\\xdf-\\xf6\\xf8-\\xff0-9]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # each memo in two generations
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def fresh(self, words: list[str]) -> None:
+        """Encode words; those of plain Latin letters by their pre-tokens, of which there are fewer than of words."""
+        cut = {w: self.PART.findall(w.lower()) if self.PLAIN.fullmatch(w) else [w] for w in words}
+        missing = []
+        for part in {p for parts in cut.values() for p in parts}:
+            if part not in self.parts:
+                if part in self.old_parts:
+                    self.parts[part] = self.old_parts[part]
+                else:
+                    missing.append(part)
+        for i in range(0, len(missing), 4096):
+            some = missing[i:i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[w] = array("I", e.ids).tobytes()
+        of = self.parts.__getitem__
+        for w, parts in cut.items():
+            self.known[w] = of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.WORD.findall(t) if self.ODD.search(t) else t.split() for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        missing = [w for w in set().union(*split) if w not in self.known]
-        for i in range(0, len(missing), 4096):
-            some = missing[i:i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.old = {}, self.known
+        if len(self.parts) > CACHE:
+            self.parts, self.old_parts = {}, self.parts
+        new = []
+        for w in set().union(*split):
+            if w not in self.known:
+                if w in self.old:
+                    self.known[w] = self.old[w]
+                else:
+                    new.append(w)
+        self.fresh(new)
         of = self.known.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
