@@ -9,14 +9,20 @@ order of time and stop when they are later than the slowest component, so long d
 
 Linking, once rows with the same multiset are one node:
 
-1. In each band's bucket every node is compared with the smallest one: linear in the bucket.
-2. A node outside that one's component may still match others of the bucket. One minus the likeness is a
-   metric, so only nodes whose distances to the smallest one differ by at most the allowed distance are compared.
+1. In each band's bucket every node is compared with the head, the node of the smallest id: linear in the bucket.
+2. A node x that this leaves outside the head's component may still match another node y of the bucket. Both are compared
+   with the component's root, also linear. One minus the likeness is a metric, so the distances of x and y to the root differ
+   by no more than a link allows. Beyond that, a link needs t / (1 + t) (|x| + |y|) common items at likeness t. Either
+   x and y each share that many with the root; such pairs are found by size, as both must be nearly contained in a larger
+   root. Or they share an item that the root lacks, and the first such item (rare ones first) stands among the first
+   (1 - t) n + 1 ones of both, so pairs are found by these items. Copies with edits of their own share none, and
+   documents that share only the passage that made the bucket none either.
 
 Every link is verified on the whole multisets. Classes are the connected components.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,20 +149,42 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(same))
 
 
-def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b, common, total) of each pair: sums of minima and of maxima over the whole multisets."""
+def frequent(items: DataFrame, docs: int = 20_000, most: int = 65_536) -> np.ndarray:
+    """Items found often in a sample of multisets, rarest first. Their place decides in which order items are looked at, no result."""
+    def run(batches):
+        for b in batches:
+            got, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in b.column("items")] or [np.zeros(0, np.uint32)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n, pa.int64())], ["item", "n"])
+
+    sample = items.select("items", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(docs).select("items").repartition(16)
+    counted = sample.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n > 2")
+    return np.array([r["item"] for r in counted.orderBy(F.desc("n"), "item").limit(most).collect()][::-1], np.uint32)
+
+
+def verify(pairs: DataFrame, items: DataFrame, alike: float = ALIKE, often: np.ndarray | None = None) -> DataFrame:
+    """(a, b, common, total, n, rest) of each pair: sums of minima and of maxima over the whole multisets, the size
+    of b's, and the first of b's items that a lacks, those in ``often`` last, as many as a prefix filter needs."""
+    often = np.zeros(0, np.uint32) if often is None else often
+    order = np.argsort(often)
+    known = often[order]
     def run(batches):
         for b in batches:
             x, y = b.column("xs"), b.column("ys")
-            common, total = [], []
+            common, total, size, rest = [], [], [], []
             for i in range(b.num_rows):
                 p, q = np.frombuffer(x[i].as_py(), np.uint32), np.frombuffer(y[i].as_py(), np.uint32)
                 c = _common(p, q)
                 common.append(c)
                 total.append(len(p) + len(q) - c)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
+                size.append(len(q))
+                own = q[p[np.minimum(np.searchsorted(p, q), max(0, len(p) - 1))] != q] if len(p) else q
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, order[at] + 1, 0), kind="stable")]
+                rest.append(own[:len(q) - math.ceil(alike * len(q) - 1e-9) + 1].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(x, pa.int64()) for x in (common, total, size)), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "common", "total", "n", "rest"])
     with_b = pairs.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("ys")), "b")
-    return with_b.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("xs")), "a").select("a", "b", "xs", "ys").mapInArrow(run, "a long, b long, common long, total long")
+    return with_b.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("xs")), "a").select("a", "b", "xs", "ys").mapInArrow(run, "a long, b long, common long, total long, n long, rest array<long>")
 
 
 def components(edges: DataFrame) -> Stage:
@@ -188,38 +216,56 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     """
     docs = id_text(docs)
     sketch = Stage(sketches(docs.where("doc_id is not null"), bands, rows, size), "sketch")
-    nodes = Stage(sketch.df.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
-    spread = nodes.df.select("node", F.posexplode("bands").alias("band", "key"))
-    heads = spread.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = Stage(spread.join(heads, ["band", "key"]).where("node <> head").select("band", "key", "head", "node"), "members")
-
-    first = members.df.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = members.df.select(F.col("head").alias("doc_id")).union(members.df.select(F.col("node").alias("doc_id"))).distinct()
+    nodes = Stage(sketch.df.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
+    spread = nodes.df.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    heads = spread.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    members = Stage(spread.join(heads, ["band", "key"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "members")
+    wanted = members.df.select(F.col("a").alias("doc_id")).union(members.df.select(F.col("b").alias("doc_id"))).distinct()
     items = Stage(multisets(docs.join(wanted, "doc_id", "left_semi"), size), "items")
-    checked = Stage(verify(first, items.df), "checked")
+    often = frequent(items.df)
+    checked = Stage(verify(members.df, items.df, alike), "checked")
     linked = (F.col("common") >= F.lit(alike) * F.col("total")) & (F.col("total") > 0)
     label = components(checked.df.where(linked))
 
-    # what the smallest nodes of the buckets did not settle
-    place = members.df.join(checked.df.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("common") / F.col("total")).alias("far")), ["head", "node"])
-    named = (place.join(label.df.select("node", F.col("label").alias("own")), "node", "left")
-             .join(label.df.select(F.col("node").alias("head"), F.col("label").alias("top")), "head", "left")
-             .select("band", "key", "node", "far", F.coalesce("own", "node").alias("own"), F.coalesce("top", "head").alias("top")))
-    named = Stage(named, "named")
-    out = named.df.where("own <> top").select("band", "key", F.col("node").alias("x"), F.col("far").alias("fx"), F.col("own").alias("ox"))
-    inn = named.df.select("band", "key", F.col("node").alias("y"), F.col("far").alias("fy"), F.col("own").alias("oy"), (F.col("own") != F.col("top")).alias("outside"))
-    near = out.join(inn, ["band", "key"]).where((F.col("ox") != F.col("oy")) & (F.abs(F.col("fx") - F.col("fy")) <= 1 - alike + 1e-9) & (~F.col("outside") | (F.col("x") < F.col("y"))))
+    # what the heads did not settle: all nodes of such a component's buckets against its root
+    met = (checked.df.select(F.col("a").alias("head"), F.col("b").alias("node"))
+           .join(label.df.select("node", F.col("label").alias("own")), "node", "left")
+           .join(label.df.select(F.col("node").alias("head"), F.col("label").alias("top")), "head", "left")
+           .select("node", F.coalesce("own", "node").alias("own"), F.coalesce("top", "head").alias("top")).distinct())
+    met = Stage(met.withColumn("outside", F.col("own") != F.col("top")), "met")
+    open_ = met.df.where("outside").select("top").distinct()
+    pairs = met.df.where("node <> top").join(open_, "top", "left_semi").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    rooted = Stage(verify(pairs, items.df, alike, often), "rooted")
+    named = rooted.df.select(F.col("a").alias("top"), F.col("b").alias("node"), (1 - F.col("common") / F.col("total")).alias("far"), "common", "n", "rest").join(met.df, ["top", "node"])
+    slack, need = 1 - alike + 1e-9, alike / (1 + alike)
+    least = named.where("outside").groupBy("top").agg(F.min("far").alias("nearest"))
+    named = Stage(named.join(least, "top").where(F.col("outside") | (F.col("far") >= F.col("nearest") - slack)), "named")
+    side = lambda df, k, *keys: df.select("top", *keys, *[F.col(c).alias(f"{k}_{c}") for c in ("node", "far", "n", "common", "own", "outside")])
+    fit = ((F.col("x_own") != F.col("y_own")) & (F.abs(F.col("x_far") - F.col("y_far")) <= slack) & (~F.col("y_outside") | (F.col("x_node") < F.col("y_node")))
+           & (F.col("x_n") >= F.lit(alike) * F.col("y_n")) & (F.col("y_n") >= F.lit(alike) * F.col("x_n")))
+    rest = Stage(named.df.select("*", F.explode("rest").alias("item")).drop("rest"), "rest")
+    shared = rest.df.groupBy("top", "item").agg(F.count(F.lit(1)).alias("many"), F.max("outside").alias("any")).where("many > 1 and any").select("top", "item")
+    hits = rest.df.join(shared, ["top", "item"], "left_semi")
+    by_item = side(hits.where("outside"), "x", "item").join(side(hits, "y", "item"), ["top", "item"]).where(fit)
+    # both nearly contained in the root: x takes sizes from alike * n up to what its common items allow, in steps of 2 %
+    step = lambda n: F.floor(F.log(n) / math.log(1.02)).cast("int")
+    room = F.col("common") / need - F.col("n")
+    inside = named.df.where(room >= F.lit(alike) * F.col("n") - 1e-6)
+    sizes = F.explode(F.sequence(step(F.lit(alike) * F.col("n")), step(F.greatest(room, F.lit(1.0)))))
+    by_size = side(inside.where("outside").withColumn("size", sizes), "x", "size").join(side(inside.withColumn("size", step(F.col("n"))), "y", "size"), ["top", "size"])
+    enough = F.least("x_common", "y_common") >= F.lit(need) * (F.col("x_n") + F.col("y_n")) - 1e-6
+    near = by_item.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).union(by_size.where(fit & enough).select("x_node", "y_node"))
     second = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    again = Stage(verify(second, items.df), "again")
-    links = checked.df.where(linked).union(again.df.where(linked))
-    full = components(links.select("a", "b"))
+    again = Stage(verify(second, items.df, alike), "again")
+    links = checked.df.where(linked).union(rooted.df.where(linked)).union(again.df.where(linked)).select("a", "b").distinct()
+    full = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.df.select("f1", "f2", "node").join(full.df.select("node", "label"), "node", "left").join(degree, "node", "left")
     known = Stage(known.select("f1", "f2", "node", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     placed = (sketch.df.select("doc_id", "f1", "f2").join(known.df, ["f1", "f2"], "left")
               .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id") == F.col("node"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")))
-    for used in (nodes, members, items, checked, again, label, named, full):
+    for used in (nodes, members, items, checked, label, met, rooted, named, rest, again, full):
         used.drop()
     return placed.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
