@@ -50,30 +50,36 @@ class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        level = ByteLevel(add_prefix_space=False, use_regex=False)  # how the model spells bytes
+        self.byte = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]}
         self.known: dict[str, bytes] = {}  # each memo in two generations
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
 
     def fresh(self, words: list[str]) -> None:
-        """Encode words; those of plain Latin letters by their pre-tokens, of which there are fewer than of words."""
-        cut = {w: self.PART.findall(w.lower()) if self.PLAIN.fullmatch(w) else [w] for w in words}
-        missing = []
+        """Encode words; those of plain Latin letters by their pre-tokens, which go to the merges directly."""
+        cut, other = {}, []
+        for w in words:
+            if self.PLAIN.fullmatch(w):
+                cut[w] = self.PART.findall(w.lower())
+            else:
+                other.append(w)
+        tokenize, byte = self.tokenizer.model.tokenize, self.byte
         for part in {p for parts in cut.values() for p in parts}:
             if part not in self.parts:
-                if part in self.old_parts:
-                    self.parts[part] = self.old_parts[part]
-                else:
-                    missing.append(part)
-        for i in range(0, len(missing), 4096):
-            some = missing[i:i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.parts[w] = array("I", e.ids).tobytes()
+                had = self.old_parts.get(part)
+                self.parts[part] = had if had is not None else array("I", [t.id for t in tokenize(part.translate(byte))]).tobytes()
         of = self.parts.__getitem__
         for w, parts in cut.items():
             self.known[w] = of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts))
+        for i in range(0, len(other), 4096):
+            some = other[i:i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
