@@ -146,6 +146,8 @@ class Windows:
 
 def _ranges(values: np.ndarray, shift: int, bits: int) -> Iterator[tuple[int, int, int]]:
     """(range, from, to) of sorted values by their top bits, empty ranges left out."""
+    if not len(values):
+        return
     top = (values >> np.uint64(shift)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
     cut = np.flatnonzero(np.diff(top, prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(values)), strict=True):
