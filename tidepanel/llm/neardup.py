@@ -190,21 +190,24 @@ def verify(pairs: DataFrame, items: DataFrame, alike: float = ALIKE, often: np.n
 def components(edges: DataFrame) -> Stage:
     """(node, label): the smallest node of each node's connected component, for all nodes of ``edges`` (a, b).
 
-    Labels move to neighbours and then jump to the label's own label; every round is stored and its predecessor dropped.
+    In each round every node takes the smallest of its neighbourhood, pointers are followed once more, and the edges are
+    contracted to what still joins different ones; so each round is a fraction of the one before.
     """
-    both = Stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = Stage(both.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.df.join(labels.df.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.df.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.df.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        new = Stage(moved.join(jump, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("label"), (F.least("next", F.coalesce("jump", "next")) != F.col("label")).alias("changed")), "labels")
-        changed = new.df.where("changed").limit(1).count()
-        labels.drop()
-        labels = new
-        if not changed:
-            both.drop()
-            return labels
+    live = Stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = Stage(live.df.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
+    while live.df.limit(1).count():
+        hook = live.df.groupBy("b").agg(F.min("a").alias("to"))  # a < b, so pointers only go down
+        far = hook.select(F.col("b").alias("to"), F.col("to").alias("further"))
+        hook = Stage(hook.join(far, "to", "left").select(F.col("b").alias("node"), F.coalesce("further", "to").alias("to")), "hook")
+        step = lambda df, name: df.join(hook.df.select(F.col("node").alias(name), "to"), name, "left").withColumn(name, F.coalesce("to", name)).drop("to")
+        fewer = step(step(live.df, "a"), "b")
+        fewer = Stage(fewer.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        moved = Stage(step(labels.df, "label").select("node", "label"), "labels")
+        for old in (live, labels, hook):
+            old.drop()
+        live, labels = fewer, moved
+    live.drop()
+    return labels
 
 
 def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -235,7 +238,8 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     met = Stage(met.withColumn("outside", F.col("own") != F.col("top")), "met")
     open_ = met.df.where("outside").select("top").distinct()
     pairs = met.df.where("node <> top").join(open_, "top", "left_semi").select(F.col("top").alias("a"), F.col("node").alias("b"))
-    rooted = Stage(verify(pairs, items.df, alike, often), "rooted")
+    done = pairs.join(checked.df, ["a", "b"]).select(*checked.df.columns)
+    rooted = Stage(done.union(verify(pairs.join(checked.df.select("a", "b"), ["a", "b"], "left_anti"), items.df, alike, often)), "rooted")
     named = rooted.df.select(F.col("a").alias("top"), F.col("b").alias("node"), (1 - F.col("common") / F.col("total")).alias("far"), "common", "n", "rest").join(met.df, ["top", "node"])
     slack, need = 1 - alike + 1e-9, alike / (1 + alike)
     least = named.where("outside").groupBy("top").agg(F.min("far").alias("nearest"))
@@ -257,15 +261,22 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     near = by_item.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).union(by_size.where(fit & enough).select("x_node", "y_node"))
     second = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     again = Stage(verify(second, items.df, alike), "again")
-    links = checked.df.where(linked).union(rooted.df.where(linked)).union(again.df.where(linked)).select("a", "b").distinct()
-    full = components(links)
+    links = checked.df.where(linked).select("a", "b").union(rooted.df.where(linked).select("a", "b")).union(again.df.where(linked).select("a", "b")).distinct()
+    # the second round only joins components of the first
+    own = label.df.select("node", F.col("label").alias("own"))
+    more = rooted.df.where(linked).select("a", "b").union(again.df.where(linked).select("a", "b"))
+    for end in ("a", "b"):
+        more = more.join(own.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("own", end)).drop("own").distinct()
+    joined = components(more)
+    full = label.df.select("node", "label").union(joined.df.join(label.df.select("node"), "node", "left_anti"))
+    full = Stage(full.join(joined.df.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label")), "full")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.df.select("f1", "f2", "node").join(full.df.select("node", "label"), "node", "left").join(degree, "node", "left")
     known = Stage(known.select("f1", "f2", "node", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     placed = (sketch.df.select("doc_id", "f1", "f2").join(known.df, ["f1", "f2"], "left")
               .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id") == F.col("node"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")))
-    for used in (nodes, members, items, checked, label, met, rooted, named, rest, again, full):
+    for used in (nodes, members, items, checked, label, met, rooted, named, rest, again, joined, full):
         used.drop()
     return placed.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
