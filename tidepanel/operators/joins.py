@@ -92,13 +92,13 @@ def macro_daily(panel: DataFrame, macro_wide: DataFrame, cols: list[str], time="
 
 
 def macro_reindex(dates: DataFrame, macro_wide: DataFrame, cols: list[str], time="date") -> DataFrame:
-    """Macro columns on trading dates with forward fill."""
+    """Macro columns on trading dates with forward fill; each date once, however many rows a panel has for it."""
     k = F.lit(0).alias("_k")
     m = macro_wide.select(time, *cols, k)
     w = Window.partitionBy("_k").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     # each column carries its own last value: series of different frequency share the table
     m = m.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    out = asof(dates.select(time, k), m, ["_k"], time, time, cols)
+    out = asof(dates.select(time).distinct().select(time, k), m, ["_k"], time, time, cols)
     return out.drop("_k")
 
 

@@ -17,10 +17,10 @@ from tidepanel.operators.regimes import prepare, smooth_centered
 KEY, TIME = "series", "date"
 
 
-def fit_gmm(df: DataFrame, features: list[str], k: int = 3, seed: int = 42):
+def fit_gmm(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, max_iter: int = 100):
     """Mixture over all rows; returns (assembled frame, model, components ordered by variance)."""
     data = VectorAssembler(inputCols=features, outputCol="features").transform(df.na.drop(subset=features))
-    model = GaussianMixture(k=k, seed=seed, maxIter=30).fit(data)
+    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(data)
     spread = [float(np.trace(g.cov.toArray())) for g in model.gaussians]
     return data, model, [int(i) for i in np.argsort(spread)]
 
@@ -44,9 +44,9 @@ def gmm_criteria(df: DataFrame, features: list[str], k: int = 3, seed: int = 42)
     n, ll = data.count(), float(model.summary.logLikelihood)
     p = mixture_parameters(k, len(features))
     rows = [(r, float(model.weights[i]), [float(v) for v in model.gaussians[i].mean], p, n, ll,
-             2 * p - 2 * ll, p * math.log(n) - 2 * ll) for r, i in enumerate(order)]
+             2 * p - 2 * ll, p * math.log(n) - 2 * ll, model.summary.numIter < model.getMaxIter()) for r, i in enumerate(order)]
     return df.sparkSession.createDataFrame(
-        rows, "component int, weight double, mean array<double>, n_params int, n_rows long, log_likelihood double, aic double, bic double")
+        rows, "component int, weight double, mean array<double>, n_params int, n_rows long, log_likelihood double, aic double, bic double, converged boolean")
 
 
 def tvar_grid(df: DataFrame, value="ret", by="vol", points=20, key=KEY, time=TIME) -> DataFrame:

@@ -1,6 +1,8 @@
 """Queries for the per-symbol window features (weekly bars where candles matter)."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidepanel.operators import technical as t
@@ -274,11 +276,14 @@ def w_autocorr(sp, sf):
     return pick(t.autocorr(d.rets(sp, sf)), "autocorr_lag_1", "autocorr_lag_5", "autocorr_lag_10")
 
 
-@query("w_hurst", f"""WITH a AS (SELECT symbol, date, list(ret) OVER w100 AS l, count(ret) OVER w100 AS c FROM rets {W(100)}),
- b AS (SELECT symbol, date, l, k, ln(k::DOUBLE) AS lx FROM a, (SELECT unnest(range(2,20)) AS k) WHERE c=100),
- g AS (SELECT symbol, date, lx, ln(sqrt(list_aggregate(list_transform(range(1,101-k), lambda i: l[i+k]-l[i]), 'stddev_pop'))) AS ly FROM b),
- h AS (SELECT symbol, date, 2*regr_slope(ly,lx) AS hurst FROM g GROUP BY symbol, date)
- SELECT r.symbol, r.date, R(h.hurst) AS hurst FROM rets r LEFT JOIN h ON r.symbol=h.symbol AND r.date=h.date""")
+_HL = range(2, 20)
+_HX = [math.log(k) for k in _HL]
+_HC = [(x - sum(_HX) / len(_HX)) / sum((v - sum(_HX) / len(_HX)) ** 2 for v in _HX) for x in _HX]
+
+
+@query("w_hurst", "WITH a AS (SELECT symbol, date, ret, " + ", ".join(f"ret-lag(ret,{k}) OVER s AS d{k}" for k in _HL) + f" FROM rets {W()}), b AS (SELECT symbol, date, count(ret) OVER w100 AS c, "
+       + ", ".join(f"stddev_pop(d{k}) OVER w{100 - k} AS t{k}" for k in _HL) + f" FROM a {W(100, *[100 - k for k in _HL])}) SELECT symbol, date, R(CASE WHEN c=100 THEN "
+       + "+".join(f"ln(nullif(t{k},0))*({c!r}::DOUBLE)" for k, c in zip(_HL, _HC)) + " END) AS hurst FROM b")
 def w_hurst(sp, sf):
     return pick(t.hurst(d.rets(sp, sf)), "hurst")
 
