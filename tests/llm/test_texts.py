@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import odd_rows, prose, sha
 from tidepanel.llm import bpe, fingerprints as fp, langid, secrets, tokencount
@@ -173,15 +174,17 @@ def test_languages_held_out(spark, sf, odd, none):
 
 
 def test_token_counts(odd, none, monkeypatch):
-    path = P.path("byte_bpe_50k.tiktoken")
-    enc = bpe.encoder(path, P.PATTERN)
-    want = sorted(len(enc.encode(t or "")) for _, t in odd_rows())
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    want = sorted(size(t) for _, t in odd_rows())
     for block, level in ((1 << 20, 4096), (64, 4)):
         monkeypatch.setattr(tokencount, "LEVEL", level)
         count = tokencount.count
         monkeypatch.setattr(tokencount, "count", lambda *a, block=block, count=count: count(*a, block=block))
-        rows = tokencount.count_documents(odd.sparkSession, odd, path, P.PATTERN, 50256).collect()
+        rows = tokencount.count_documents(odd.sparkSession, odd, path, 49407).collect()
         monkeypatch.setattr(tokencount, "count", count)
         assert sorted(r["n_tokens"] for r in rows) == want
-        assert {r["doc_id"]: r["n_tokens"] for r in rows}[6] == len(enc.encode(dict(odd_rows())[6]))
-    assert tokencount.count_documents(none.sparkSession, none, path, P.PATTERN, 50256).count() == 0
+        assert {r["doc_id"]: r["n_tokens"] for r in rows}[6] == size(dict(odd_rows())[6])
+    assert tokencount.count_documents(none.sparkSession, none, path, 49407).count() == 0

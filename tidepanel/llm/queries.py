@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidepanel.core.session import ship
 
 BYTE_MULTI = "byte_bpe_multi_50k.tiktoken"
-BYTE = "byte_bpe_50k.tiktoken"
-WORD = "word_bpe_49k.json"
+WORD, END_OF_TEXT = "word_bpe_49k.json", 49407
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +72,7 @@ def op4_fingerprints(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     """Token counts of all documents, found by scanning flat token files."""
     from tidepanel.llm import tokencount
-    return tokencount.count_documents(spark, documents(spark, sf_dir), public_tokenizers.path(BYTE), public_tokenizers.PATTERN, 50256)
+    return tokencount.count_documents(spark, documents(spark, sf_dir), public_tokenizers.path(WORD), END_OF_TEXT)
 
 
 @query

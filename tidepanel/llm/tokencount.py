@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.core.scratch import new_path
-from tidepanel.llm.bpe import encoder
 from tidepanel.llm.common import Stage, id_text, steps, unique_name, without_gc
+from tidepanel.llm.packing import word_ids
 
 #: Ids in a block, blocks whose summaries one window scans, bytes of a file that the writer makes.
 BLOCK, LEVEL, FILE_BYTES = 1 << 20, 4096, 256 << 20
@@ -27,13 +27,13 @@ def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write_flat(docs: DataFrame, folder: str, path: str, pattern: str, end: int, kind: str = "<u2") -> Stage:
-    """Encode every text into flat files in the shared ``folder``; returns the stored list (file, ids, ordinal, doc_id).
+def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<u2") -> Stage:
+    """Encode every text by the tokenizer file ``path`` into flat files in the shared ``folder``; returns the stored list (file, ids, ordinal, doc_id).
 
     A file gets its final name when it is complete. Only files of the list count, so what a lost task left behind does no harm.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (fs, base) = encoder(path, pattern), _open(folder)
+        enc, (fs, base) = word_ids(path), _open(folder)
         fs.create_dir(base, recursive=True)
         out, name, ordinal, written = None, "", 0, 0
         rows: list[tuple] = []
@@ -47,11 +47,11 @@ def write_flat(docs: DataFrame, folder: str, path: str, pattern: str, end: int,
                                              ["file", "ids", "ordinal", "doc_id"])
 
         for part in without_gc(steps(batches)):
-            for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for i, got in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
                 if out is None:
                     name, ordinal, written, rows = f"{TaskContext.get().partitionId():06d}-{unique_name()}", 0, 0, []
                     out = fs.open_output_stream(f"{base}/{name}.part")
-                ids = np.array([*enc.encode(text or ""), end], kind)
+                ids = np.append(np.frombuffer(got, "<u4"), end).astype(kind)
                 out.write(ids.tobytes())
                 rows.append((f"{name}.bin", ordinal, i))
                 ordinal, written = ordinal + 1, written + len(ids)
@@ -97,12 +97,12 @@ def count(files: DataFrame, folder: str, end: int, kind: str = "<u2", block: int
     return each.select("file", (F.col("ahead") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"))
 
 
-def count_documents(spark: SparkSession, docs: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
+def count_documents(spark: SparkSession, docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, file, ordinal, start, n_tokens): write flat files of all texts, scan them, and name the documents.
 
     Null and empty texts have 0 tokens; repeated rows and null ids are documents like others.
     """
     folder = new_path(spark, "tokens")
-    listed = write_flat(docs, folder, path, pattern, end)
+    listed = write_flat(docs, folder, path, end)
     found = count(listed.df.select("file", "ids").distinct(), folder, end)
     return listed.df.select("file", "ordinal", "doc_id").join(found, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
