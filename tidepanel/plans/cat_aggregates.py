@@ -88,12 +88,15 @@ def agg_regime_reversion(sp, sf):
     return a.regime_reversion(_panel(sp, sf))
 
 
-@query("agg_regime_macro", """WITH x AS (SELECT m.date, m.regime, w.urgent, w.low FROM mreg m ASOF JOIN macro_fill w ON m.date>=w.date), l AS (SELECT date, regime, 'urgent' AS indicator, urgent AS value FROM x WHERE urgent IS NOT NULL UNION ALL SELECT date, regime, 'low', low FROM x WHERE low IS NOT NULL)
+MACRO = ["urgent", "high", "medium", "unspecified", "low"]
+
+
+@query("agg_regime_macro", """WITH x AS (SELECT m.date, m.regime, w.urgent, w.high, w.medium, w.unspecified, w.low FROM mreg m ASOF JOIN macro_fill w ON m.date>=w.date), l AS (SELECT date, regime, 'urgent' AS indicator, urgent AS value FROM x WHERE urgent IS NOT NULL UNION ALL SELECT date, regime, 'high' AS indicator, high AS value FROM x WHERE high IS NOT NULL UNION ALL SELECT date, regime, 'medium' AS indicator, medium AS value FROM x WHERE medium IS NOT NULL UNION ALL SELECT date, regime, 'unspecified' AS indicator, unspecified AS value FROM x WHERE unspecified IS NOT NULL UNION ALL SELECT date, regime, 'low' AS indicator, low AS value FROM x WHERE low IS NOT NULL)
  SELECT regime, indicator, R(avg(value)) AS mean, R(quantile_cont(value,0.5)) AS median, R(stddev_samp(value)) AS std, R(min(value)) AS min, R(max(value)) AS max, CASE WHEN arg_max(value,date)>arg_min(value,date) THEN 'increasing' ELSE 'decreasing' END AS trend FROM l GROUP BY ALL""")
 def agg_regime_macro(sp, sf):
     m = d.market_regimes(sp, sf).select("date", "regime")
-    x = j.macro_reindex(m, d.macro_wide(sp, sf), ["urgent", "low"]).join(m, "date")
-    return a.regime_macro(x.unpivot(["date", "regime"], ["urgent", "low"], "indicator", "value").where("value is not null"))
+    x = j.macro_reindex(m, d.macro_wide(sp, sf), MACRO).join(m, "date")
+    return a.regime_macro(x.unpivot(["date", "regime"], MACRO, "indicator", "value").where("value is not null"))
 
 
 @query("agg_cross_regime", """WITH g AS (SELECT series, regime, count(*)::DOUBLE AS n, avg(ret) AS m, var_samp(ret) AS v FROM reg WHERE ret IS NOT NULL GROUP BY ALL),

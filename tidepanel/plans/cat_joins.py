@@ -29,16 +29,19 @@ def join_latest_regime(sp, sf):
     return out.select("series", "date", *[F.col("probs")[i].alias(f"p{i}") for i in range(3)])
 
 
+MACRO = ["urgent", "high", "medium", "unspecified", "low"]
+
+
 @query("join_macro_daily", """WITH g AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM macro_wide),
- m AS (SELECT g.date, last_value(urgent IGNORE NULLS) OVER w AS u, last_value(low IGNORE NULLS) OVER w AS l FROM g LEFT JOIN macro_wide x ON g.date=x.date WINDOW w AS (ORDER BY g.date ROWS UNBOUNDED PRECEDING))
- SELECT b.symbol, b.date, R(close) AS close, R(u) AS macro_urgent, R(l) AS macro_low FROM bars b LEFT JOIN m ON b.date=m.date""")
+ m AS (SELECT g.date, last_value(urgent IGNORE NULLS) OVER w AS m_urgent, last_value(high IGNORE NULLS) OVER w AS m_high, last_value(medium IGNORE NULLS) OVER w AS m_medium, last_value(unspecified IGNORE NULLS) OVER w AS m_unspecified, last_value(low IGNORE NULLS) OVER w AS m_low FROM g LEFT JOIN macro_wide x ON g.date=x.date WINDOW w AS (ORDER BY g.date ROWS UNBOUNDED PRECEDING))
+ SELECT b.symbol, b.date, R(close) AS close, R(m_urgent) AS macro_urgent, R(m_high) AS macro_high, R(m_medium) AS macro_medium, R(m_unspecified) AS macro_unspecified, R(m_low) AS macro_low FROM bars b LEFT JOIN m ON b.date=m.date""")
 def join_macro_daily(sp, sf):
-    return j.macro_daily(d.bars(sp, sf).select("symbol", "date", "close"), d.macro_wide(sp, sf), ["urgent", "low"])
+    return j.macro_daily(d.bars(sp, sf).select("symbol", "date", "close"), d.macro_wide(sp, sf), MACRO)
 
 
-@query("join_macro_reindex", "SELECT a.date, R(urgent) AS urgent, R(low) AS low FROM mkt a ASOF LEFT JOIN macro_fill m ON a.date>=m.date")
+@query("join_macro_reindex", "SELECT a.date, R(urgent) AS urgent, R(high) AS high, R(medium) AS medium, R(unspecified) AS unspecified, R(low) AS low FROM mkt a ASOF LEFT JOIN macro_fill m ON a.date>=m.date")
 def join_macro_reindex(sp, sf):
-    return j.macro_reindex(d.market(sp, sf).select("date"), d.macro_wide(sp, sf), ["urgent", "low"])
+    return j.macro_reindex(d.market(sp, sf).select("date"), d.macro_wide(sp, sf), MACRO)
 
 
 @query("join_outer_merge", """WITH a AS (SELECT date_trunc('month',date)::TIMESTAMP AS date, last(close ORDER BY date) AS close FROM (SELECT date AS date, close FROM mkt) GROUP BY 1)

@@ -251,11 +251,15 @@ def fs_univariate(sp, sf):
     return se.univariate(design(sp, sf), XS, "y", 3)
 
 
-@query("fs_mutual_information", f"""WITH {_DS}, q AS (SELECT quantile_cont(y,[{','.join(str(i / 8) for i in range(1, 8))}]) AS qy, quantile_cont(mom5,[{','.join(str(i / 8) for i in range(1, 8))}]) AS qx FROM ds),
- b AS (SELECT {'+'.join(f'(qx[{i}]<mom5)::INT' for i in range(1, 8))} AS bx, {'+'.join(f'(qy[{i}]<y)::INT' for i in range(1, 8))} AS "by" FROM ds, q), k AS (SELECT bx, "by" AS y8, count(*)::DOUBLE AS c FROM b GROUP BY bx, "by"), n AS (SELECT c, sum(c) OVER (PARTITION BY bx) AS cx, sum(c) OVER (PARTITION BY y8) AS cy, sum(c) OVER () AS t FROM k)
- SELECT 'mom5' AS feature, R(sum(c/t*ln(c*t/(cx*cy)))) AS mi FROM n""")
+_MI_AT = ",".join(str(i / 8) for i in range(1, 8))
+_MI = " UNION ALL ".join(f"SELECT '{x}' AS feature, {'+'.join(f'(q_{x}[{i}]<{x})::INT' for i in range(1, 8))} AS bx, {'+'.join(f'(q_y[{i}]<y)::INT' for i in range(1, 8))} AS y8 FROM ds, q" for x in XS)
+
+
+@query("fs_mutual_information", f"""WITH {_DS}, q AS (SELECT {', '.join(f'quantile_cont({x},[{_MI_AT}]) AS q_{x}' for x in [*XS, 'y'])} FROM ds),
+ b AS ({_MI}), k AS (SELECT feature, bx, y8, count(*)::DOUBLE AS c FROM b GROUP BY ALL), n AS (SELECT feature, c, sum(c) OVER (PARTITION BY feature, bx) AS cx, sum(c) OVER (PARTITION BY feature, y8) AS cy, sum(c) OVER (PARTITION BY feature) AS t FROM k)
+ SELECT feature, R(sum(c/t*ln(c*t/(cx*cy)))) AS mi FROM n GROUP BY feature""")
 def fs_mutual_information(sp, sf):
-    return se.mutual_information(design(sp, sf), ["mom5"], "y", 8)
+    return se.mutual_information(design(sp, sf), XS, "y", 8)
 
 
 @query("fs_pca")

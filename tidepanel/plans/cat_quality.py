@@ -11,10 +11,10 @@ from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
 
 
-@query("dq_missing", """WITH a AS (SELECT count(*) AS n, count(*)-count(close) AS c, count(*)-count(volume) AS v FROM cal), l AS (SELECT n, unnest(['close','volume','*']) AS "column", unnest([c,v,c+v]) AS missing, unnest([1,1,2]) AS k FROM a)
+@query("dq_missing", """WITH a AS (SELECT count(*) AS n, count(*)-count(open) AS o, count(*)-count(high) AS h, count(*)-count(low) AS w, count(*)-count(close) AS c, count(*)-count(volume) AS v FROM cal), l AS (SELECT n, unnest(['open','high','low','close','volume','*']) AS "column", unnest([o,h,w,c,v,o+h+w+c+v]) AS missing, unnest([1,1,1,1,1,5]) AS k FROM a)
  SELECT "column", missing, R(missing::DOUBLE/(n*k)) AS share, CASE WHEN missing::DOUBLE/(n*k)>0.05 THEN 'WARNING' ELSE 'PASS' END AS status FROM l""")
 def dq_missing(sp, sf):
-    return q.missing(d.calendar_bars(sp, sf), ["close", "volume"])
+    return q.missing(d.calendar_bars(sp, sf), ["open", "high", "low", "close", "volume"])
 
 
 def _oc(c):
@@ -92,10 +92,10 @@ def dq_summary(sp, sf):
     return q.summary(reduce(lambda a, b_: a.unionByName(b_), rules))
 
 
-@query("dq_profile", """WITH p AS (SELECT symbol, date, count(*) AS r, sum((close IS NULL)::INT)+sum((volume IS NULL)::INT) AS m, sum(coalesce(close<0,false)::INT)+sum(coalesce(volume<0,false)::INT) AS n, sum(coalesce(volume=0,false)::INT) AS z FROM cal GROUP BY ALL)
+@query("dq_profile", """WITH p AS (SELECT symbol, date, count(*) AS r, sum((open IS NULL)::INT)+sum((high IS NULL)::INT)+sum((low IS NULL)::INT)+sum((close IS NULL)::INT)+sum((volume IS NULL)::INT) AS m, sum(coalesce(open<0,false)::INT)+sum(coalesce(high<0,false)::INT)+sum(coalesce(low<0,false)::INT)+sum(coalesce(close<0,false)::INT)+sum(coalesce(volume<0,false)::INT) AS n, sum(coalesce(volume=0,false)::INT) AS z FROM cal GROUP BY ALL)
  SELECT symbol, sum(r)::BIGINT AS rows, sum(m)::BIGINT AS missing, 0::BIGINT AS infinite, sum(n)::BIGINT AS negative, sum(z)::BIGINT AS zero_volume, sum(r-1)::BIGINT AS duplicate_dates, min(date) AS first_date, max(date) AS last_date FROM p GROUP BY symbol""")
 def dq_profile(sp, sf):
-    return q.profile(d.calendar_bars(sp, sf), ["close", "volume"])
+    return q.profile(d.calendar_bars(sp, sf), ["open", "high", "low", "close", "volume"])
 
 
 _OF = """a AS (SELECT symbol, date, close, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sp, stddev_samp(close) OVER w AS ss, quantile_cont(close,0.25) OVER w AS q1, quantile_cont(close,0.5) OVER w AS md, quantile_cont(close,0.75) OVER w AS q3,

@@ -61,18 +61,18 @@ def intersect_dates(sp, sf):
     return s.intersect_dates([d.market(sp, sf), d.table(sp, sf, "orders").select(F.col("o_orderdate").alias("date"))])
 
 
-@query("intersect_symbols", "WITH a AS (SELECT DISTINCT symbol FROM weights UNION ALL SELECT DISTINCT symbol FROM fund WHERE net_income<0 UNION ALL SELECT symbol FROM sectors) SELECT symbol, count(*) AS datasets, count(*)=3 AS common FROM a GROUP BY symbol")
+@query("intersect_symbols", "WITH a AS (SELECT DISTINCT symbol FROM weights UNION ALL SELECT DISTINCT symbol FROM fund UNION ALL SELECT symbol FROM sectors) SELECT symbol, count(*) AS datasets, count(*)=3 AS common FROM a GROUP BY symbol")
 def intersect_symbols(sp, sf):
-    return s.symbol_overlap([d.weights(sp, sf), d.fundamentals(sp, sf).where("net_income<0"), d.sectors(sp, sf)])
+    return s.symbol_overlap([d.weights(sp, sf), d.fundamentals(sp, sf), d.sectors(sp, sf)])
 
 
-@query("except_features", """WITH a AS (SELECT symbol, year(date)::INT AS year, list_sort(list_distinct(list(month(date)::INT))) AS m FROM bars WHERE volume>25 GROUP BY ALL),
+@query("except_features", """WITH a AS (SELECT symbol, year(date)::INT AS year, list_sort(list_distinct(list(month(date)::INT))) AS m FROM bars GROUP BY ALL),
  b AS (SELECT symbol, year, m, lag(m) OVER (PARTITION BY symbol ORDER BY year) AS p FROM a)
  SELECT symbol, year, array_to_string(list_sort(list_filter(m, lambda x: NOT list_contains(p,x))),',') AS added, array_to_string(list_sort(list_filter(p, lambda x: NOT list_contains(m,x))),',') AS removed,
  (len(list_filter(m, lambda x: NOT list_contains(p,x)))+len(list_filter(p, lambda x: NOT list_contains(m,x))))::INT AS n_changed,
  R(len(list_filter(m, lambda x: list_contains(p,x)))::DOUBLE/len(list_distinct(list_concat(m,p)))) AS jaccard FROM b WHERE p IS NOT NULL""")
 def except_features(sp, sf):
-    a = d.bars(sp, sf).where("volume > 25").groupBy("symbol", F.year("date").alias("year")).agg(F.collect_set(F.month("date")).alias("m"))
+    a = d.bars(sp, sf).groupBy("symbol", F.year("date").alias("year")).agg(F.collect_set(F.month("date")).alias("m"))
     a = a.withColumn("p", F.lag("m").over(ordered("symbol", "year"))).where("p is not null")
     c = s.set_change(F.col("p"), F.col("m"))
     c["added"], c["removed"] = F.array_join(c["added"], ","), F.array_join(c["removed"], ",")

@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {
       max(CASE WHEN indicator='2-HIGH' THEN value END) AS high, max(CASE WHEN indicator='3-MEDIUM' THEN value END) AS medium,
       max(CASE WHEN indicator='4-NOT SPECIFIED' THEN value END) AS unspecified,
       max(CASE WHEN indicator='5-LOW' THEN value END) AS low FROM macro GROUP BY date""",
-    "macro_fill": """SELECT date, last_value(urgent IGNORE NULLS) OVER w AS urgent, last_value(low IGNORE NULLS) OVER w AS low
+    "macro_fill": """SELECT date, last_value(urgent IGNORE NULLS) OVER w AS urgent, last_value(high IGNORE NULLS) OVER w AS high, last_value(medium IGNORE NULLS) OVER w AS medium, last_value(unspecified IGNORE NULLS) OVER w AS unspecified, last_value(low IGNORE NULLS) OVER w AS low
       FROM macro_wide WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""",
     "ticks": "SELECT event_type AS symbol, ts, value AS price, 1.0::DOUBLE AS quantity, event_id, user_id FROM events",
     "points": """SELECT symbol, date_trunc('hour', ts)::TIMESTAMP AS date, avg(price) AS price, sum(quantity) AS volume
