@@ -73,6 +73,7 @@ def without_gc(items: Iterator) -> Iterator:
         yield from items
     finally:
         gc.enable()
+        pa.default_memory_pool().release_unused()
 
 
 def sha(data: bytes) -> str:

@@ -33,7 +33,7 @@ SEQUENCE, END = 4096, 1
 #: Lengths above this share of a sequence are large; the numbers of groups that are tried, 0 for best fit alone. The best plan counts.
 LARGE, GROUPS = 1 / 8, (12, 16, 0)
 #: Entries of each generation of a worker's memos of words and of their parts.
-CACHE = 350_000
+CACHE = 220_000
 
 
 class WordIds:

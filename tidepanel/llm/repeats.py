@@ -29,7 +29,7 @@ from tidepanel.llm.common import SPACE, STEP_BYTES, Stage, flat, id_text, mixed,
 
 WINDOW = 13
 #: Bytes of text in a segment, and names that one task of a round gathers.
-SEGMENT_BYTES, RANGE_NAMES = 8 << 20, 2_000_000
+SEGMENT_BYTES, RANGE_NAMES = 6 << 20, 2_000_000
 LAST = np.iinfo(np.int64).max
 
 
