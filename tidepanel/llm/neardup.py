@@ -16,7 +16,8 @@ Linking, once rows with the same multiset are one node:
    x and y each share that many with the root; such pairs are found by size, as both must be nearly contained in a larger
    root. Or they share an item that the root lacks, and the first such item (rare ones first) stands among the first
    (1 - t) n + 1 ones of both, so pairs are found by these items. Copies with edits of their own share none, and
-   documents that share only the passage that made the bucket none either.
+   documents that share only the passage that made the bucket none either. The nodes with such an item are first compared
+   with the smallest of them, and only what is then still in different components is compared in pairs.
 
 Every link is verified on the whole multisets. Classes are the connected components.
 """
@@ -210,6 +211,19 @@ def components(edges: DataFrame) -> Stage:
     return labels
 
 
+def _relabel(labels: DataFrame, edges: DataFrame) -> Stage:
+    """Labels (node, label) after further ``edges``: only their components are joined, not all nodes looked at again."""
+    own = labels.select("node", F.col("label").alias("own"))
+    for end in ("a", "b"):
+        edges = edges.join(own.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("own", end)).drop("own").distinct()
+    joined = components(edges)
+    every = labels.select("node", "label").union(joined.df.join(labels.select("node"), "node", "left_anti"))
+    every = every.join(joined.df.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left")
+    out = Stage(every.select("node", F.coalesce("final", "label").alias("label")), "labels")
+    joined.drop()
+    return out
+
+
 def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: the smallest doc_id of its class of linked documents.
 
@@ -226,7 +240,7 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     wanted = members.df.select(F.col("a").alias("doc_id")).union(members.df.select(F.col("b").alias("doc_id"))).distinct()
     items = Stage(multisets(docs.join(wanted, "doc_id", "left_semi"), size), "items")
     often = frequent(items.df)
-    checked = Stage(verify(members.df, items.df, alike), "checked")
+    checked = Stage(verify(members.df, items.df, alike, often), "checked")
     linked = (F.col("common") >= F.lit(alike) * F.col("total")) & (F.col("total") > 0)
     label = components(checked.df.where(linked))
 
@@ -250,33 +264,39 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     rest = Stage(named.df.select("*", F.explode("rest").alias("item")).drop("rest"), "rest")
     shared = rest.df.groupBy("top", "item").agg(F.count(F.lit(1)).alias("many"), F.max("outside").alias("any")).where("many > 1 and any").select("top", "item")
     hits = rest.df.join(shared, ["top", "item"], "left_semi")
-    by_item = side(hits.where("outside"), "x", "item").join(side(hits, "y", "item"), ["top", "item"]).where(fit)
+    # once more a star: the smallest open node of each item against the others that have it, so that families join up first
+    hits = Stage(hits, "hits")
+    star = hits.df.where("outside").groupBy("top", "item").agg(F.min(F.struct("node", "own")).alias("h"))
+    star = hits.df.join(star, ["top", "item"]).where(F.col("own") != F.col("h.own")).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+    starred = Stage(verify(star, items.df, alike), "starred")
+    known = _relabel(label.df, checked.df.where(linked).select("a", "b").union(rooted.df.where(linked).select("a", "b")).union(starred.df.where(linked).select("a", "b")))
+    fresh = lambda df: df.drop("own").join(known.df.select("node", F.col("label").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    # a pair is made at the first item that its nodes share, not at each
+    theirs = hits.df.groupBy("top", "node").agg(F.collect_list("item").alias("theirs"))
+    hits_now, named_now = fresh(hits.df.join(theirs, ["top", "node"])), fresh(named.df.drop("rest"))
+    once = F.array_min(F.array_intersect("x_theirs", "y_theirs")) == F.col("item")
+    by_item = (side(hits_now.where("outside"), "x", "item", F.col("theirs").alias("x_theirs"))
+               .join(side(hits_now, "y", "item", F.col("theirs").alias("y_theirs")), ["top", "item"]).where(fit & once))
     # both nearly contained in the root: x takes sizes from alike * n up to what its common items allow, in steps of 2 %
     step = lambda n: F.floor(F.log(n) / math.log(1.02)).cast("int")
     room = F.col("common") / need - F.col("n")
-    inside = named.df.where(room >= F.lit(alike) * F.col("n") - 1e-6)
+    inside = named_now.where(room >= F.lit(alike) * F.col("n") - 1e-6)
     sizes = F.explode(F.sequence(step(F.lit(alike) * F.col("n")), step(F.greatest(room, F.lit(1.0)))))
     by_size = side(inside.where("outside").withColumn("size", sizes), "x", "size").join(side(inside.withColumn("size", step(F.col("n"))), "y", "size"), ["top", "size"])
     enough = F.least("x_common", "y_common") >= F.lit(need) * (F.col("x_n") + F.col("y_n")) - 1e-6
     near = by_item.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).union(by_size.where(fit & enough).select("x_node", "y_node"))
     second = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     again = Stage(verify(second, items.df, alike), "again")
-    links = checked.df.where(linked).select("a", "b").union(rooted.df.where(linked).select("a", "b")).union(again.df.where(linked).select("a", "b")).distinct()
-    # the second round only joins components of the first
-    own = label.df.select("node", F.col("label").alias("own"))
-    more = rooted.df.where(linked).select("a", "b").union(again.df.where(linked).select("a", "b"))
-    for end in ("a", "b"):
-        more = more.join(own.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("own", end)).drop("own").distinct()
-    joined = components(more)
-    full = label.df.select("node", "label").union(joined.df.join(label.df.select("node"), "node", "left_anti"))
-    full = Stage(full.join(joined.df.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label")), "full")
+    found = [x.df.where(linked).select("a", "b") for x in (checked, rooted, starred, again)]
+    links = found[0].union(found[1]).union(found[2]).union(found[3]).distinct()
+    full = _relabel(known.df, found[3])
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.df.select("f1", "f2", "node").join(full.df.select("node", "label"), "node", "left").join(degree, "node", "left")
-    known = Stage(known.select("f1", "f2", "node", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    placed = (sketch.df.select("doc_id", "f1", "f2").join(known.df, ["f1", "f2"], "left")
+    placing = nodes.df.select("f1", "f2", "node").join(full.df.select("node", "label"), "node", "left").join(degree, "node", "left")
+    placing = Stage(placing.select("f1", "f2", "node", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
+    placed = (sketch.df.select("doc_id", "f1", "f2").join(placing.df, ["f1", "f2"], "left")
               .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id") == F.col("node"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")))
-    for used in (nodes, members, items, checked, label, met, rooted, named, rest, again, joined, full):
+    for used in (nodes, members, items, checked, label, met, rooted, named, rest, hits, starred, known, again, full):
         used.drop()
     return placed.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
