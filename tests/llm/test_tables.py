@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from tests.llm.conftest import odd_rows, prose, sha
-from tidepanel.llm import curves, licences, neardup, packing, repeats
+from tidepanel.llm import curves, licences, neardup, packing, repeats, tokencount
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -137,6 +137,22 @@ def test_words_cost_what_the_tokenizer_says():
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [e.ids for e in want]
 
 
+def test_markers_in_texts_are_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+    path, rng = P.path("word_bpe_49k.json"), random.Random(23)
+    library = Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "a", "Dog's", " ", "\n", "é", "漢", "1", "Σ", "\x1c"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "é<|startoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(500)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [320, 49407, 321]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.word_ids(path).encode(texts)] == want
+    rows = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert [(rows[i]["length"], rows[i]["ids_crc32"]) for i in range(len(texts))] == [(len(w) + 1, zlib.crc32(np.array([*w, 1], "<u4").tobytes())) for w in want]
+    library.encode_special_tokens = True  # in flat files the marker is the separator, so there it is spelled out
+    counts = tokencount.count_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 49407)
+    assert {r["doc_id"]: r["n_tokens"] for r in counts.collect()} == {i: len(e.ids) for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False))}
+
+
 def check_packing(rows, docs, size):
     tokens = packing.word_ids(P.path("word_bpe_49k.json")).tokenizer
     want = collections.Counter()

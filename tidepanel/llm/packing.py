@@ -47,12 +47,15 @@ class WordIds:
     PLAIN = re.compile("[!-~\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
     PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|[^a-z\\xdf-\\xf6\\xf8-\\xff0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spell_added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_added
+        #: What is one id wherever it stands in a word, unless it is to be spelled out.
+        added = [] if spell_added else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
         level = ByteLevel(add_prefix_space=False, use_regex=False)  # how the model spells bytes
         self.byte = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]}
         self.known: dict[str, bytes] = {}  # each memo in two generations
@@ -61,10 +64,10 @@ class WordIds:
         self.old_parts: dict[str, bytes] = {}
 
     def fresh(self, words: list[str]) -> None:
-        """Encode words; those of plain Latin letters by their pre-tokens, which go to the merges directly."""
+        """Encode words; those of plain Latin letters by their pre-tokens, which go to the merges directly, unless an added token is in them."""
         cut, other = {}, []
         for w in words:
-            if self.PLAIN.fullmatch(w):
+            if self.PLAIN.fullmatch(w) and not self.added.search(w):
                 cut[w] = self.PART.findall(w.lower())
             else:
                 other.append(w)
@@ -101,8 +104,9 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, spell_added: bool = False) -> WordIds:
+    """Ids as the library gives them; ``spell_added``: the markers of the tokenizer file are text like any other."""
+    return WordIds(path, spell_added)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:

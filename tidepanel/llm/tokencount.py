@@ -33,7 +33,7 @@ def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<
     A file gets its final name when it is complete. Only files of the list count, so what a lost task left behind does no harm.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (fs, base) = word_ids(path), _open(folder)
+        enc, (fs, base) = word_ids(path, True), _open(folder)  # a marker in a text is no separator
         fs.create_dir(base, recursive=True)
         out, name, ordinal, written = None, "", 0, 0
         rows: list[tuple] = []
