@@ -262,6 +262,42 @@ def test_licences(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def brute_runs(files):
+    """Best (score, licence) of every line and every run of a template's number of words."""
+    words = {p: re.findall("[a-z0-9]+", (t or "").lower()) for p, t in files}
+    df, n = collections.Counter(w for ws in words.values() for w in set(ws)), len(files)
+    vocabulary = {w for _, t in licences.TEMPLATES for w in re.findall("[a-z0-9]+", t.lower())}
+    square = lambda ws: sum(np.log((1 + n) / (1 + df[w] * (w in vocabulary))) ** 2 for w in set(ws))
+    out = {}
+    for p, text in files:
+        units = [re.findall("[a-z0-9]+", x.lower()) for x in (text or "").split("\n")]
+        scores = []
+        for name, t in licences.TEMPLATES:
+            t = re.findall("[a-z0-9]+", t.lower())
+            for u in units + [words[p][i:i + len(t)] for i in range(max(1, len(words[p]) - len(t) + 1))]:
+                if common := set(u) & set(t):
+                    scores.append((-round(square(common) / np.sqrt(square(u) * square(t)), 6), name))
+        best = min(scores, default=(0, None))
+        out[p] = (best[1], -best[0]) if -best[0] >= licences.THRESHOLD else None
+    return out
+
+
+def test_notices_inside_lines_and_across_breaks(spark):
+    rng = random.Random(29)
+    notices = [t for _, t in licences.TEMPLATES]
+    files = [("h/1", "Copyright (c) X. All rights reserved. Licensed under the MIT License. See LICENSE in the project root for license information."),
+             ("h/2", prose(rng, 300) + " " + notices[0] + " " + prose(rng, 300)), ("h/3", prose(rng, 20) + "\n// This program is free software: you can redistribute it\n// and/or modify it under the terms of\n// the GNU General Public License as\n// published by the Free Software Foundation\n" + prose(rng, 90)),
+             ("w/1", "Released under\nthe MIT\nLicense."), ("w/2", "text"), ("v/1", "see the license of the software in version two of the terms"), ("v/2", "Released MIT")]
+    for i in range(150):  # whole and damaged notices anywhere, at both ends and around the edges of stretches
+        kept = " ".join(w for w in rng.choice(notices).split() if rng.random() < rng.choice([0.7, 1]))
+        files.append((f"r{i}/x", prose(rng, rng.randint(0, 70)) + rng.choice([" ", "\n"]) + kept + rng.choice([" ", "\n", ""]) + prose(rng, rng.randint(0, 70))))
+    files += [(f"f/{i}", prose(rng, 40)) for i in range(50)]
+    rows = {r["path"]: r for r in licences.scan(spark.createDataFrame(files, "path string, text string").repartition(3)).collect()}
+    assert {p: (r["licence"], round(r["score"], 6)) if r["origin"] == "own" else None for p, r in rows.items()} == brute_runs(files)
+    assert [rows[p]["licence"] for p in ("h/1", "h/2", "h/3", "w/1")] == ["MIT", "Apache-2.0", "GPL-3.0", "MIT"]
+    assert (rows["w/2"]["origin"], rows["w/2"]["licence"]) == ("inherited", "MIT") and rows["f/7"]["origin"] == "none"
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as c
     docs = spark.read.parquet(f"{sf}/documents.parquet")
