@@ -298,6 +298,19 @@ def test_notices_inside_lines_and_across_breaks(spark):
     assert (rows["w/2"]["origin"], rows["w/2"]["licence"]) == ("inherited", "MIT") and rows["f/7"]["origin"] == "none"
 
 
+def test_licences_of_rows_without_and_with_repeated_ids(spark, odd, tmp_path):
+    from tidepanel.llm import queries
+    more = [(None, "Licensed under CC BY-SA 4.0."), (None, "plain words"), (None, "plain words"), (8, "Licensed under CC BY-NC 4.0.\n" + "plain " * 40), (8, None)]
+    rows = odd.union(spark.createDataFrame([(i, t, "en", "s", 0, 0, "x", 1.0) for i, t in more], odd.schema))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op2_licences"](spark, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in odd_rows() + more)
+    said = collections.Counter((r["doc_id"], r["licence"], r["origin"]) for r in got)
+    assert said[None, "CC-BY-SA-4.0", "own"] == 1 and said[None, "CC-BY-SA-4.0", "inherited"] == 3
+    assert said[8, "CC-BY-NC-4.0", "own"] == 1 and said[8, None, "none"] == 2 and said[7, None, "none"] == 2
+    assert {r["path"] for r in got if r["doc_id"] is None} == {"s/en/-/-"} and {r["path"] for r in got if r["doc_id"] == 8} == {"s/en/0/8"}
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as c
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -90,13 +90,15 @@ def op9_nearest_vectors(spark, sf_dir):
 
 
 #: The place of a document in a tree of folders: source, language, hundred.
-DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), cast(floor(doc_id / 100) as string), cast(doc_id as string))"
+DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(cast(floor(doc_id / 100) as string), '-'), coalesce(cast(doc_id as string), '-'))"
+#: What tells rows apart that share an id or have none; rows that are alike in all share one file.
+ROW_FILE = f"concat({DOCUMENT_PATH}, '#', hex(xxhash64(text)))"
 
 
 @query
 def op2_licences(spark, sf_dir):
     """Licence of every document, its own or that of the nearest folder."""
     from tidepanel.llm import licences
-    docs = documents(spark, sf_dir)
-    found = licences.scan(docs.select(F.expr(DOCUMENT_PATH).alias("path"), "text"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "origin", "inherited_from")
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(DOCUMENT_PATH).alias("path"), F.expr(ROW_FILE).alias("file"), "text")
+    found = licences.scan(docs.select(F.col("file").alias("path"), "text")).withColumnRenamed("path", "file")
+    return docs.select("doc_id", "path", "file").join(found, "file").select("doc_id", "path", "licence", F.round("score", 6).alias("score"), "origin", "inherited_from")
