@@ -188,3 +188,15 @@ def test_token_counts(odd, none, monkeypatch):
         assert sorted(r["n_tokens"] for r in rows) == want
         assert {r["doc_id"]: r["n_tokens"] for r in rows}[6] == size(dict(odd_rows())[6])
     assert tokencount.count_documents(none.sparkSession, none, path, 49407).count() == 0
+
+
+def test_registered_token_counts_are_those_of_the_byte_tokenizer(odd, tmp_path):
+    from tidepanel.llm import queries
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    more = [(70, "a<|endoftext|>b"), (71, "  \n\n "), (72, "UPPER lower")]
+    rows = odd.union(odd.sparkSession.createDataFrame([(i, t, "en", "s", 0, 0, "x", 1.0) for i, t in more], odd.schema))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_token_counts"](odd.sparkSession, str(tmp_path)).collect()
+    want = [(i, len(library.encode_ordinary(t or ""))) for i, t in odd_rows() + more]
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(want, key=str)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidepanel.core.session import ship
 
 BYTE_MULTI = "byte_bpe_multi_50k.tiktoken"
-WORD, END_OF_TEXT = "word_bpe_49k.json", 49407
+BYTE, END_OF_TEXT = "byte_bpe_50k.tiktoken", 50256
+WORD = "word_bpe_49k.json"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,7 +73,7 @@ def op4_fingerprints(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     """Token counts of all documents, found by scanning flat token files."""
     from tidepanel.llm import tokencount
-    return tokencount.count_documents(spark, documents(spark, sf_dir), public_tokenizers.path(WORD), END_OF_TEXT)
+    return tokencount.count_documents(spark, documents(spark, sf_dir), public_tokenizers.path(BYTE), END_OF_TEXT, public_tokenizers.PATTERN)
 
 
 @query

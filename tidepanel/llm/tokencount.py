@@ -7,6 +7,7 @@ two levels, so that a single huge file is no single task.
 """
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.core.scratch import new_path
+from tidepanel.llm.bpe import encoder
 from tidepanel.llm.common import Stage, id_text, steps, unique_name, without_gc
 from tidepanel.llm.packing import word_ids
 
@@ -27,13 +29,19 @@ def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<u2") -> Stage:
+def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<u2", pattern: str | None = None) -> Stage:
     """Encode every text by the tokenizer file ``path`` into flat files in the shared ``folder``; returns the stored list (file, ids, ordinal, doc_id).
 
+    With a ``pattern`` the file holds byte ranks and the pattern splits the texts; without, it is one of the tokenizers library.
     A file gets its final name when it is complete. Only files of the list count, so what a lost task left behind does no harm.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (fs, base) = word_ids(path, True), _open(folder)  # a marker in a text is no separator
+        fs, base = _open(folder)
+        if pattern is None:
+            encode = word_ids(path, True).encode  # a marker in a text is no separator
+        else:
+            enc = encoder(path, pattern)
+            encode = lambda texts: [array("I", enc.encode(t)).tobytes() for t in texts]
         fs.create_dir(base, recursive=True)
         out, name, ordinal, written = None, "", 0, 0
         rows: list[tuple] = []
@@ -47,7 +55,7 @@ def write_flat(docs: DataFrame, folder: str, path: str, end: int, kind: str = "<
                                              ["file", "ids", "ordinal", "doc_id"])
 
         for part in without_gc(steps(batches)):
-            for i, got in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
+            for i, got in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
                 if out is None:
                     name, ordinal, written, rows = f"{TaskContext.get().partitionId():06d}-{unique_name()}", 0, 0, []
                     out = fs.open_output_stream(f"{base}/{name}.part")
@@ -97,12 +105,12 @@ def count(files: DataFrame, folder: str, end: int, kind: str = "<u2", block: int
     return each.select("file", (F.col("ahead") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"))
 
 
-def count_documents(spark: SparkSession, docs: DataFrame, path: str, end: int) -> DataFrame:
+def count_documents(spark: SparkSession, docs: DataFrame, path: str, end: int, pattern: str | None = None) -> DataFrame:
     """(doc_id, file, ordinal, start, n_tokens): write flat files of all texts, scan them, and name the documents.
 
     Null and empty texts have 0 tokens; repeated rows and null ids are documents like others.
     """
     folder = new_path(spark, "tokens")
-    listed = write_flat(docs, folder, path, end)
+    listed = write_flat(docs, folder, path, end, pattern=pattern)
     found = count(listed.df.select("file", "ids").distinct(), folder, end)
     return listed.df.select("file", "ordinal", "doc_id").join(found, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
