@@ -12,7 +12,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that can be learned from the labelled rows stay; null texts and those without letters go."""
+    """Texts with letters stay, whether or not a language can be learned from the labelled rows; null texts and those without letters go."""
     ship(spark)
     return langid.accepted(docs)
 

@@ -200,3 +200,11 @@ def test_registered_token_counts_are_those_of_the_byte_tokenizer(odd, tmp_path):
     got = queries.QUERIES["op7_token_counts"](odd.sparkSession, str(tmp_path)).collect()
     want = [(i, len(library.encode_ordinary(t or ""))) for i, t in odd_rows() + more]
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_unlabelled_texts_are_accepted(odd):
+    from pyspark.sql import functions as F
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.accepted(bare)
+    assert kept.schema == bare.schema and kept.count() == odd.count() - 4
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in odd_rows()} - {1, 2, 3, 5}

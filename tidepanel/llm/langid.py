@@ -186,13 +186,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """All columns of the rows whose text is in a learned language; texts that are null or without letters go."""
+    """All columns of the rows whose text is in a learned language; only texts that are null or without letters go, also if no language could be learned."""
     model = learn(docs.where(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for part in steps(batches):
-            language, _ = shared.value.parse(part.column("text").to_pylist())
-            yield part.filter(pa.array([x != UNKNOWN for x in language]))
+            texts = part.column("text").to_pylist()
+            stay = [x != UNKNOWN for x in shared.value.parse(texts)[0]] if shared.value.languages else [bool(t) and bool((points(t) != 32).any()) for t in texts]
+            yield part.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
