@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.core.session import ship
+from tidepanel.llm.merkle import SQL as merkle_sql
 
 BYTE_MULTI = "byte_bpe_multi_50k.tiktoken"
 BYTE, END_OF_TEXT = "byte_bpe_50k.tiktoken", 50256
@@ -90,6 +91,16 @@ def op9_nearest_vectors(spark, sf_dir):
     return curves.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root, proof and check of every document."""
+    from tidepanel.llm import merkle
+    return merkle.verify(documents(spark, sf_dir))
+
+
+ORACLES["op12_merkle_manifest"] = merkle_sql
+
+
 #: The place of a document in a tree of folders: source, language, hundred.
 DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(cast(floor(doc_id / 100) as string), '-'), coalesce(cast(doc_id as string), '-'))"
 #: What tells rows apart that share an id or have none; rows that are alike in all share one file.
