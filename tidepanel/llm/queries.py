@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.core.session import ship
 from tidepanel.llm.merkle import SQL as merkle_sql
+from tidepanel.llm.spelling import SQL as spelling_sql
 
 BYTE_MULTI = "byte_bpe_multi_50k.tiktoken"
 BYTE, END_OF_TEXT = "byte_bpe_50k.tiktoken", 50256
@@ -101,6 +102,16 @@ def op12_merkle_manifest(spark, sf_dir):
 ORACLES["op12_merkle_manifest"] = merkle_sql
 
 
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Nearest and last more frequent spelling of every word of all texts."""
+    from tidepanel.llm import spelling
+    return spelling.variants(documents(spark, sf_dir))
+
+
+ORACLES["op13_spelling_variants"] = spelling_sql
+
+
 #: The place of a document in a tree of folders: source, language, hundred.
 DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(cast(floor(doc_id / 100) as string), '-'), coalesce(cast(doc_id as string), '-'))"
 #: What tells rows apart that share an id or have none; rows that are alike in all share one file.
