@@ -11,6 +11,7 @@ from tidepanel.llm.spelling import SQL as spelling_sql
 BYTE_MULTI = "byte_bpe_multi_50k.tiktoken"
 BYTE, END_OF_TEXT = "byte_bpe_50k.tiktoken", 50256
 WORD = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +113,13 @@ def op13_spelling_variants(spark, sf_dir):
 ORACLES["op13_spelling_variants"] = spelling_sql
 
 
+@query
+def op11_lattice_scores(spark, sf_dir):
+    """Word-model and subword-lattice scores of every whole text."""
+    from tidepanel.llm import lattice
+    return lattice.score(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 #: The place of a document in a tree of folders: source, language, hundred.
 DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(cast(floor(doc_id / 100) as string), '-'), coalesce(cast(doc_id as string), '-'))"
 #: What tells rows apart that share an id or have none; rows that are alike in all share one file.
