@@ -135,11 +135,50 @@ def test_cross_sectional_regression(spark):
     np.testing.assert_allclose(got[["intercept", "e"]].values, [[0.3, 2.0]] * 3, atol=1e-5)
 
 
+def _em(x, k, rounds):
+    """Plain mixture from quantile ranges of the last column; weights, means, covariances and log likelihoods."""
+    cuts = np.quantile(x[:, -1], [c / k for c in range(1, k)])
+    r = np.eye(k)[(x[:, -1][:, None] > cuts).sum(1)]
+    for i in range(rounds + 1):
+        n = r.sum(0)
+        w, m = n / len(x), (r.T @ x) / n[:, None]
+        v = [((r[:, c:c + 1] * (x - m[c])).T @ (x - m[c])) / n[c] + 1e-6 * np.eye(x.shape[1]) for c in range(k)]
+        g = np.stack([np.log(w[c]) - 0.5 * (np.einsum("ni,ij,nj->n", x - m[c], np.linalg.inv(v[c]), x - m[c]) + np.linalg.slogdet(v[c])[1] + x.shape[1] * np.log(2 * np.pi)) for c in range(k)], 1)
+        top = g.max(1, keepdims=True)
+        e = np.exp(g - top)
+        r = e / e.sum(1, keepdims=True)
+    return w, m, v, float((top[:, 0] + np.log(e.sum(1))).sum()), r
+
+
+def test_mixtures_of_all_keys_match_plain_em_and_do_not_depend_on_partitions(spark):
+    from tidepanel.models import mixtures
+    rng = np.random.default_rng(1)
+    frames = []
+    for s, n in (("A", 300), ("B", 90), ("C", 1)):
+        z = rng.normal(size=(n, 3)) * np.where(np.arange(n) % 3 == 0, 3.0, 0.5)[:, None]
+        frames.append(pd.DataFrame({"series": s, "date": pd.date_range("2020-01-01", periods=n), "x": z[:, 0], "y": z[:, 0] * 0.5 + z[:, 1], "z": np.abs(z[:, 2])}))
+    pdf = pd.concat(frames)
+    sdf = spark.createDataFrame(pdf)
+    features = ["x", "y", "z"]
+    fits = [mixtures.fit(d, features, 2, 6).toPandas().set_index("series") for d in (sdf.coalesce(1), sdf.repartition(7))]
+    np.testing.assert_allclose(fits[0].astype(float), fits[1].loc[fits[0].index].astype(float), rtol=1e-8, atol=1e-10)
+    got = mixtures.criteria(sdf, mixtures.fit(sdf, features, 2, 6), features, 2).toPandas().set_index(["series", "component"])
+    for s in ("A", "B"):
+        w, m, v, ll, _ = _em(pdf.loc[pdf.series == s, features].to_numpy(), 2, 6)
+        for place, c in enumerate(np.argsort([np.trace(c) for c in v])):
+            g = got.loc[(s, place)]
+            np.testing.assert_allclose([g["weight"], *g["mean"], *g["cov"]], [w[c], *m[c], *v[c][np.tril_indices(3)]], rtol=1e-6, atol=1e-9)
+            np.testing.assert_allclose(g["log_likelihood"], ll, rtol=1e-8)
+    assert len(got) == 6 and np.isfinite(got.loc["C"]["weight"].astype(float)).all()
+    empty = sdf.limit(0)
+    assert mixtures.criteria(empty, mixtures.fit(empty, features, 2, 2), features, 2).count() == 0
+
+
 def test_gmm_likelihood_and_probabilities(spark):
     from tidepanel.operators import regimes_ml as rm
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(0, 0.1, 150), rng.normal(0, 1.5, 150)])
-    pdf = pd.DataFrame({"series": "S", "date": pd.date_range("2020-01-01", periods=300), "x": v, "z": rng.normal(size=300)})
+    pdf = pd.DataFrame({"series": "S", "date": pd.date_range("2020-01-01", periods=300), "x": v, "z": np.abs(v)})
     sdf = spark.createDataFrame(pdf)
     out = rm.gmm(sdf, ["x", "z"], 2).toPandas()
     np.testing.assert_allclose([sum(p) for p in out["probs"]], 1.0)
@@ -147,3 +186,14 @@ def test_gmm_likelihood_and_probabilities(spark):
     assert (calm[:150] == 0).mean() > 0.8 and (calm[150:] == 1).mean() > 0.6
     c = rm.gmm_criteria(sdf, ["x", "z"], 2).first()
     assert c["n_params"] == 11 and c["bic"] > c["aic"]
+
+
+def test_break_states_and_lengths(spark):
+    from tidepanel.operators import regimes_ml as rm
+    days = pd.date_range("2020-01-01", periods=30)
+    rows = spark.createDataFrame(pd.DataFrame({"series": ["a"] * 30 + ["b"] * 5, "date": [*days, *days[:5]], "v": 1.0}))
+    breaks = spark.createDataFrame([("a", i, days[i].to_pydatetime()) for i in (10, 22, 28)], "series string, position long, date timestamp")
+    got = {r["series"]: (r["n_breaks"], r["regime_lengths"]) for r in rm.break_statistics(breaks, rows).collect()}
+    assert got == {"a": (3, [10, 12, 6, 2]), "b": (0, [5])}
+    s = rm.break_states(rows, breaks).where("series = 'a'").orderBy("date").toPandas()["regime"].tolist()
+    assert s == [0] * 10 + [1] * 12 + [2] * 8

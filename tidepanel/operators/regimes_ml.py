@@ -1,52 +1,38 @@
 """Regime labels that need a fit: Gaussian mixtures, threshold autoregression, sliding break tests."""
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.core.frames import div, ordered, whole
 from tidepanel.functions.moments import argmax, kolmogorov_tail
-from tidepanel.operators.regimes import prepare, smooth_centered
+from tidepanel.models import mixtures
+from tidepanel.operators.regimes import smooth_centered
 
 KEY, TIME = "series", "date"
 
 
-def fit_gmm(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, max_iter: int = 100):
-    """Mixture over all rows; returns (assembled frame, model, components ordered by variance)."""
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(df.na.drop(subset=features))
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(data)
-    spread = [float(np.trace(g.cov.toArray())) for g in model.gaussians]
-    return data, model, [int(i) for i in np.argsort(spread)]
-
-
-def gmm(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, key=KEY, time=TIME) -> DataFrame:
-    """Mixture probabilities (components ordered by variance), smoothed, with the most likely regime."""
-    data, model, order = fit_gmm(df, features, k, seed)
-    out = model.transform(data).withColumn("_p", vector_to_array("probability"))
-    out = out.withColumn("probs", F.array(*[F.col("_p")[i] for i in order])).select(key, time, "probs")
-    out = smooth_centered(out, "probs", k, 2, (key,), time)
+def gmm(df: DataFrame, features: list[str], k: int = 3, rounds: int = mixtures.ROUNDS, key=KEY, time=TIME, fitted: DataFrame | None = None) -> DataFrame:
+    """Mixture probabilities, one mixture per key (components ordered by variance), smoothed, with the most likely regime."""
+    fitted = mixtures.fit(df, features, k, rounds, key) if fitted is None else fitted
+    out = smooth_centered(mixtures.probabilities(df, fitted, features, k, key, (time,)), "probs", k, 2, (key,), time)
     return out.withColumn("regime", argmax(F.col("probs")))
 
 
-def mixture_parameters(k: int, d: int) -> int:
-    return (k - 1) + k * d + k * d * (d + 1) // 2
+def gmm_criteria(df: DataFrame, features: list[str], k: int = 3, rounds: int = mixtures.ROUNDS, key=KEY, fitted: DataFrame | None = None) -> DataFrame:
+    """Parameter count, AIC, BIC and per-component weight, mean and covariance of each key's mixture."""
+    fitted = mixtures.fit(df, features, k, rounds, key) if fitted is None else fitted
+    return mixtures.criteria(df, fitted, features, k, key)
 
 
-def gmm_criteria(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> DataFrame:
-    """Parameter count, AIC, BIC and per-component weight and mean of the fitted mixture."""
-    data, model, order = fit_gmm(df, features, k, seed)
-    n, ll = data.count(), float(model.summary.logLikelihood)
-    p = mixture_parameters(k, len(features))
-    rows = [(r, float(model.weights[i]), [float(v) for v in model.gaussians[i].mean], p, n, ll,
-             2 * p - 2 * ll, p * math.log(n) - 2 * ll, model.summary.numIter < model.getMaxIter()) for r, i in enumerate(order)]
-    return df.sparkSession.createDataFrame(
-        rows, "component int, weight double, mean array<double>, n_params int, n_rows long, log_likelihood double, aic double, bic double, converged boolean")
+def break_statistics(breaks: DataFrame, rows: DataFrame, key=KEY) -> DataFrame:
+    """(key, n_breaks, regime_lengths): rows of each stretch between the breaks of a key, keys without breaks included."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    at = breaks.groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("at"))
+    j = n.join(at, key, "left").withColumn("at", F.coalesce("at", F.array().cast("array<bigint>")))
+    ends, starts = F.concat("at", F.array("n")), F.concat(F.array(F.lit(0).cast("long")), "at")
+    return j.select(key, F.size("at").alias("n_breaks"), F.zip_with(ends, starts, lambda a, b: a - b).alias("regime_lengths"))
 
 
 def tvar_grid(df: DataFrame, value="ret", by="vol", points=20, key=KEY, time=TIME) -> DataFrame:
@@ -113,7 +99,7 @@ def spaced_breaks(windows: DataFrame, level=0.05, gap=20, key=KEY, time=TIME) ->
 
 
 def break_states(df: DataFrame, breaks: DataFrame, n: int = 3, key=KEY, time=TIME) -> DataFrame:
-    """Regime = number of breaks so far, at most n-1."""
+    """Regime = number of breaks so far, at most n-1; a break belongs to the stretch it opens."""
     flag = breaks.select(key, time, F.lit(1).alias("_b"))
     d = df.join(flag, [key, time], "left")
     total = F.sum(F.coalesce("_b", F.lit(0))).over(ordered(key, time).rowsBetween(Window.unboundedPreceding, 0))

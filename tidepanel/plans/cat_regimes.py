@@ -4,7 +4,9 @@ from __future__ import annotations
 import numpy as _np
 from pyspark.sql import functions as F
 
+from tidepanel.functions.moments import argmax
 from tidepanel.operators import regimes as r, regimes_ml as rm
+from tidepanel.plans.mixture_sql import CRITERIA, SMOOTHED
 from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
 
@@ -27,16 +29,13 @@ def reg_threshold(sp, sf):
     return probs(d.regimes(sp, sf), "series", "date", "vol", "regime")
 
 
-@query("reg_gmm")
-def reg_gmm(sp, sf):
-    df = r.prepare(d.regimes(sp, sf).select("series", "date", "ret", "vol", F.col("ret").alias("target")), ["ret", "vol"], "target")
-    return probs(rm.gmm(df, ["ret", "vol"]), "series", "date", "regime")
+def _mixture_rows(sp, sf):
+    return r.prepare(d.regimes(sp, sf).select("series", "date", "ret", "vol", F.col("ret").alias("target")), ["ret", "vol"], "target")
 
 
-@query("reg_information_criteria")
-def reg_information_criteria(sp, sf):
-    df = r.prepare(d.regimes(sp, sf).select("series", "date", "ret", "vol", F.col("ret").alias("target")), ["ret", "vol"], "target")
-    return rm.gmm_criteria(df, ["ret", "vol"]).withColumn("mean_0", F.col("mean")[0]).withColumn("mean_1", F.col("mean")[1]).drop("mean")
+@query("reg_gmm", f"WITH RECURSIVE {SMOOTHED} SELECT series, date, CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END AS regime, R(p0) AS p0, R(p1) AS p1, R(p2) AS p2 FROM gmm")
+def reg_gmm(sp, sf):
+    return probs(rm.gmm(_mixture_rows(sp, sf), ["ret", "vol"]), "series", "date", "regime")
 
 
 _TV = "WITH l AS (SELECT series, date, ret AS y, vol, lag(ret,1) OVER s AS x1, lag(ret,2) OVER s AS x2 FROM reg WINDOW s AS (PARTITION BY series ORDER BY date))," \
@@ -57,17 +56,53 @@ def reg_tvar_grid(sp, sf):
 _KS = "(CASE WHEN stat<=0.04 THEN 1 ELSE greatest(0,least(1,2*list_sum(list_transform(range(1,101), lambda k: CASE WHEN k%2=1 THEN 1 ELSE -1 END*exp(-2.0::DOUBLE*k*k*stat*stat))))) END)"
 
 
-@query("reg_breaks_window", f"""WITH RECURSIVE b AS MATERIALIZED (SELECT series, date, vol AS close, row_number() OVER (PARTITION BY series ORDER BY date)-1 AS i, count(*) OVER (PARTITION BY series) AS n, greatest(50, count(*) OVER (PARTITION BY series)//10) AS h FROM reg WHERE vol IS NOT NULL),
+_BREAKS = f"""b AS MATERIALIZED (SELECT series, date, vol AS close, row_number() OVER (PARTITION BY series ORDER BY date)-1 AS i, count(*) OVER (PARTITION BY series) AS n, greatest(50, count(*) OVER (PARTITION BY series)//10) AS h FROM reg WHERE vol IS NOT NULL),
  w AS (SELECT a.series, a.i AS c, x.close AS y, (x.i-a.i)::DOUBLE AS t FROM b a JOIN b x ON a.series=x.series AND x.i BETWEEN a.i-a.h AND a.i+a.h-1 WHERE a.i>=a.h AND a.i<a.n-a.h),
  f AS (SELECT series, c, regr_slope(y,t) AS s, regr_intercept(y,t) AS k0 FROM w GROUP BY ALL),
  q AS (SELECT w.series, w.c, t, y-k0-s*t AS e FROM w JOIN f USING (series, c)),
  p AS (SELECT series, c, abs(sum(e) OVER (PARTITION BY series, c ORDER BY t ROWS UNBOUNDED PRECEDING)) AS cs, e FROM q),
  z AS (SELECT series, c, max(cs)/sqrt(sum(e*e)) AS stat FROM p GROUP BY ALL),
  sg AS MATERIALIZED (SELECT series, c, stat FROM z WHERE {_KS}<0.05),
- g AS (SELECT series, min(c) AS c FROM sg GROUP BY series UNION ALL SELECT g.series, (SELECT min(s2.c) FROM sg s2 WHERE s2.series=g.series AND s2.c>g.c+20) FROM g WHERE g.c IS NOT NULL)
+ g AS (SELECT series, min(c) AS c FROM sg GROUP BY series UNION ALL SELECT g.series, (SELECT min(s2.c) FROM sg s2 WHERE s2.series=g.series AND s2.c>g.c+20) FROM g WHERE g.c IS NOT NULL)"""
+
+
+def _breaks(sp, sf):
+    return rm.spaced_breaks(rm.break_windows(d.regimes(sp, sf), "vol"))
+
+
+@query("reg_breaks_window", f"""WITH RECURSIVE {_BREAKS}
  SELECT g.series, g.c AS position, b.date, R(sg.stat) AS statistic FROM g JOIN b ON g.series=b.series AND g.c=b.i JOIN sg ON sg.series=g.series AND sg.c=g.c""")
 def reg_breaks_window(sp, sf):
-    return rm.spaced_breaks(rm.break_windows(d.regimes(sp, sf), "vol"))
+    return _breaks(sp, sf)
+
+
+@query("reg_break_states", f"""WITH RECURSIVE {_BREAKS},
+ fl AS (SELECT b.series, b.date, (g.c IS NOT NULL)::INT AS k FROM b LEFT JOIN g ON g.series=b.series AND g.c=b.i),
+ sm AS (SELECT series, date, least(2, sum(k) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING)) AS s FROM fl),
+ pr AS (SELECT series, date, s, avg((s=0)::INT) OVER c AS p0, avg((s=1)::INT) OVER c AS p1, avg((s=2)::INT) OVER c AS p2 FROM sm WINDOW c AS (PARTITION BY series ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+ SELECT series, date, s::INT AS break_regime, CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END AS regime, R(p0) AS p0, R(p1) AS p1, R(p2) AS p2 FROM pr""")
+def reg_break_states(sp, sf):
+    rows = d.regimes(sp, sf).where("vol is not null").select("series", "date", "vol")
+    s = rm.break_states(rows, rm.spaced_breaks(rm.break_windows(rows, "vol")))
+    out = r.smooth_centered(s.withColumn("probs", r.one_hot(F.col("regime"), 3)).withColumnRenamed("regime", "break_regime"))
+    return probs(out.withColumn("regime", argmax(F.col("probs"))), "series", "date", "break_regime", "regime")
+
+
+@query("reg_information_criteria", f"""WITH RECURSIVE {CRITERIA}, {_BREAKS},
+ fr AS (SELECT series, unnest([0,1,2]) AS component, unnest([avg((regime=0)::INT), avg((regime=1)::INT), avg((regime=2)::INT)]) AS threshold_frequency FROM reg GROUP BY series),
+ bk AS (SELECT series, list(c ORDER BY c) AS c FROM g WHERE c IS NOT NULL GROUP BY series),
+ ln AS (SELECT series, coalesce(len(c), 0)::INT AS n_breaks, array_to_string(list_transform(range(1, coalesce(len(c), 0)+2), lambda i: coalesce(c[i], n)-CASE WHEN i=1 THEN 0 ELSE c[i-1] END), ',') AS regime_lengths
+   FROM (SELECT series, count(*) AS n FROM b GROUP BY series) LEFT JOIN bk USING (series))
+ SELECT series, component, R(weight) AS weight, R(mean_0) AS mean_0, R(mean_1) AS mean_1, R(cov_00) AS cov_00, R(cov_10) AS cov_10, R(cov_11) AS cov_11, n_params, n_rows, R(log_likelihood) AS log_likelihood, R(aic) AS aic, R(bic) AS bic, converged,
+ R(threshold_frequency) AS threshold_frequency, n_breaks, regime_lengths FROM gmm_crit JOIN fr USING (series, component) JOIN ln USING (series)""")
+def reg_information_criteria(sp, sf):
+    states = d.regimes(sp, sf)
+    shares = r.threshold_stats(states).select("series", F.posexplode(F.array("freq_0", "freq_1", "freq_2")).alias("component", "threshold_frequency"))
+    rows = states.where("vol is not null")
+    lengths = rm.break_statistics(rm.spaced_breaks(rm.break_windows(rows, "vol")), rows).withColumn("regime_lengths", F.array_join(F.col("regime_lengths").cast("array<string>"), ","))
+    fit = rm.gmm_criteria(_mixture_rows(sp, sf), ["ret", "vol"])
+    fit = fit.select("*", *[F.col("mean")[i].alias(f"mean_{i}") for i in range(2)], *[F.col("cov")[i].alias(f"cov_{n}") for i, n in enumerate(("00", "10", "11"))]).drop("mean", "cov")
+    return fit.join(shares, ["series", "component"]).join(lengths, "series")
 
 
 _CU = """WITH l AS (SELECT series, date, close, lag(close) OVER (PARTITION BY series ORDER BY date) AS x FROM idx),
