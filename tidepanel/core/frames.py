@@ -75,6 +75,16 @@ def attach(df: DataFrame, row: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"`{tmp}`.`{n}`").alias(n) for n in row.columns])
 
 
+def moment(time, tie=None) -> Column:
+    """One number that sorts like (time, tie) for a long ``tie``, null ties as 0.
+
+    As it is a single fixed-width value, first and last of a group by it stay hash aggregations that combine before the shuffle.
+    """
+    at = F.unix_micros(c(time)).cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+    tie = F.coalesce(c(tie).cast("long"), F.lit(0)) if tie is not None else F.lit(0)
+    return (at + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def change(x, k: int = 1, key=KEY, time=TIME) -> Column:
     return div(x, F.lag(c(x), k).over(ordered(key, time))) - 1
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidepanel.core.frames import moment
 from tidepanel.sources import schemas
 
 
@@ -28,17 +29,14 @@ def bars_from_trades(trades: DataFrame, unit: str, tie: Column | None = None, ke
                      price="price", quantity="quantity", last: dict[str, Column] | None = None) -> DataFrame:
     """OHLCV bars per key and calendar unit; ``last`` adds closing values of further columns.
 
-    Trades are reduced per (key, timestamp) first, ordered by one long ``tie``, then per unit, ordered by the timestamp. Both
-    orders are primitive, so both steps are hash aggregations that combine map-side; no raw trade is sorted.
+    First and last follow (time, ``tie``) as one number, so a raw trade is reduced to its bar before the only shuffle, whatever the
+    resolution of its timestamp; no raw trade is sorted.
     """
-    tie = tie if tie is not None else F.lit(0).cast("long")
     more = last or {}
-    ticks = trades.groupBy(F.col(key).alias("symbol"), F.col(time).alias("_t")).agg(
-        F.min_by(price, tie).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, tie).alias("close"),
-        F.sum(quantity).alias("volume"), *[F.max_by(e, tie).alias(n) for n, e in more.items()])
-    return ticks.groupBy("symbol", F.date_trunc(unit, "_t").alias("date")).agg(
-        F.min_by("open", "_t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_t").alias("close"),
-        F.sum("volume").alias("volume"), *[F.max_by(n, "_t").alias(n) for n in more])
+    t = trades.select(F.col(key).alias("symbol"), F.date_trunc(unit, time).alias("date"), moment(time, tie).alias("_at"), F.col(price).alias("_p"), F.col(quantity).alias("_q"),
+                      *[e.alias(n) for n, e in more.items()])
+    return t.groupBy("symbol", "date").agg(F.min_by("_p", "_at").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.max_by("_p", "_at").alias("close"),
+                                           F.sum("_q").alias("volume"), *[F.max_by(n, "_at").alias(n) for n in more])
 
 
 def index_and_sector_sets(df: DataFrame, mapping: DataFrame) -> DataFrame:

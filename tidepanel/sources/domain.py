@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.core.frames import div, ordered
+from tidepanel.core.frames import div, moment, ordered
 from tidepanel.sources.bars import bars_from_trades
 
 
@@ -113,9 +113,8 @@ def fundamentals(spark, sf_dir, period: str = "quarter") -> DataFrame:
     e, d, t, q = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
     months = {"quarter": 3, "year": 12}[period]
     start = F.date_trunc(period, "l_shipdate")
-    sums = ("revenue", "gross_profit", "operating_income", "net_income", "total_assets", "total_equity", "current_assets", "current_liabilities",
-            "inventory", "cash", "total_debt", "operating_cash_flow", "shares")
-    days = li.groupBy(F.col("l_suppkey").alias("symbol"), start.alias("start"), "l_shipdate").agg(
+    li = li.withColumn("_at", moment("l_shipdate", line_order("l_orderkey", "l_linenumber")))
+    out = li.groupBy(F.col("l_suppkey").alias("symbol"), start.alias("start")).agg(
         F.sum(e).alias("revenue"), F.sum(e * (1 - d)).alias("gross_profit"),
         F.sum(e * (0.06 - d)).alias("operating_income"),
         F.sum(e * (0.05 - d) * (1 - t)).alias("net_income"),
@@ -123,9 +122,7 @@ def fundamentals(spark, sf_dir, period: str = "quarter") -> DataFrame:
         F.sum(e * (0.4 + t)).alias("current_assets"), F.sum(e * (0.2 + d)).alias("current_liabilities"),
         F.sum(e * t).alias("inventory"), F.sum(e * d * 0.5).alias("cash"),
         F.sum(e * (0.3 + t - d)).alias("total_debt"), F.sum(e * (0.05 - d + t)).alias("operating_cash_flow"),
-        F.sum(q).alias("shares"), F.max_by(div(e, q), line_order("l_orderkey", "l_linenumber")).alias("price"))
-    # by day and then by period: orders by single longs keep both steps hash aggregations
-    out = days.groupBy("symbol", "start").agg(*[F.sum(c).alias(c) for c in sums], F.max_by("price", "l_shipdate").alias("price"))
+        F.sum(q).alias("shares"), F.max_by(div(e, q), "_at").alias("price"))
     end = F.last_day(F.add_months(F.col("start"), months - 1)).cast("timestamp")
     return out.withColumn("fiscal_date", end).drop("start")
 

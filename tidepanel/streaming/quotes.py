@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.core.frames import moment
+
 
 def read_ticks(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
@@ -13,16 +15,17 @@ def read_ticks(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 def latest_price(ticks: DataFrame, key="symbol", time="ts") -> DataFrame:
     """Newest quote per symbol (update mode on a stream)."""
-    return ticks.groupBy(key).agg(F.max_by(F.struct(time, "price", "quantity"), F.struct(time, "event_id")).alias("q")).select(key, "q.*")
+    t = ticks.select(key, time, "price", "quantity", moment(time, "event_id").alias("_at"))
+    return t.groupBy(key).agg(F.max(time).alias(time), *[F.max_by(c, "_at").alias(c) for c in ("price", "quantity")])
 
 
 def bars(ticks: DataFrame, width="1 minute", late="10 minutes", key="symbol", time="ts") -> DataFrame:
     """Tumbling OHLCV bars; on a stream rows later than the watermark are dropped."""
     if ticks.isStreaming:
         ticks = ticks.withWatermark(time, late)
-    o = F.struct(time, "event_id")
-    g = ticks.groupBy(key, F.window(time, width).alias("w")).agg(
-        F.min_by("price", o).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", o).alias("close"),
+    t = ticks.select(key, time, "price", "quantity", moment(time, "event_id").alias("_at"))
+    g = t.groupBy(key, F.window(time, width).alias("w")).agg(
+        F.min_by("price", "_at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "_at").alias("close"),
         F.sum("quantity").alias("volume"))
     return g.select(key, F.col("w.start").alias("date"), "open", "high", "low", "close", "volume")
 
