@@ -24,11 +24,11 @@ def gap(wide: DataFrame, actual: str, potential: str, out="output_gap") -> DataF
 
 
 def features(wide: DataFrame, growth: str, long_rate: str, short_rate: str, inflation: str,
-             conditions: list[str], momentum: list[str], time="date", full_sample: bool = True) -> DataFrame:
+             conditions: list[str], momentum: list[str], time="date", full_sample: bool = False) -> DataFrame:
     """Growth trend and cycle, curve slope, inflation trend and volatility, conditions index, momentum.
 
-    The conditions index averages z-scores; ``full_sample`` uses whole-history moments,
-    otherwise the expanding moments known at each date.
+    The conditions index averages z-scores by the moments known at each date; ``full_sample`` uses those of the
+    whole history, later dates included.
     """
     df = wide.withColumn("_k", F.lit(0))
     df = df.withColumns({"growth_trend": roll(F.avg, growth, 4, "_k", time),

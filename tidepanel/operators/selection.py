@@ -51,25 +51,41 @@ def standard(df: DataFrame, cols: list[str]) -> DataFrame:
     return attach(df, s).withColumns({f"{c}_standard": div(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}") for c in cols}).drop(*s.columns)
 
 
-def robust(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(x - median) / interquartile range with exact split-range quantiles."""
+def robust(df: DataFrame, cols: list[str], base: DataFrame | None = None) -> DataFrame:
+    """(x - median) / interquartile range with exact split-range quantiles; ``base`` is a stored table of the same values."""
     for c in cols:
-        q = grouped_quantiles(df, [], c, {"_a": 0.25, "_m": 0.5, "_b": 0.75}).drop("n")
+        q = grouped_quantiles(df if base is None else base, [], c, {"_a": 0.25, "_m": 0.5, "_b": 0.75}, stage=base is None).drop("n")
         df = attach(df, q).withColumn(f"{c}_robust", div(F.col(c) - F.col("_m"), F.col("_b") - F.col("_a"))).drop("_a", "_m", "_b")
     return df
 
 
-def quantile_uniform(df: DataFrame, col: str) -> DataFrame:
-    """Average rank mapped to [0, 1]."""
-    p = positions(df, [], col)
+def quantile_uniform(df: DataFrame, col: str, base: DataFrame | None = None) -> DataFrame:
+    """Average rank mapped to [0, 1]; ``base`` is a stored table of the same values."""
+    p = positions(df if base is None else base, [], col)
     u = (F.col("below") + (F.col("cnt") - 1) / 2.0) / F.nullif(F.col("n") - 1, F.lit(0))
     return df.join(p.select(col, u.alias(f"{col}_uniform")), col, "left")
 
 
-def normal_score(p: Column) -> Column:
-    """Inverse normal of a probability by the published rational approximation (absolute error below 4.5e-4)."""
-    # fixed values: Abramowitz and Stegun, formula 26.2.23
-    q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
-    t = F.sqrt(-2 * F.log(F.least(q, 1 - q)))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(q < 0.5, -z).otherwise(z)
+# fixed values: Wichura, algorithm AS 241 (1988), rational approximations of the normal quantile, highest power first;
+# the centre in 0.180625 - (p - 0.5)^2, the sides in sqrt(-ln(min(p, 1 - p))) - 1.6
+CENTRE = ([2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608],
+          [5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0])
+SIDES = ([7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734],
+         [1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0])
+
+
+def _polynomial(x: Column, coefficients: list[float]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_score(p: Column, edge: float = 1e-7) -> Column:
+    """Inverse normal of a probability, kept ``edge`` away from 0 and 1; exact to 1e-14 relative."""
+    p = F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge))
+    q = p - 0.5
+    r = 0.180625 - q * q
+    s = F.sqrt(-F.log(F.least(p, 1 - p))) - 1.6
+    side = _polynomial(s, SIDES[0]) / _polynomial(s, SIDES[1])
+    return F.when(F.abs(q) <= 0.425, q * _polynomial(r, CENTRE[0]) / _polynomial(r, CENTRE[1])).when(q < 0, -side).otherwise(side)

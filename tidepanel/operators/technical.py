@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidepanel.core.sliding import median_and_deviation
 from tidepanel.core.frames import ANNUAL, change, corr, div, expanding, full, log_growth, ordered, roll, trailing
 from tidepanel.functions.moments import window_moments
 from tidepanel.functions.smoothing import ewm_mean, ewm_recursive, ewm_std
@@ -360,15 +363,27 @@ def minmax_roll(df: DataFrame, value="ret", window: int | None = None, least=10,
 
 
 def robust_roll(df: DataFrame, value="ret", window: int | None = None, least=10, out="robust") -> DataFrame:
-    """(x - median) / median absolute deviation over a trailing or expanding frame."""
-    w = _frame(window)
-    df = df.withColumns({"_l": F.collect_list(value).over(w), "_m": F.percentile(value, F.lit(0.5)).over(w)})
-    dev = F.array_sort(F.transform("_l", lambda v: F.abs(v - F.col("_m"))))
-    df = df.withColumn("_d", dev)
-    n = F.size("_d")
-    mid = (F.element_at("_d", F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1)))
-           + F.element_at("_d", F.greatest(F.floor((n + 2) / 2).cast("int"), F.lit(1)))) / 2
-    return df.withColumn(out, F.when(n >= least, div(F.col(value) - F.col("_m"), mid))).drop("_l", "_m", "_d")
+    """(x - median) / median absolute deviation over a trailing or expanding frame; null below ``least`` values.
+
+    A symbol's calendar is one task's group; its windows share one index of order statistics (n log n), so no row carries its window.
+    """
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("date", "ascending")])
+        column = table.column(value).combine_chunks().cast(pa.float64())
+        known = ~np.asarray(column.is_null())
+        x = column.drop_null().to_numpy()
+        count = np.concatenate([[0], np.cumsum(known)])
+        i = np.flatnonzero(known)
+        lo, hi = count[np.maximum(0, i + 1 - window) if window else np.zeros_like(i)], count[i + 1]
+        enough = hi - lo >= least
+        result = np.full(len(known), np.nan)
+        if enough.any():
+            m, spread = median_and_deviation(x, lo[enough], hi[enough])
+            result[i[enough]] = np.where(spread > 0, (x[enough] - m) / np.where(spread > 0, spread, 1), np.nan)
+        return table.append_column(out, pa.array(result, mask=np.isnan(result)))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy("symbol").applyInArrow(one, f"{fields}, `{out}` double")
 
 
 def mean_reversion(df: DataFrame, periods=(5, 10)) -> DataFrame:
@@ -416,7 +431,7 @@ def forward_return(df: DataFrame, k=1) -> DataFrame:
 
 
 def history_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average percentile rank of a value within its own symbol's history (calendar-bounded)."""
+    """Average percentile rank of a value within its own symbol's whole history, later rows included (calendar-bounded)."""
     w = Window.partitionBy("symbol")
     r = F.rank().over(w.orderBy(value))
     ties = F.count(value).over(Window.partitionBy("symbol", value))

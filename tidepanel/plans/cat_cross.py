@@ -55,20 +55,35 @@ def w_macro_derived(sp, sf):
 _MF = """SELECT *, urgent-low AS slope FROM macro_wide"""
 
 
-@query("w_macro_features", """WITH b AS (SELECT *, last_value(high IGNORE NULLS) OVER x AS c1, last_value(medium IGNORE NULLS) OVER x AS c2 FROM macro_wide WINDOW x AS (ORDER BY date ROWS UNBOUNDED PRECEDING)),
+_MF_SQL = """WITH b AS (SELECT *, last_value(high IGNORE NULLS) OVER x AS c1, last_value(medium IGNORE NULLS) OVER x AS c2 FROM macro_wide WINDOW x AS (ORDER BY date ROWS UNBOUNDED PRECEDING)),
  f AS (SELECT *, CASE WHEN count(urgent) OVER w4=4 THEN avg(urgent) OVER w4 END AS tr, (c1-avg(c1) OVER ())/nullif(stddev_samp(c1) OVER (),0) AS z1,
  (c2-avg(c2) OVER ())/nullif(stddev_samp(c2) OVER (),0) AS z2, CASE WHEN count(low) OVER w6=6 THEN avg(low) OVER w6 END AS it, CASE WHEN count(low) OVER w12=12 THEN stddev_samp(low) OVER w12 END AS iv,
  medium/nullif(lag(medium,3) OVER o,0)-1 AS m3, medium/nullif(lag(medium,6) OVER o,0)-1 AS m6
  FROM b WINDOW o AS (ORDER BY date), w4 AS (ORDER BY date ROWS 3 PRECEDING), w6 AS (ORDER BY date ROWS 5 PRECEDING), w12 AS (ORDER BY date ROWS 11 PRECEDING))
  SELECT date, R(tr) AS growth_trend, R(urgent-tr) AS growth_cycle, R(urgent-low) AS curve_slope, R(it) AS inflation_trend, R(iv) AS inflation_volatility,
  R(CASE WHEN z1 IS NOT NULL OR z2 IS NOT NULL THEN (coalesce(z1,0)+coalesce(z2,0))/((z1 IS NOT NULL)::INT+(z2 IS NOT NULL)::INT) END) AS financial_conditions_index,
- R(m3) AS medium_momentum_3, R(m6) AS medium_momentum_6 FROM f""")
-def w_macro_features(sp, sf):
-    df = ma.features(d.macro_wide(sp, sf), "urgent", "urgent", "low", "low", ["high", "medium"], ["medium"])
+ R(m3) AS medium_momentum_3, R(m6) AS medium_momentum_6 FROM f"""
+_KNOWN = _MF_SQL.replace("OVER ()", "OVER x").replace("FROM b WINDOW o AS", "FROM b WINDOW x AS (ORDER BY date ROWS UNBOUNDED PRECEDING), o AS")
+
+
+def _macro_features(sp, sf, full_sample: bool):
+    df = ma.features(d.macro_wide(sp, sf), "urgent", "urgent", "low", "low", ["high", "medium"], ["medium"], full_sample=full_sample)
     return df.select("date", "growth_trend", "growth_cycle", "curve_slope", "inflation_trend", "inflation_volatility",
                      "financial_conditions_index", "medium_momentum_3", "medium_momentum_6")
 
 
+@query("w_macro_features", _KNOWN)
+def w_macro_features(sp, sf):
+    """By what was known at each date."""
+    return _macro_features(sp, sf, False)
+
+
+@query("w_macro_features_full", _MF_SQL)
+def w_macro_features_full(sp, sf):
+    """By the moments of the whole history."""
+    return _macro_features(sp, sf, True)
+
+
 @query("w_regime_indicators", """WITH q AS (SELECT quantile_cont(high,0.75) AS q FROM macro_wide) SELECT date, coalesce(urgent-low<0,false)::INT AS recession_signal,
  coalesce(high>q,false)::INT AS high_volatility_regime FROM macro_wide, q""")
 def w_regime_indicators(sp, sf):

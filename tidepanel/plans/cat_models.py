@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.core import history
 from tidepanel.core.frames import change, ordered, roll
+from tidepanel.core.scratch import materialise
 from tidepanel.models import factors as fm, gram as g, sparse_bayes as sb
 from tidepanel.operators import aggregates as a, fundamentals as fu, joins as j, selection as se
 from tidepanel.plans.cat_aggregates import _FAC
@@ -267,12 +269,47 @@ def fs_pca(sp, sf):
     return se.pca_ranking(design(sp, sf), XS, 3)
 
 
-@query("fs_scale", f"""WITH {_DS}, q AS (SELECT avg(ret) AS m, stddev_pop(ret) AS s, quantile_cont(mom5,0.25) AS a, quantile_cont(mom5,0.5) AS md, quantile_cont(mom5,0.75) AS b FROM ds)
- SELECT series, date, R((ret-m)/s) AS ret_standard, R((mom5-md)/(b-a)) AS mom5_robust, R((rank() OVER (ORDER BY vol)-1+(count(*) OVER (PARTITION BY vol)-1)/2.0)/(count(*) OVER ()-1)) AS vol_uniform FROM ds, q""")
+_SC = ["ret", "mom5", "vol"]
+
+
+def _horner(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out}*{x}+{c!r}::DOUBLE)"
+    return out
+
+
+def _normal(u: str) -> str:
+    """SQL of the inverse normal of ``u``."""
+    side = f"{_horner('z.s', se.SIDES[0])}/{_horner('z.s', se.SIDES[1])}"
+    return (f"(SELECT CASE WHEN {u} IS NULL THEN NULL WHEN abs(z.q)<=0.425 THEN z.q*{_horner('z.r', se.CENTRE[0])}/{_horner('z.r', se.CENTRE[1])} WHEN z.q<0 THEN -{side} ELSE {side} END FROM "
+            f"(SELECT y.p-0.5 AS q, 0.180625::DOUBLE-(y.p-0.5)*(y.p-0.5) AS r, sqrt(-ln(least(y.p,1-y.p)))-1.6::DOUBLE AS s FROM (SELECT least(greatest({u},1e-7::DOUBLE),1-1e-7::DOUBLE) AS p) y) z)")
+
+
+_STD = ", ".join(f"({c}-avg({c}) OVER w)/nullif(sqrt(greatest(var_pop({c}) OVER w,0)),0) AS {c}_standard" for c in _SC)
+
+
+@query("fs_scale", f"""WITH {_DS}, b AS (SELECT x.series, x.date, {", ".join(f"((count(*) FILTER (y.{c}<x.{c}))+((count(*) FILTER (y.{c}=x.{c}))-1)/2.0::DOUBLE)/nullif(count(y.{c})-1,0) AS {c}_uniform" for c in _SC)}
+   FROM ds x JOIN ds y ON y.date<=x.date GROUP BY x.series, x.date, x.ret, x.mom5, x.vol),
+ s AS (SELECT series, date, {_STD} FROM ds WINDOW w AS (ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT series, date, {", ".join(f"R({c}_uniform) AS {c}_uniform, R({_normal(f'b.{c}_uniform')}) AS {c}_normal, R(CASE WHEN abs({c}_standard)<1e6 THEN {c}_standard END) AS {c}_standard" for c in _SC)} FROM b JOIN s USING (series, date)""")
 def fs_scale(sp, sf):
-    x = design(sp, sf).select("series", "date", "ret", "mom5", "vol")
-    x = se.robust(se.standard(x, ["ret"]), ["mom5"])
-    return se.quantile_uniform(x, "vol").select("series", "date", "ret_standard", "mom5_robust", "vol_uniform")
+    """Scaling by what was known at each date."""
+    x = design(sp, sf).select("series", "date", *_SC)
+    x = history.expanding_uniform(history.expanding_standard(x, "date", _SC), "date", _SC)
+    return x.select("series", "date", *[f"{c}_standard" for c in _SC], *[f"{c}_uniform" for c in _SC], *[se.normal_score(F.col(f"{c}_uniform")).alias(f"{c}_normal") for c in _SC])
+
+
+@query("fs_scale_full", f"""WITH {_DS}, q AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, quantile_cont({c},0.25) AS a_{c}, quantile_cont({c},0.5) AS d_{c}, quantile_cont({c},0.75) AS b_{c}" for c in _SC)} FROM ds),
+ u AS (SELECT *, {", ".join(f"(rank() OVER (ORDER BY {c})-1+(count(*) OVER (PARTITION BY {c})-1)/2.0::DOUBLE)/(count(*) OVER ()-1) AS u_{c}" for c in _SC)} FROM ds)
+ SELECT series, date, {", ".join(f"R(({c}-m_{c})/s_{c}) AS {c}_standard, R(({c}-d_{c})/(b_{c}-a_{c})) AS {c}_robust, R(u_{c}) AS {c}_uniform, R({_normal(f'u.u_{c}')}) AS {c}_normal" for c in _SC)} FROM u, q""")
+def fs_scale_full(sp, sf):
+    """Scaling by the whole table, later rows included."""
+    base = materialise(design(sp, sf).select("series", "date", *_SC), "scale")
+    x = se.robust(se.standard(base, _SC), _SC, base)
+    for c in _SC:
+        x = se.quantile_uniform(x, c, base)
+    return x.select("series", "date", *[f"{c}_{k}" for c in _SC for k in ("standard", "robust", "uniform")], *[se.normal_score(F.col(f"{c}_uniform")).alias(f"{c}_normal") for c in _SC])
 
 
 @query("fs_engineer_all", """WITH r AS (SELECT *, close/nullif(lag(close,20) OVER s,0)-1 AS m20, CASE WHEN count(close) OVER w=20 THEN avg(close) OVER w END AS sma FROM rets WINDOW s AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)),

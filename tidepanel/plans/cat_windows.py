@@ -5,6 +5,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidepanel.core.frames import roll
+from tidepanel.core.history import expanding_rank
 from tidepanel.operators import technical as t
 from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
@@ -344,12 +346,24 @@ def w_roll_rank(sp, sf):
     return pick(t.rolling_rank(d.rets(sp, sf)), "percentile_rank_10", "percentile_rank_20")
 
 
-@query("w_hist_rank", f"""WITH a AS (SELECT symbol, date, {rl(20, 'ret')} AS m FROM rets {W(20)})
- SELECT symbol, date, R(CASE WHEN m IS NOT NULL THEN (rank() OVER (PARTITION BY symbol ORDER BY m NULLS LAST)+(count(*) OVER (PARTITION BY symbol, m)-1)/2.0)/count(m) OVER (PARTITION BY symbol) END) AS momentum_rank FROM a""")
+_HM = f"WITH a AS (SELECT symbol, date, {rl(20, 'ret')} AS m FROM rets {W(20)})"
+
+
+def _rolling_mean(sp, sf):
+    return d.rets(sp, sf).select("symbol", "date", roll(F.avg, "ret", 20).alias("m"))
+
+
+@query("w_hist_rank", _HM + """, r AS (SELECT x.symbol, x.date, ((count(*) FILTER (y.m<x.m))+((count(*) FILTER (y.m=x.m))+1)/2.0::DOUBLE)/count(y.m) AS k FROM a x JOIN a y ON x.symbol=y.symbol AND y.date<=x.date WHERE x.m IS NOT NULL GROUP BY x.symbol, x.date)
+ SELECT symbol, date, R(k) AS momentum_rank FROM a LEFT JOIN r USING (symbol, date)""")
 def w_hist_rank(sp, sf):
-    from tidepanel.core.frames import roll
-    df = d.rets(sp, sf).withColumn("m", roll(F.avg, "ret", 20))
-    return pick(t.history_rank(df, "m", "momentum_rank"), "momentum_rank")
+    """Rank among the values known at the time."""
+    return pick(expanding_rank(_rolling_mean(sp, sf), ["symbol"], "date", "m", "momentum_rank"), "momentum_rank")
+
+
+@query("w_hist_rank_full", _HM + """ SELECT symbol, date, R(CASE WHEN m IS NOT NULL THEN (rank() OVER (PARTITION BY symbol ORDER BY m NULLS LAST)+(count(*) OVER (PARTITION BY symbol, m)-1)/2.0)/count(m) OVER (PARTITION BY symbol) END) AS momentum_rank FROM a""")
+def w_hist_rank_full(sp, sf):
+    """Rank among the whole history, later values included."""
+    return pick(t.history_rank(_rolling_mean(sp, sf), "m", "momentum_rank"), "momentum_rank")
 
 
 _DD = f"""WITH a AS (SELECT series AS symbol, date, exp(sum(ln(1+coalesce(ret,0))) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM idx),
