@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidepanel.core.ordering import grouped_quantiles
 from tidepanel.core.frames import ahead, attach, div, expanding, no_inf, ordered
 
 PRICES = ("open", "high", "low", "close")
@@ -63,26 +62,6 @@ def impute_median(df: DataFrame, cols) -> DataFrame:
     return Imputer(strategy="median", inputCols=list(cols), outputCols=list(cols)).fit(df).transform(df)
 
 
-def impute_neighbours(df: DataFrame, target: str, features, bins: int = 8) -> DataFrame:
-    """Mean of the complete rows that share the row's quantile cell over ``features``.
-
-    A distributed stand-in for nearest-row imputation: cells replace the k nearest rows, so
-    neighbours meet in a partial aggregate instead of a pairwise distance. Empty cells use
-    the table mean. Cut points and the table mean are a handful of scalars.
-    """
-    cuts = {f: grouped_quantiles(df, [], f, {f"q{i}": i / bins for i in range(1, bins)}).first() for f in features}
-    overall = df.agg(F.avg(target)).first()[0]
-    cells = [_cell(f, [cuts[f][f"q{i}"] for i in range(1, bins)]) for f in features]
-    d = df.withColumn("_cell", F.struct(*[c.alias(f"c{n}") for n, c in enumerate(cells)]))
-    mean = d.groupBy("_cell").agg(F.avg(target).alias("_m"))
-    d = d.join(mean, "_cell", "left")
-    return d.withColumn(target, F.coalesce(F.col(target), F.col("_m"), F.lit(overall))).drop("_cell", "_m")
-
-
-def _cell(feature: str, bounds) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in bounds]), lambda b: b < F.col(feature)))
-
-
 def inf_to_null(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: no_inf(c) for c in cols})
 

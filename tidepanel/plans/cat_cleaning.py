@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.core.frames import change, div
-from tidepanel.operators import cleaning as c
+from tidepanel.operators import cleaning as c, neighbours
 from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
 
@@ -48,15 +48,14 @@ def impute_hybrid(sp, sf):
     return c.impute_hybrid(d.calendar_bars(sp, sf).select("symbol", "date", "close", "volume"), ["close"], ["volume"])
 
 
-_CELL = " + ".join(f"(q[{i}]<v)::INT" for i in range(1, 8))
-
-
-@query("impute_knn", f"""WITH a AS (SELECT symbol, date, ret, volume AS v FROM rets), k AS (SELECT quantile_cont(v, [{','.join(f'{i / 8}' for i in range(1, 8))}]) AS q FROM a),
- b AS (SELECT a.*, {_CELL} AS cell FROM a, k), m AS (SELECT cell, avg(ret) AS m FROM b GROUP BY cell)
- SELECT symbol, date, R(coalesce(ret, m, (SELECT avg(ret) FROM a))) AS ret FROM b LEFT JOIN m USING (cell)""")
+@query("impute_knn", """WITH a AS (SELECT symbol, date, ret, volume, ln(close) AS lc, high/low-1 AS width FROM rets), k AS (SELECT avg(volume) AS m0, stddev_pop(volume) AS s0, avg(lc) AS m1, stddev_pop(lc) AS s1, avg(width) AS m2, stddev_pop(width) AS s2, avg(ret) AS mr FROM a),
+ z AS (SELECT a.*, (volume-m0)/s0 AS z0, (lc-m1)/s1 AS z1, (width-m2)/s2 AS z2 FROM a, k),
+ n AS (SELECT q.symbol, q.date, c.ret AS y, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY power(q.z0-c.z0,2)+power(q.z1-c.z1,2)+power(q.z2-c.z2,2), c.symbol, c.date) AS rn FROM z q JOIN z c ON q.ret IS NULL AND c.ret IS NOT NULL),
+ m AS (SELECT symbol, date, avg(y) AS m FROM n WHERE rn<=5 GROUP BY ALL)
+ SELECT symbol, date, R(coalesce(ret, m, mr)) AS ret FROM z LEFT JOIN m USING (symbol, date), k""")
 def impute_knn(sp, sf):
-    df = d.rets(sp, sf).select("symbol", "date", "ret", "volume")
-    return c.impute_neighbours(df, "ret", ["volume"]).drop("volume")
+    df = d.rets(sp, sf).select("symbol", "date", "ret", "volume", F.log("close").alias("lc"), (F.col("high") / F.col("low") - 1).alias("width"))
+    return neighbours.impute(df, "ret", ["volume", "lc", "width"]).select("symbol", "date", "ret")
 
 
 @query("inf_to_null", "SELECT symbol, date, R(CASE WHEN high-low<>0 THEN (close-low)/(high-low) END) AS position FROM bars_w")
