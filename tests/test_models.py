@@ -116,15 +116,29 @@ def test_blocked_pairs_equal_pandas(spark):
         np.testing.assert_allclose(got["corr"], [cor.loc[a, b] for a, b in zip(got["a"], got["b"])], atol=1e-12)
 
 
-def test_pca_exposures(spark):
-    rng = np.random.default_rng(8)
-    w = pd.DataFrame(rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)), columns=list("abcd"))
-    got = fm.pca_risk(spark.createDataFrame(w), list("abcd"), 2).toPandas()
-    z = (w - w.mean()) / w.std()
-    val, vec = np.linalg.eigh(np.cov(z.values.T))
-    lead = vec[:, -1] * np.sign(vec[np.abs(vec[:, -1]).argmax(), -1])
-    np.testing.assert_allclose(got[got.factor == 0].sort_values("asset")["exposure"], lead, atol=1e-8)
-    assert abs(got["explained"].iloc[0] - val[-1] / val.sum()) < 1e-8
+def _pca(wide, k):
+    x = wide.fillna(0.0)
+    x = ((x - x.mean()) / x.std()).to_numpy()
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    v = v[:k] * np.sign(v[:k][np.arange(k), np.abs(v[:k]).argmax(1)])[:, None]
+    left = x - x @ v.T @ v
+    return v.T, s[:k] ** 2 / (s ** 2).sum(), left.var(axis=0, ddof=1)
+
+
+@pytest.mark.parametrize(("assets", "dates", "block"), [(4, 60, 32), (25, 40, 32), (1000, 80, 12)])
+def test_components_of_narrow_and_wide_universes_match_numpy(spark, assets, dates, block):
+    from tidepanel.models.components import principal_components
+    rng = np.random.default_rng(assets)
+    r = rng.normal(size=(dates, 3)) * [3.0, 2.0, 1.2] @ rng.normal(size=(3, assets)) + rng.normal(size=(dates, assets)) * 0.5
+    wide = pd.DataFrame(r, index=pd.date_range("2024-01-01", periods=dates), columns=[f"a{i:04d}" for i in range(assets)])
+    wide = wide.mask(rng.random(wide.shape) < 0.05)
+    long = wide.rename_axis("date").reset_index().melt("date", var_name="asset", value_name="ret")
+    out = principal_components(spark.createDataFrame(long.astype(object).where(long.notna(), None), "date timestamp, asset string, ret double"), 2, block=block)
+    got = out.toPandas().pivot(index="asset", columns="factor", values=["exposure", "explained", "specific_var"]).sort_index()
+    load, share, left = _pca(wide, 2)
+    np.testing.assert_allclose(got["exposure"].to_numpy(), load, atol=1e-5)
+    np.testing.assert_allclose(got["explained"].iloc[0], share, rtol=1e-6)
+    np.testing.assert_allclose(got["specific_var"][0], left, atol=1e-5)
 
 
 def test_cross_sectional_regression(spark):

@@ -125,31 +125,6 @@ def cross_sectional_factors(panel: DataFrame, exposures: list[str], value="ret",
     return out.select(time, "n", F.col("coef")[0].alias("intercept"), *[F.col("coef")[i + 1].alias(e) for i, e in enumerate(exposures)])
 
 
-def pca_risk(wide: DataFrame, assets: list[str], k: int = 3) -> DataFrame:
-    """(asset, factor, exposure, explained, specific_var) of standardised returns; signs fixed by the largest exposure.
-
-    ``wide`` has one column per asset; the asset list is the caller's (bounded) universe.
-    """
-    d = wide.na.fill(0.0, subset=assets)
-    v = VectorAssembler(inputCols=assets, outputCol="raw").transform(d)
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(v)
-    x = scaler.transform(v)
-    model = PCA(k=k, inputCol="x", outputCol="scores").fit(x)
-    load = np.asarray(model.pc.toArray())
-    load = load * np.sign(load[np.abs(load).argmax(axis=0), range(k)])
-    z = x.select(vector_to_array("x").alias("x"))
-    resid = []
-    for i, _ in enumerate(assets):
-        p = load[i] @ load.T
-        e = F.col("x")[i]
-        fit_ = dot(F.array(*[F.lit(float(q)) for q in p]), F.col("x"))
-        resid.append(F.var_samp(e - fit_).alias(f"s{i}"))
-    s = z.agg(*resid).first()
-    expl = model.explainedVariance.toArray()
-    rows = [(a, f, float(load[i, f]), float(expl[f]), float(s[i])) for i, a in enumerate(assets) for f in range(k)]
-    return wide.sparkSession.createDataFrame(rows, "asset string, factor int, exposure double, explained double, specific_var double")
-
-
 def factor_covariance(factor_table: DataFrame, factors: list[str], regime: bool = False) -> DataFrame:
     """Long factor covariance, optionally probability-weighted per regime, from grouped sums."""
     d = factor_table.where(" and ".join(f"{f} is not null" for f in factors))

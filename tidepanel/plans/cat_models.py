@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidepanel.core import history
 from tidepanel.core.frames import change, ordered, roll
 from tidepanel.core.scratch import materialise
+from tidepanel.models.components import principal_components
 from tidepanel.models import factors as fm, gram as g, sparse_bayes as sb
 from tidepanel.operators import aggregates as a, fundamentals as fu, joins as j, selection as se
 from tidepanel.plans.cat_aggregates import _FAC
@@ -213,9 +214,7 @@ def m_factor_orthogonalise(sp, sf):
 def m_pca_risk(sp, sf):
     t = d.trades(sp, sf).join(d.sectors(sp, sf).select("symbol", "industry"), "symbol")
     p = t.groupBy("industry", F.date_trunc("week", "ts").alias("date")).agg((F.sum(F.col("price") * F.col("quantity")) / F.sum("quantity")).alias("close"))
-    names = [r[0] for r in d.table(sp, sf, "nation").select("n_name").orderBy("n_name").collect()]  # 25 rows
-    w = p.withColumn("ret", change("close", 1, "industry")).groupBy("date").pivot("industry", names).agg(F.first("ret"))
-    return fm.pca_risk(w, names, 3)
+    return principal_components(p.select(F.col("industry").alias("asset"), "date", change("close", 1, "industry").alias("ret")), 3)
 
 
 @query("m_stat_factor_risk")
