@@ -116,6 +116,30 @@ def test_blocked_pairs_equal_pandas(spark):
         np.testing.assert_allclose(got["corr"], [cor.loc[a, b] for a, b in zip(got["a"], got["b"])], atol=1e-12)
 
 
+def test_pairs_summarised_in_their_blocks_equal_pandas(spark):
+    rng = np.random.default_rng(16)
+    wide = pd.DataFrame(rng.normal(size=(50, 19)), index=pd.date_range("2020-01-01", periods=50), columns=[f"s{i:02d}" for i in range(19)])
+    wide = wide.mask(rng.random(wide.shape) < 0.3)
+    wide["s05"] = 1.0
+    long = wide.stack().rename("ret").reset_index().set_axis(["date", "symbol", "ret"], axis=1).assign(g=1)
+    book = pd.Series(rng.normal(size=12), index=wide.columns[3:15])
+    sdf, cor, cov = spark.createDataFrame(long), wide.corr(min_periods=20), wide.cov()
+    seen = [(a, b) for i, a in enumerate(wide.columns) for b in wide.columns[i + 1:]]
+    enough = {(a, b) for a, b in seen if (wide[a].notna() & wide[b].notna()).sum() >= 20}
+    for block in (128, 4):
+        got = pairs.correlation_totals(sdf, True, 20, block=block).toPandas().set_index("a")
+        for a, row in got.iterrows():
+            c = np.array([cor.loc[p] for p in enough if p[0] == a])
+            assert row["pairs"] == len(c) and row["known"] == (~np.isnan(c)).sum()
+            if row["known"]:
+                np.testing.assert_allclose([row["s"], row["top"]], [np.nansum(c), np.nanmax(np.abs(c))], rtol=1e-9)
+        total = pairs.correlation_totals(sdf, False, 20, ["g"], block=block).first()
+        assert total["pairs"] == len(enough)
+        got = pairs.marginal_risk(sdf, spark.createDataFrame(book.rename("weight").rename_axis("symbol").reset_index()), block=block).toPandas().set_index("symbol")["marginal"]
+        np.testing.assert_allclose(got.sort_index(), (cov[book.index] @ book).loc[sorted(got.index)], atol=1e-12)
+    assert pairs.correlation_totals(sdf.limit(0), True, 20).count() == 0 and pairs.correlation_totals(sdf.limit(0), False, 20).first()["pairs"] is None
+
+
 def _pca(wide, k):
     x = wide.fillna(0.0)
     x = ((x - x.mean()) / x.std()).to_numpy()

@@ -37,11 +37,9 @@ def contributions(weights: DataFrame, betas: DataFrame, cov: DataFrame, specific
     return attach(d, total).select("symbol", "weight", "marginal", "component", div("component", "_t").alias("share"))
 
 
-def pair_attribution(weights: DataFrame, cov: DataFrame) -> DataFrame:
-    """The same from a long asset covariance (a, b, cov) holding both triangles."""
-    w = weights.select(F.col("symbol").alias("b"), F.col("weight").alias("wb"))
-    m = cov.join(w, "b").groupBy(F.col("a").alias("symbol")).agg(F.sum(F.col("cov") * F.col("wb")).alias("marginal"))
-    d = weights.join(m, "symbol").withColumn("component", F.col("weight") * F.col("marginal"))
+def marginal_attribution(weights: DataFrame, marginal: DataFrame) -> DataFrame:
+    """The same from the marginal risk (symbol, marginal) of each asset."""
+    d = weights.join(marginal.select("symbol", "marginal"), "symbol").withColumn("component", F.col("weight") * F.col("marginal"))
     total = d.agg(F.sum("component").alias("_t"))
     return attach(d, total).select("symbol", "weight", "marginal", "component", div("component", "_t").alias("share"))
 

@@ -59,9 +59,10 @@ def agg_regime_asset_vol(sp, sf):
 @query("agg_regime_correlation", f"""WITH {_PN}, x AS (SELECT regime, symbol, date, ret FROM pn WHERE ret IS NOT NULL), c AS (SELECT p.regime, p.symbol AS a, q.symbol AS b, corr(p.ret,q.ret) AS c FROM x p JOIN x q ON p.date=q.date AND p.symbol<q.symbol GROUP BY ALL HAVING count(*)>=10)
  SELECT regime, count(c) AS pairs, R(avg(c)) AS mean_corr, R(stddev_pop(c)) AS std_corr, R(min(c)) AS min_corr, R(max(c)) AS max_corr FROM c WHERE NOT isnan(c) GROUP BY regime""")
 def agg_regime_correlation(sp, sf):
-    c = pairs.covariance(pairs.pair_moments(_panel(sp, sf), keys=["regime"])).where("a <> b and n >= 10 and corr is not null")
-    return c.groupBy("regime").agg(F.count("corr").alias("pairs"), F.avg("corr").alias("mean_corr"), F.stddev_pop("corr").alias("std_corr"),
-                                   F.min("corr").alias("min_corr"), F.max("corr").alias("max_corr"))
+    c = pairs.correlation_totals(_panel(sp, sf), False, 10, ["regime"]).where("known > 0")
+    mean = F.col("s") / F.col("known")
+    return c.select("regime", F.col("known").alias("pairs"), mean.alias("mean_corr"), F.sqrt(F.greatest(F.col("q") / F.col("known") - mean * mean, F.lit(0.0))).alias("std_corr"),
+                    F.col("lo").alias("min_corr"), F.col("hi").alias("max_corr"))
 
 
 _BETA = f"""WITH {_PN}, b AS (SELECT regime, symbol, regr_slope(ret,market) AS beta FROM pn WHERE ret IS NOT NULL AND market IS NOT NULL GROUP BY ALL HAVING count(*)>10)"""
@@ -270,8 +271,8 @@ def agg_covariance(sp, sf):
 
 @query("agg_correlation", _CV + " SELECT a, R(max(abs(corr))) AS max_abs_corr, R(avg(corr)) AS mean_corr, count(*) AS pairs FROM c WHERE a<>b AND n>=10 GROUP BY a")
 def agg_correlation(sp, sf):
-    c = pairs.covariance(pairs.pair_moments(d.rets(sp, sf))).where("a <> b and n >= 10")
-    return c.groupBy("a").agg(F.max(F.abs("corr")).alias("max_abs_corr"), F.avg("corr").alias("mean_corr"), F.count(F.lit(1)).alias("pairs"))
+    c = pairs.correlation_totals(d.rets(sp, sf), True, 10)
+    return c.select("a", F.col("top").alias("max_abs_corr"), (F.col("s") / F.nullif("known", F.lit(0))).alias("mean_corr"), "pairs")
 
 
 @query("agg_cov_ledoit_wolf", """WITH x AS (SELECT series, date, ret FROM idx WHERE ret IS NOT NULL), t AS (SELECT count(DISTINCT date)::DOUBLE AS t FROM x), g AS (SELECT s.series, dd.date, coalesce(x.ret,0) AS r FROM (SELECT DISTINCT series FROM x) s CROSS JOIN (SELECT DISTINCT date FROM x) dd LEFT JOIN x ON x.series=s.series AND x.date=dd.date),

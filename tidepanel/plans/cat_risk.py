@@ -48,8 +48,8 @@ def risk_concentration(sp, sf):
 @query("agg_risk_attribution", f"""WITH {_WL}, x AS (SELECT symbol, date, ret FROM rets WHERE ret IS NOT NULL), c AS (SELECT p.symbol AS a, q.symbol AS b, covar_samp(p.ret,q.ret) AS cov FROM x p JOIN x q USING (date) GROUP BY ALL HAVING count(*)>1),
  m AS (SELECT a AS symbol, sum(cov*weight) AS mg FROM c JOIN wl ON c.b=wl.symbol GROUP BY a) SELECT symbol, R(weight) AS weight, R(mg) AS marginal, R(weight*mg) AS component, R(weight*mg/sum(weight*mg) OVER ()) AS share FROM wl JOIN m USING (symbol)""", 5)
 def agg_risk_attribution(sp, sf):
-    c = pairs.covariance(pairs.pair_moments(d.rets(sp, sf)))
-    return rk.pair_attribution(last_book(sp, sf), pairs.both_triangles(c.where("n > 1"), ["cov"]))
+    book = last_book(sp, sf)
+    return rk.marginal_attribution(book, pairs.marginal_risk(d.rets(sp, sf), book))
 
 
 _PR = f"{_WL}, pr AS (SELECT date, sum(weight*ret) AS ret FROM rets JOIN wl USING (symbol) WHERE ret IS NOT NULL GROUP BY date)"
