@@ -1,58 +1,61 @@
-"""Exact ranks and quantiles of groups that may be too large for one task.
+"""Exact ranks and quantiles of groups of any size.
 
-A plain window or ``percentile`` puts a whole group into one task. Here equal
-values are first collapsed with partial aggregation, each group is cut into
-value ranges at mergeable approximate quantiles, and only range totals are summed
-per group. Results are exact; the cut points decide only how the work is split.
+The size of the largest group is counted first. Up to LIMIT rows a group is one window partition or one percentile aggregate: one exchange
+and one sort for any number of ranks. Larger groups are never gathered: equal values are collapsed, all groups are laid out in one
+range-partitioned order whose cut points Spark samples, and a value's place is its running count inside its range plus what a prefix sum
+over the ranges puts before it. Both ways give the same figures.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.core.frames import attach
 from tidepanel.core.scratch import materialise
 
-CUTS = 16
+#: Rows of a group that one task orders.
+LIMIT = 1_000_000
 
 
-def _cut(df: DataFrame, keys: list[str], value: str, cuts: int) -> DataFrame:
-    """(keys, value, cnt, part, before): multiplicity and rows in earlier ranges."""
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    at = [i / cuts for i in range(1, cuts)]
-    bounds = known.groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in at]), F.lit(1000)).alias("_at"),
-        F.count(F.lit(1)).alias("n"))
-    if keys:
-        counts = counts.join(bounds, keys)
-    else:
-        counts = attach(counts, bounds)
-    counts = counts.withColumn("part", F.size(F.filter("_at", lambda b: b < F.col(value)))).drop("_at")
-    totals = counts.groupBy(*keys, "part").agg(F.sum("cnt").alias("_t"))
-    w = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "part", "_t", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("before"))
-    return counts.join(totals, [*keys, "part"])
+def _sizes(df: DataFrame, keys: list[str], value: str) -> tuple[int, int]:
+    """Known values of the largest group, and of all."""
+    row = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
-def positions(df: DataFrame, keys: list[str], value: str, cuts: int = CUTS) -> DataFrame:
-    """(keys, value, cnt, below, n): rows equal to and strictly below each distinct value."""
-    cut = _cut(df, keys, value, cuts)
-    w = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.select(*keys, value, "cnt", "n",
-                      (F.col("before") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).alias("below"))
+def positions(df: DataFrame, keys: list[str], value: str, limit: int = LIMIT) -> DataFrame:
+    """(keys, value, cnt, below, n): rows equal to and strictly below each distinct value; ``df`` is read twice."""
+    most, total = _sizes(df, keys, value)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    before = lambda w: F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if most <= limit:
+        group = [F.col(k) for k in keys] or [F.lit(0)]
+        w = Window.partitionBy(*group)
+        return counts.select(*keys, value, "cnt", F.sum("cnt").over(w).alias("n"), before(w.orderBy(value)).alias("below"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * total // limit))
+    laid = counts.repartitionByRange(parts, *keys, value).sortWithinPartitions(*keys, value).withColumn("_part", F.spark_partition_id())
+    laid = materialise(laid, "order")
+    ranges = laid.groupBy(*keys, "_part").agg(F.sum("cnt").alias("cnt"))
+    w = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
+    ranges = ranges.select(*keys, "_part", F.sum("cnt").over(w).alias("n"), before(w.orderBy("_part")).alias("_before"))
+    inside = laid.withColumn("_in", before(Window.partitionBy(*keys, "_part").orderBy(value)))
+    return inside.join(ranges, [*keys, "_part"]).select(*keys, value, "cnt", "n", (F.col("_before") + F.col("_in")).alias("below"))
 
 
 def grouped_rank(df: DataFrame, keys: list[str], value: str, out: str, method: str = "average",
-                 pct: bool = True, cuts: int = CUTS, base: DataFrame | None = None) -> DataFrame:
+                 pct: bool = True, base: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """Add the ascending rank of ``value`` within ``keys``; null stays null.
 
-    The input is read three times (values, cut points, join back), so it is written once
-    to keep the plan that made it from running three times. A caller that already holds a
-    stored table passes it as ``base`` (same keys and values, any columns).
+    The input is read twice (sizes, ranks), so it is written once to keep the plan that made it from running again. A
+    caller that already holds a stored table passes it as ``base`` (same keys and values, any columns).
     """
     if base is None:
         df = base = materialise(df, "rank")
-    pos = positions(base, keys, value, cuts)
+    if _sizes(base, keys, value)[0] <= limit:
+        w = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
+        low, n = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())).cast("double"), F.count(value).over(w)
+        ties = F.count(value).over(Window.partitionBy(*keys, value)) if method != "min" else F.lit(1)
+        rank = {"average": low + (ties - 1) / 2.0, "min": low, "max": low + ties - 1}[method]
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank / n if pct else rank))
+    pos = positions(base, keys, value, limit)
     rank = {"average": F.col("below") + (F.col("cnt") + 1) / 2.0,
             "min": F.col("below") + 1.0,
             "max": (F.col("below") + F.col("cnt")).cast("double")}[method]
@@ -60,25 +63,27 @@ def grouped_rank(df: DataFrame, keys: list[str], value: str, out: str, method: s
     return df.join(pos, [*keys, value], "left")
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      cuts: int = CUTS, stage: bool = True) -> DataFrame:
-    """(keys, n, one column per name): linearly interpolated exact quantiles."""
+def _at(p: float) -> Column:
+    return F.lit(p) * (F.col("n") - 1)
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], stage: bool = True, limit: int = LIMIT) -> DataFrame:
+    """(keys, n, one column per name): linearly interpolated exact quantiles of each group with a known value."""
     df = df.select(*keys, value)
     if stage:
         df = materialise(df, "quantile")
-    cut = _cut(df, keys, value, cuts)
-    wanted = None
+    if _sizes(df, keys, value)[0] <= limit:
+        known = df.where(F.col(value).isNotNull())
+        q = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+        return q.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    near = positions(df, keys, value, limit)
+    wanted = F.lit(False)
     for p in probs.values():
-        pos = F.lit(p) * (F.col("n") - 1)
-        hit = (F.col("before") <= F.ceil(pos)) & (F.col("before") + F.col("_t") > F.floor(pos))
-        wanted = hit if wanted is None else (wanted | hit)
-    w = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    near = cut.where(wanted).withColumn("below", F.col("before") + F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+        wanted = wanted | ((F.col("below") <= F.ceil(_at(p))) & (F.col("below") + F.col("cnt") > F.floor(_at(p))))
+    near = near.where(wanted)
     aggs = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("n") - 1)
-        lo = F.max(F.when((F.col("below") <= F.floor(pos)) & (F.col("below") + F.col("cnt") > F.floor(pos)), F.col(value)))
-        hi = F.max(F.when((F.col("below") <= F.ceil(pos)) & (F.col("below") + F.col("cnt") > F.ceil(pos)), F.col(value)))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
+        holds = lambda place: F.max(F.when((F.col("below") <= place) & (F.col("below") + F.col("cnt") > place), F.col(value)))
+        lo, hi = holds(F.floor(_at(p))), holds(F.ceil(_at(p)))
+        aggs.append((lo + (hi - lo) * F.max(_at(p) - F.floor(_at(p)))).alias(name))
     return near.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)

@@ -58,6 +58,17 @@ def threshold_stats(df: DataFrame, n: int = 3, key=KEY) -> DataFrame:
                                *[F.avg(F.when(F.col("regime") == i, 1.0).otherwise(0.0)).alias(f"freq_{i}") for i in range(n)])
 
 
+def regime_scores(methods: DataFrame, values: DataFrame, value="ret", n: int = 3, key=KEY, time=TIME) -> DataFrame:
+    """(key, method, bic): how well each method's most likely regimes explain a value, as a normal distribution per regime.
+
+    Counted are ``n`` means, ``n`` variances and n - 1 regime shares; two grouped aggregates, no row leaves its partition unreduced.
+    """
+    labelled = methods.select(key, time, "method", argmax(F.col("probs")).alias("regime")).join(values.where(F.col(value).isNotNull()).select(key, time, value), [key, time])
+    parts = labelled.groupBy(key, "method", "regime").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.var_pop(value), F.lit(1e-12)).alias("v"))
+    fit = F.sum(F.col("n") * (F.log(2 * math.pi * F.col("v")) + 1))
+    return parts.groupBy(key, "method").agg((fit + (3 * n - 1) * F.log(F.sum("n"))).alias("bic"))
+
+
 def ensemble(methods: DataFrame, scores: DataFrame, n: int = 3, key=KEY, time=TIME) -> DataFrame:
     """Weighted average of (method, key, time, probs); weight exp(-(bic - min bic)/1000), 1 without a bic."""
     w = Window.partitionBy(key)

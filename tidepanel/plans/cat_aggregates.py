@@ -157,12 +157,12 @@ def agg_regime_market_params(sp, sf):
     return _regime_params(sp, sf)
 
 
-@query("agg_regime_mixture_cov", _MP + """, c AS (SELECT unnest([0,1,2])::INT AS regime, unnest(arg_max([p0,p1,p2],date))::DOUBLE AS p FROM (SELECT date, CASE WHEN year(date)<2000 THEN 0.5 ELSE 0.2 END AS p0, CASE WHEN year(date)<2000 THEN 0.3 ELSE 0.3 END AS p1, 0.5 AS p2 FROM mreg)),
+@query("agg_regime_mixture_cov", _MP + """, c AS (SELECT unnest([0,1,2])::INT AS regime, unnest(arg_max([p0,p1,p2],date))::DOUBLE AS p FROM mreg),
  g AS (SELECT a, b, sum(p*(cov+ma*mb)) AS e2, sum(p*ma) AS ea, sum(p*mb) AS eb FROM mp JOIN c USING (regime) GROUP BY ALL) SELECT a, b, R(e2-ea*eb) AS cov, R(ea) AS mean_a, R(eb) AS mean_b FROM g""")
 def agg_regime_mixture_cov(sp, sf):
-    # mixture weights 0.2 / 0.3 / 0.5 stand for the current regime view
-    p = F.element_at(F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)), F.col("regime") + 1)
-    g = _regime_params(sp, sf).withColumn("p", p).groupBy("a", "b").agg(
+    """Moments of the assets under the regime probabilities of the latest date."""
+    now = d.market_regimes(sp, sf).agg(F.max_by("probs", "date").alias("probs")).select(F.posexplode("probs").alias("regime", "p"))
+    g = _regime_params(sp, sf).join(now, "regime").groupBy("a", "b").agg(
         F.sum(F.col("p") * (F.col("cov") + F.col("ma") * F.col("mb"))).alias("e2"), F.sum(F.col("p") * F.col("ma")).alias("mean_a"), F.sum(F.col("p") * F.col("mb")).alias("mean_b"))
     return g.select("a", "b", (F.col("e2") - F.col("mean_a") * F.col("mean_b")).alias("cov"), "mean_a", "mean_b")
 

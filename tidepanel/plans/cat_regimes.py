@@ -176,16 +176,17 @@ def _methods(sp, sf):
 _ENS = """WITH v0 AS (SELECT series, date, CASE WHEN count(volume) OVER w=20 THEN stddev_samp(volume) OVER w END AS vol FROM idx WINDOW w AS (PARTITION BY series ORDER BY date ROWS 19 PRECEDING)),
  v1 AS (SELECT v0.*, CASE WHEN vol>q2 THEN 2 WHEN vol>q1 THEN 1 ELSE 0 END AS st FROM v0 JOIN (SELECT series, quantile_cont(vol,1.0::DOUBLE/3) AS q1, quantile_cont(vol,2.0::DOUBLE/3) AS q2 FROM v0 GROUP BY series) USING (series)),
  v2 AS (SELECT series, date, avg((st=0)::INT) OVER c AS v0p, avg((st=1)::INT) OVER c AS v1p, avg((st=2)::INT) OVER c AS v2p FROM v1 WINDOW c AS (PARTITION BY series, vol IS NOT NULL ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
- k AS (SELECT exp(0)/(exp(0)+exp(-0.5::DOUBLE)) AS wa, exp(-0.5::DOUBLE)/(exp(0)+exp(-0.5::DOUBLE)) AS wb),
- e AS (SELECT series, date, p0*wa+v0p*wb AS p0, p1*wa+v1p*wb AS p1, p2*wa+v2p*wb AS p2 FROM reg JOIN v2 USING (series, date), k)"""
+ lb AS (SELECT series, date, 'returns' AS method, regime FROM reg UNION ALL SELECT series, date, 'volume', CASE WHEN v0p>=v1p AND v0p>=v2p THEN 0 WHEN v1p>=v2p THEN 1 ELSE 2 END FROM v2),
+ gr AS (SELECT series, method, regime, count(*) AS n, greatest(var_pop(ret),1e-12::DOUBLE) AS v FROM lb JOIN idx USING (series, date) WHERE ret IS NOT NULL GROUP BY ALL),
+ sc AS (SELECT series, method, sum(n*(ln(2*pi()*v)+1))+8*ln(sum(n)) AS bic FROM gr GROUP BY ALL),
+ kw AS (SELECT series, method, exp(-(bic-min(bic) OVER (PARTITION BY series))/1000) AS w FROM sc),
+ k AS (SELECT series, sum(w) FILTER (method='returns')/sum(w) AS wa, sum(w) FILTER (method='volume')/sum(w) AS wb FROM kw GROUP BY series),
+ e AS (SELECT series, date, p0*wa+v0p*wb AS p0, p1*wa+v1p*wb AS p1, p2*wa+v2p*wb AS p2 FROM reg JOIN v2 USING (series, date) JOIN k USING (series))"""
 
 
 def _ensemble(sp, sf):
     m = _methods(sp, sf)
-    s = d.index(sp, sf).select("series").distinct().select(
-        "series", F.explode(F.array(F.struct(F.lit("returns").alias("method"), F.lit(1000.0).alias("bic")),
-                                    F.struct(F.lit("volume").alias("method"), F.lit(1500.0).alias("bic")))).alias("m")).select("series", "m.*")
-    return r.ensemble(m, s)
+    return r.ensemble(m, r.regime_scores(m, d.index(sp, sf).select("series", "date", "ret")))
 
 
 @query("reg_ensemble", _ENS + " SELECT series, date, R(p0) AS p0, R(p1) AS p1, R(p2) AS p2 FROM e")
