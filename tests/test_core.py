@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import walk
-from tidepanel.core.ordering import grouped_quantiles, grouped_rank
+from tidepanel.core.ordering import grouped_quantiles, grouped_rank, positions
 from tidepanel.functions.smoothing import ewm_mean, ewm_recursive, ewm_std
 
 
@@ -21,20 +21,31 @@ def hot(spark):
     return sdf, pdf
 
 
+@pytest.mark.parametrize("limit", [10**6, 100])
 @pytest.mark.parametrize("method", ["average", "min", "max"])
-def test_grouped_rank_is_exact_under_skew_and_ties(hot, method):
+def test_grouped_rank_is_exact_under_skew_and_ties(hot, method, limit):
     sdf, pdf = hot
-    got = grouped_rank(sdf, ["k"], "x", "r", method).toPandas().set_index("id").sort_index()["r"]
+    got = grouped_rank(sdf, ["k"], "x", "r", method, limit=limit).toPandas().set_index("id").sort_index()["r"]
     want = pdf.set_index("id").groupby("k")["x"].rank(method=method, pct=False) / pdf.set_index("id").groupby("k")["x"].transform("count")
     np.testing.assert_allclose(got, want)
 
 
-def test_grouped_quantiles_are_exact(hot):
+def test_a_large_group_is_spread_over_many_tasks_and_a_small_one_costs_one_exchange(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 20_011).cast("double").alias("x"))
+    p = positions(rows, ["k"], "x", limit=1000)
+    assert len(p.inputFiles()) >= 40 and p.where("below = 0").count() == 1 and p.where("n <> 20000").isEmpty()
+    df = rows.limit(50)
+    plan = grouped_rank(df, ["k"], "x", "r", base=df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("limit", [10**6, 100])
+def test_grouped_quantiles_are_exact(hot, limit):
     sdf, pdf = hot
-    got = grouped_quantiles(sdf, ["k"], "x", {"a": 0.05, "m": 0.5, "z": 0.99}).toPandas().set_index("k").sort_index()
+    got = grouped_quantiles(sdf, ["k"], "x", {"a": 0.05, "m": 0.5, "z": 0.99}, limit=limit).toPandas().set_index("k").sort_index()
     for name, p in (("a", 0.05), ("m", 0.5), ("z", 0.99)):
         np.testing.assert_allclose(got[name], pdf.groupby("k")["x"].quantile(p))
-    whole = grouped_quantiles(sdf, [], "x", {"m": 0.37}).first()
+    whole = grouped_quantiles(sdf, [], "x", {"m": 0.37}, limit=limit).first()
     assert abs(whole["m"] - pdf["x"].quantile(0.37)) < 1e-12
 
 

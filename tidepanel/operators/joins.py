@@ -1,6 +1,8 @@
 """Point-in-time, nearest, range and alignment joins."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.core.scratch import materialise
@@ -48,26 +50,46 @@ def asof_lag(prices: DataFrame, fundamentals: DataFrame, values: list[str], lag_
     return asof(prices, f, ["symbol"], "date", "available", values)
 
 
+def _around(table: pa.Table) -> pa.Table:
+    """Last price at or before and first at or after each asked time, from rows (symbol, _ts in microseconds, _price, _asks) of one key and period."""
+    asks = table.column("_asks").to_numpy()
+    at, price = table.column("_ts").to_numpy(), table.column("_price").to_numpy()
+    order = np.flatnonzero(~asks)[np.argsort(at[~asks], kind="stable")]
+    known, values, t = at[order], price[order], at[asks]
+    before, after = np.searchsorted(known, t, "right") - 1, np.searchsorted(known, t, "left")
+    has_before, has_after = before >= 0, after < len(known)
+    pick = lambda i, ok: (values[np.where(ok, i, 0)], known[np.where(ok, i, 0)]) if len(known) else (np.zeros(len(t)), np.zeros(len(t), np.int64))
+    (low, low_t), (high, high_t) = pick(before, has_before), pick(after, has_after)
+    earlier = has_before & (~has_after | (t - low_t <= high_t - t))
+    market, none = np.where(earlier, low, high), ~(has_before | has_after)
+    return pa.table({"symbol": table.column("symbol").filter(pa.array(asks)), "_ts": pa.array(t), "market_price": pa.array(market, mask=none), "next_price": pa.array(high, mask=~has_after)})
+
+
 def nearest_price(orders: DataFrame, prices: DataFrame, order_time="order_time", time="date", price="close",
                   bucket="year", keep_next: bool = False) -> DataFrame:
     """Price at the timestamp closest to each order; a tie takes the earlier one.
 
-    Only the distinct (symbol, time) pairs of the orders go through the ordered matching;
-    the orders themselves come back by an equi-join. Choose ``bucket`` so that a symbol has
-    few distinct order times per period: a year for daily stamps, a day for intraday ones.
+    Both directions are settled in one pass: the distinct (symbol, time) pairs of the orders meet the prices of their period, and a
+    per-period summary adds the nearest price before and after the period. The orders themselves come back by an equi-join. Choose ``bucket`` so
+    that a symbol has few distinct order times per period: a year for daily stamps, a day for intraday ones.
     """
-    # both inputs are read by two passes: store them once
     orders = materialise(orders, "orders")
-    p = materialise(prices.select("symbol", time, price), "prices")
-    slots = orders.select("symbol", order_time).distinct()
-    b = asof(slots, p, ["symbol"], order_time, time, [price], "prev_", bucket=bucket, keep_time=True)
-    f = asof(b, p, ["symbol"], order_time, time, [price], "next_", bucket=bucket, forward=True, keep_time=True)
-    secs = lambda c: F.col(c).cast("double")
-    back, ahead = secs(order_time) - secs(f"prev_{time}"), secs(f"next_{time}") - secs(order_time)
-    take_prev = F.when(back.isNull(), False).when(ahead.isNull(), True).otherwise(back <= ahead)
-    m = f.select("symbol", order_time, F.when(take_prev, F.col(f"prev_{price}")).otherwise(F.col(f"next_{price}")).alias("market_price"),
-                 F.col(f"next_{price}").alias("next_price"))
-    return orders.join(m if keep_next else m.drop("next_price"), ["symbol", order_time], "left")
+    slots = orders.where(F.col(order_time).isNotNull()).select("symbol", order_time).distinct()
+    p = prices.where(F.col(time).isNotNull() & F.col(price).isNotNull())
+    row = lambda df, t, value, asks: df.select("symbol", F.unix_micros(F.col(t).cast("timestamp")).alias("_ts"), value.cast("double").alias("_price"), F.lit(asks).alias("_asks"),
+                                               F.date_trunc(bucket, t).alias("_b"))
+    met = materialise(row(slots, order_time, F.lit(None), True).unionByName(row(p, time, F.col(price), False)), "times")
+    ends = met.groupBy("symbol", "_b").agg(*[f(F.when(~F.col("_asks"), F.col("_ts"))).alias(f"_{n}_t") for n, f in (("lo", F.min), ("hi", F.max))],
+                                           *[f("_price", F.when(~F.col("_asks"), F.col("_ts"))).alias(f"_{n}_p") for n, f in (("lo", F.min_by), ("hi", F.max_by))])
+    w = Window.partitionBy("symbol")
+    carry = lambda c, border: F.last(c, ignorenulls=True).over(w.orderBy(border).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("symbol", "_b", *[carry(c, F.col("_b")).alias(f"{c}_c") for c in ("_hi_t", "_hi_p")], *[carry(c, F.col("_b").desc()).alias(f"{c}_c") for c in ("_lo_t", "_lo_p")])
+    edges = F.explode(F.array(*[F.struct(F.col(f"_{n}_t_c").alias("_ts"), F.col(f"_{n}_p_c").alias("_price")) for n in ("hi", "lo")]))
+    edges = ends.select("symbol", "_b", edges.alias("e")).where("e._ts is not null").select("symbol", "e._ts", "e._price", F.lit(False).alias("_asks"), "_b")
+    kind = met.schema["symbol"].dataType.simpleString()
+    found = met.unionByName(edges).groupBy("symbol", "_b").applyInArrow(_around, f"symbol {kind}, _ts long, market_price double, next_price double")
+    found = found.select("symbol", F.timestamp_micros("_ts").alias(order_time), "market_price", *(["next_price"] if keep_next else []))
+    return orders.join(found, ["symbol", order_time], "left")
 
 
 def latest_regime(dates: DataFrame, regimes: DataFrame, key: list[str], n: int = 3, time="date") -> DataFrame:
