@@ -66,6 +66,14 @@ def test_near_duplicate_classes(spark, copies, odd, none):
     assert got.where("doc_id is null").count() == 1 and neardup.keep_one(none).count() == 0
 
 
+def test_unrelated_rows_of_one_id_stay(spark):
+    rng = random.Random(17)
+    x, y, z = (prose(rng, 40) for _ in range(3))
+    rows = [(5, x, "p"), (5, y, "q"), (5, x, "r"), (8, y, "s"), (9, z, "t"), (9, None, "u"), (None, x, "v")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter([(5, x), (5, y), (9, z), (9, None), (None, x)])
+
+
 def test_signatures_estimate_weighted_likeness():
     rng = np.random.default_rng(0)
     names = rng.integers(0, 2**63, 60, dtype=np.uint64)
@@ -115,6 +123,17 @@ def test_repeated_passages(spark, repeated, monkeypatch, names, segment, window)
     assert got == brute_repeats(repeated, window)
 
 
+def test_words_of_the_same_polynomial_are_told_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"{word} {tail}")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.kept_words(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_repeats(rows, 13) and [r[2] for r in got] == [0, 0, 13]
+
+
 def test_cutting_keeps_the_rest(spark, repeated, odd, none):
     rows = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.kept_words(odd).collect()]
     assert sorted(rows, key=str) == brute_repeats(odd_rows(), 13)

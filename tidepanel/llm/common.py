@@ -1,6 +1,7 @@
 """Shared helpers: Arrow batches as flat byte buffers, staged tables, hashing of words."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import uuid
@@ -76,6 +77,15 @@ def without_gc(items: Iterator) -> Iterator:
         pa.default_memory_pool().release_unused()
 
 
+def giving_back(items: Iterator) -> Iterator:
+    """The same items; what numpy and Arrow have freed then goes back to the system, as workers outlive their task."""
+    yield from items
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -130,6 +140,11 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((total[end] - total[start]) * up[start] ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Words of more bytes are hashed by a keyed cryptographic hash: polynomials modulo 2**64 have structural collisions
+#: (Thue-Morse words and their complements), which need some hundred bytes.
+LONG_WORD = 64
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts data[at[i]:at[i+1]].
 
@@ -149,7 +164,10 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     tails = at[1:][at[:-1] < at[1:]] - 1
     last[tails] = ~gap[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return range_hash(_BYTE[data], start, end), start, end, np.searchsorted(start, at)
+    h = range_hash(_BYTE[data], start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8, key=b"word").digest(), "little")
+    return h, start, end, np.searchsorted(start, at)
 
 
 def unique_name() -> str:

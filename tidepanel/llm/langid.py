@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.llm.common import id_text, steps
+from tidepanel.llm.common import giving_back, id_text, steps
 
 #: Bounds of the training sample, per language: rows, characters of one row, characters in all.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 200, 1000, 24_000
@@ -191,7 +191,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in steps(batches):
+        for part in giving_back(steps(batches)):
             texts = part.column("text").to_pylist()
             stay = [x != UNKNOWN for x in shared.value.parse(texts)[0]] if shared.value.languages else [bool(t) and bool((points(t) != 32).any()) for t in texts]
             yield part.filter(pa.array(stay, pa.bool_()))

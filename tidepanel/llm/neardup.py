@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.common import Stage, flat, id_text, mixed, range_hash, steps, words
+from tidepanel.llm.common import STEP_BYTES, Stage, flat, giving_back, id_text, mixed, range_hash, steps, words
 
 SHINGLE = 5
 #: At a likeness of 0.8 a pair misses every band with probability (1 - 0.8**ROWS)**BANDS = 3e-6.
@@ -100,9 +100,9 @@ def signatures(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, f1, f2, n, bands): two sums that name the multiset, its size, and a key per band; null without words."""
+    """(doc_id, f1, f2, n, bands): two sums that name the multiset, its size, and a key of (band, components) per band; null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in giving_back(steps(batches, limit=STEP_BYTES // 2)):
             hashes, text = shingles(part, size)
             m = part.num_rows
             h, t, weight = weighted(hashes, text)
@@ -115,6 +115,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
             signature = signatures(h, t, weight, m, bands * rows)
             names = (signature & np.uint64(0xFFFFFFFF)).reshape(m * bands, rows)
             key = range_hash(names.reshape(-1), np.arange(0, m * bands * rows, rows), np.arange(0, m * bands * rows, rows) + rows)
+            key = mixed(key + np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_STEP), m))
             none = n == 0
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, m * bands + 1, bands), pa.int32()), pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, mask=none) for x in sums), pa.array(n, pa.int64()), keys], ["doc_id", "f1", "f2", "n", "bands"])
@@ -124,7 +125,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
 def multisets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, items binary): sorted 32-bit hashes of (shingle, how many times it came before), so a multiset is a set."""
     def run(batches):
-        for part in steps(batches):
+        for part in giving_back(steps(batches)):
             h, t, weight = weighted(*shingles(part, size))
             again = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
             item = (mixed(np.repeat(h, weight) + again.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(32)).astype(np.uint32)
@@ -151,13 +152,14 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def frequent(items: DataFrame, docs: int = 20_000, most: int = 65_536) -> np.ndarray:
-    """Items found often in a sample of multisets, rarest first. Their place decides in which order items are looked at, no result."""
+    """Items found often in a sample of about ``docs`` multisets, rarest first. Their place decides in which order items are looked at, no result."""
     def run(batches):
         for b in batches:
             got, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in b.column("items")] or [np.zeros(0, np.uint32)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n, pa.int64())], ["item", "n"])
 
-    sample = items.select("items", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(docs).select("items").repartition(16)
+    one_in = max(1, items.count() // docs)
+    sample = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("items")
     counted = sample.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n > 2")
     return np.array([r["item"] for r in counted.orderBy(F.desc("n"), "item").limit(most).collect()][::-1], np.uint32)
 
@@ -234,11 +236,12 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     docs = id_text(docs)
     sketch = Stage(sketches(docs.where("doc_id is not null"), bands, rows, size), "sketch")
     nodes = Stage(sketch.df.where("f1 is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
-    spread = nodes.df.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    heads = spread.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    members = Stage(spread.join(heads, ["band", "key"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "members")
-    wanted = members.df.select(F.col("a").alias("doc_id")).union(members.df.select(F.col("b").alias("doc_id"))).distinct()
-    items = Stage(multisets(docs.join(wanted, "doc_id", "left_semi"), size), "items")
+    spread = nodes.df.select("node", F.explode("bands").alias("key"))
+    heads = Stage(spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "heads")
+    members = Stage(spread.join(heads.df, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "members")
+    # stored, so that its true size decides whether the texts have to be shuffled for it
+    wanted = Stage(members.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    items = Stage(multisets(docs.join(wanted.df, "doc_id", "left_semi"), size), "items")
     often = frequent(items.df)
     checked = Stage(verify(members.df, items.df, alike, often), "checked")
     linked = (F.col("common") >= F.lit(alike) * F.col("total")) & (F.col("total") > 0)
@@ -266,8 +269,9 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     hits = rest.df.join(shared, ["top", "item"], "left_semi")
     # once more a star: the smallest open node of each item against the others that have it, so that families join up first
     hits = Stage(hits, "hits")
-    star = hits.df.where("outside").groupBy("top", "item").agg(F.min(F.struct("node", "own")).alias("h"))
-    star = hits.df.join(star, ["top", "item"]).where(F.col("own") != F.col("h.own")).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+    star = hits.df.where("outside").groupBy("top", "item").agg(F.min(F.struct("node", "own", "n")).alias("h"))
+    sized = F.least("n", "h.n") >= F.lit(alike) * F.greatest("n", "h.n")  # or no link is possible
+    star = hits.df.join(star, ["top", "item"]).where((F.col("own") != F.col("h.own")) & sized).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
     starred = Stage(verify(star, items.df, alike), "starred")
     known = _relabel(label.df, checked.df.where(linked).select("a", "b").union(rooted.df.where(linked).select("a", "b")).union(starred.df.where(linked).select("a", "b")))
     fresh = lambda df: df.drop("own").join(known.df.select("node", F.col("label").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
@@ -296,20 +300,23 @@ def classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int
     placing = Stage(placing.select("f1", "f2", "node", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     placed = (sketch.df.select("doc_id", "f1", "f2").join(placing.df, ["f1", "f2"], "left")
               .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id") == F.col("node"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")))
-    for used in (nodes, members, items, checked, label, met, rooted, named, rest, hits, starred, known, again, full):
+    for used in (nodes, heads, members, wanted, items, checked, label, met, rooted, named, rest, hits, starred, known, again, full):
         used.drop()
     return placed.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """All columns of one row per class, that of the smallest doc_id; rows without doc_id or words stay."""
-    found = classes(docs, **options)
-    stay = found.where("doc_id = class_id").select("doc_id").distinct()
-    mark = "_" + "_".join(docs.columns)[:20] + "_copy"
-    if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        from pyspark.sql import Window
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1).select(*docs.columns)
-    else:
-        kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    """All columns of one row per class, that of the smallest doc_id; rows without doc_id or words stay.
+
+    Rows that share a doc_id are looked at one by one, in order of their text's hash: only those that repeat another text go.
+    """
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        stay = classes(docs, **options).where("doc_id = class_id").select("doc_id")
+        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    mark = "_" + "_".join(docs.columns)[:20] + "_row"
+    # sorted by ranges, so numbers ascend by doc_id; stored, as they would not be the same again
+    rows = Stage(named.orderBy("doc_id", F.xxhash64("text")).withColumn(mark, F.monotonically_increasing_id()), "rows")
+    found = classes(rows.df.select(F.col(mark).alias("doc_id"), "text"), **options)
+    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias(mark))
+    return rows.df.join(stay, mark, "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
