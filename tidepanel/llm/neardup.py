@@ -160,7 +160,7 @@ def frequent(items: DataFrame, docs: int = 20_000, most: int = 65_536) -> np.nda
 
     one_in = max(1, items.count() // docs)
     sample = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("items")
-    counted = sample.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n > 2")
+    counted = sample.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n > 2").coalesce(8)  # each of the eight sends the driver ``most`` rows at most
     return np.array([r["item"] for r in counted.orderBy(F.desc("n"), "item").limit(most).collect()][::-1], np.uint32)
 
 
