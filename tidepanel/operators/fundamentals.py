@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidepanel.core.frames import attach, change, div, ordered
 from tidepanel.operators.technical import history_rank
 
-GROWTH_LINES = ("revenue", "gross_profit", "operating_income", "net_income", "total_assets", "total_equity")
+GROWTH_LINES = ("revenue", "gross_profit", "operating_income", "net_income", "ebitda", "total_assets", "total_equity")
 
 
 def latest(statements: DataFrame, time="fiscal_date") -> DataFrame:
@@ -18,6 +18,7 @@ def ratio_columns() -> dict[str, Column]:
     c = F.col
     cap = c("price") * c("shares")
     ev = cap + c("total_debt") - c("cash")
+    income_growth = F.when(c("prior_income") > 0, div("net_income", "prior_income") - 1)
     return {
         "gross_margin": div("gross_profit", "revenue"), "operating_margin": div("operating_income", "revenue"),
         "net_margin": div("net_income", "revenue"), "roa": div("net_income", "total_assets"),
@@ -27,12 +28,20 @@ def ratio_columns() -> dict[str, Column]:
         "debt_to_equity": div("total_debt", "total_equity"), "asset_turnover": div("revenue", "total_assets"),
         "inventory_turnover": div(c("revenue") - c("gross_profit"), "inventory"),
         "pe_ratio": div(cap, "net_income"), "pb_ratio": div(cap, "total_equity"), "ps_ratio": div(cap, "revenue"),
-        "ev_revenue": div(ev, "revenue"), "ev_operating": div(ev, "operating_income")}
+        "ev_revenue": div(ev, "revenue"), "ev_operating": div(ev, "operating_income"),
+        "ebitda_margin": div("ebitda", "revenue"), "ev_ebitda": div(ev, "ebitda"),
+        "forward_pe": div(cap, c("net_income") * (1 + income_growth)),
+        "peg_ratio": div(div(cap, "net_income"), 100 * income_growth),
+        "dividend_yield": div("dividends", cap), "payout_ratio": div("dividends", "net_income")}
 
 
 def ratios(statements: DataFrame) -> DataFrame:
-    """Profitability, liquidity, leverage, efficiency and market ratios of the latest statement."""
-    df = latest(statements)
+    """Profitability, liquidity, leverage, efficiency, market and dividend ratios of the latest statement.
+
+    Forward earnings carry the last growth of net income on; the two ratios built on it are null where the income before was not positive.
+    """
+    prior = F.lag("net_income").over(ordered("symbol", "fiscal_date"))
+    df = latest(statements.withColumn("prior_income", prior))
     r = ratio_columns()
     return df.select("symbol", *[e.alias(n) for n, e in r.items()])
 

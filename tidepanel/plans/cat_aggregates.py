@@ -171,8 +171,12 @@ _RATIO = {"gross_margin": "gross_profit/nullif(revenue,0)", "operating_margin":
           "roe": "net_income/nullif(total_equity,0)", "current_ratio": "current_assets/nullif(current_liabilities,0)", "quick_ratio": "(current_assets-inventory)/nullif(current_liabilities,0)",
           "cash_ratio": "cash/nullif(current_liabilities,0)", "debt_to_assets": "total_debt/nullif(total_assets,0)", "debt_to_equity": "total_debt/nullif(total_equity,0)", "asset_turnover": "revenue/nullif(total_assets,0)",
           "inventory_turnover": "(revenue-gross_profit)/nullif(inventory,0)", "pe_ratio": "price*shares/nullif(net_income,0)", "pb_ratio": "price*shares/nullif(total_equity,0)", "ps_ratio": "price*shares/nullif(revenue,0)",
-          "ev_revenue": "(price*shares+total_debt-cash)/nullif(revenue,0)", "ev_operating": "(price*shares+total_debt-cash)/nullif(operating_income,0)"}
-_LATEST = "lt AS (SELECT * FROM fund QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fiscal_date DESC)=1)"
+          "ev_revenue": "(price*shares+total_debt-cash)/nullif(revenue,0)", "ev_operating": "(price*shares+total_debt-cash)/nullif(operating_income,0)",
+          "ebitda_margin": "ebitda/nullif(revenue,0)", "ev_ebitda": "(price*shares+total_debt-cash)/nullif(ebitda,0)",
+          "forward_pe": "price*shares/nullif(net_income*(1+CASE WHEN prior_income>0 THEN net_income/prior_income-1 END),0)",
+          "peg_ratio": "price*shares/nullif(net_income,0)/nullif(100*CASE WHEN prior_income>0 THEN net_income/prior_income-1 END,0)",
+          "dividend_yield": "dividends/nullif(price*shares,0)", "payout_ratio": "dividends/nullif(net_income,0)"}
+_LATEST = "lt AS (SELECT *, lag(net_income) OVER (PARTITION BY symbol ORDER BY fiscal_date) AS prior_income FROM fund QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fiscal_date DESC)=1)"
 
 
 @query("agg_fundamental_ratios", f"WITH {_LATEST} SELECT symbol, " + ", ".join(f"R({e}) AS {n}" for n, e in _RATIO.items()) + " FROM lt", 5)

@@ -59,7 +59,7 @@ for _n, _src, _key in (("reg", "idx", "series"), ("mreg", "(SELECT *, 0 AS serie
     VIEWS[_n] = f"SELECT *, CASE WHEN p0>=p1 AND p0>=p2 THEN 0 WHEN p1>=p2 THEN 1 ELSE 2 END AS regime FROM {_n}2"
 
 _LINES = """sum(e) AS revenue, sum(e*(1-d)) AS gross_profit, sum(e*(0.06::DOUBLE-d)) AS operating_income,
-      sum(e*(0.05::DOUBLE-d)*(1-t)) AS net_income, sum(e*(1+t)*2) AS total_assets, sum(e*(0.5::DOUBLE+d)) AS total_equity,
+      sum(e*(0.05::DOUBLE-d)*(1-t)) AS net_income, sum(e*(0.09::DOUBLE-d)) AS ebitda, sum(e*t*0.1::DOUBLE) AS dividends, sum(e*(1+t)*2) AS total_assets, sum(e*(0.5::DOUBLE+d)) AS total_equity,
       sum(e*(0.4::DOUBLE+t)) AS current_assets, sum(e*(0.2::DOUBLE+d)) AS current_liabilities, sum(e*t) AS inventory,
       sum(e*d*0.5::DOUBLE) AS cash, sum(e*(0.3::DOUBLE+t-d)) AS total_debt,
       sum(e*(0.05::DOUBLE-d+t)) AS operating_cash_flow, sum(q) AS shares, last(e/q ORDER BY dt,k,n,e/q) AS price"""

@@ -118,6 +118,7 @@ def fundamentals(spark, sf_dir, period: str = "quarter") -> DataFrame:
         F.sum(e).alias("revenue"), F.sum(e * (1 - d)).alias("gross_profit"),
         F.sum(e * (0.06 - d)).alias("operating_income"),
         F.sum(e * (0.05 - d) * (1 - t)).alias("net_income"),
+        F.sum(e * (0.09 - d)).alias("ebitda"), F.sum(e * t * 0.1).alias("dividends"),
         F.sum(e * (1 + t) * 2).alias("total_assets"), F.sum(e * (0.5 + d)).alias("total_equity"),
         F.sum(e * (0.4 + t)).alias("current_assets"), F.sum(e * (0.2 + d)).alias("current_liabilities"),
         F.sum(e * t).alias("inventory"), F.sum(e * d * 0.5).alias("cash"),
