@@ -8,10 +8,20 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to or from a Python worker, unless the session sets its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Limit Arrow batches by bytes: by default only their rows are, so long texts make batches of any size in both processes."""
+    for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(size))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, so that their workers can import it from any folder."""
+    """Send the package to the executors once per application, so that their workers can import it from any folder; batches to them are bounded."""
+    bounded_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
