@@ -77,11 +77,18 @@ def without_gc(items: Iterator) -> Iterator:
         pa.default_memory_pool().release_unused()
 
 
+#: glibc's mallopt: from this size on an array is mapped alone and unmapped when freed, also after larger ones were freed.
+_MAP_THRESHOLD, _MAP_BYTES = -3, 1 << 20
+
+
 def giving_back(items: Iterator) -> Iterator:
-    """The same items; what numpy and Arrow have freed then goes back to the system, as workers outlive their task."""
+    """The same items; what numpy and Arrow free goes back to the system, large arrays at once, the rest at the end, as workers outlive their task."""
+    libc = ctypes.CDLL(None)
+    fixed, trim = getattr(libc, "mallopt", None), getattr(libc, "malloc_trim", None)
+    if fixed is not None:
+        fixed(_MAP_THRESHOLD, _MAP_BYTES)
     yield from items
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.common import SPACE, STEP_BYTES, Stage, flat, id_text, mixed, range_hash, sha, steps, unique_name, words
+from tidepanel.llm.common import SPACE, STEP_BYTES, Stage, flat, giving_back, id_text, mixed, range_hash, sha, steps, unique_name, words
 
 WINDOW = 13
 #: Bytes of text in a segment, and names that one task of a round gathers.
@@ -48,7 +48,7 @@ def _unpack(payload: bytes) -> pa.RecordBatch:
 def segments(docs: DataFrame) -> Stage:
     """All rows of ``docs`` in pieces of bounded size, each one row, so that a piece always names its symbols in one order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, "text", SEGMENT_BYTES):
+        for part in giving_back(steps(batches, "text", SEGMENT_BYTES)):
             data, _ = flat(part.column("text"))
             n = int(np.count_nonzero(SPACE[data])) + part.num_rows if len(data) < 4 * SEGMENT_BYTES else len(data) // 2
             yield pa.RecordBatch.from_arrays([pa.array([unique_name()]), pa.array([n], pa.int64()), pa.array([_pack(part)], pa.binary())], ["segment", "n", "payload"])
@@ -56,7 +56,7 @@ def segments(docs: DataFrame) -> Stage:
 
 
 class Words:
-    """The words of a segment's texts: hashes, bytes and the text each belongs to."""
+    """The words of a segment's texts: hashes, bytes and the text each belongs to. Places fit 32 bits, as Arrow's offsets do."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.batch = batch
@@ -68,11 +68,11 @@ class Words:
             end = max(first + 1, int(np.searchsorted(self.at, self.at[first] + STEP_BYTES, "right")) - 1)
             lo, hi = self.at[first], self.at[end]
             h, s, e, heads = words(self.data[lo:hi], self.at[first:end + 1] - lo)
-            got.append((h, s + lo, e + lo, np.diff(heads)))
+            got.append((h, (s + lo).astype(np.int32), (e + lo).astype(np.int32), np.diff(heads)))
             first = end
         self.hash, self.start, self.end, self.counts = (np.concatenate([g[i] for g in got]) for i in range(4))
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        self.text = np.repeat(np.arange(batch.num_rows), self.counts)
+        self.text = np.repeat(np.arange(batch.num_rows, dtype=np.int32), self.counts)
 
 
 def parse(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +129,12 @@ class Windows:
     def __init__(self, w: Words, names: Names, elsewhere: np.ndarray, window: int):
         shared = np.repeat((names.local | elsewhere)[names.inverse], names.span)
         n = len(w.hash)
-        starts = np.arange(max(0, n - window + 1))
+        starts = np.arange(max(0, n - window + 1), dtype=np.int32)
         starts = starts[w.text[starts] == w.text[starts + window - 1]]
-        run = np.concatenate([[0], np.cumsum(shared)])
-        twin = np.zeros(n, np.int64)
-        twin[1:] = w.hash[1:] == w.hash[:-1]
-        twins = np.cumsum(twin)
+        run = np.zeros(n + 1, np.int32)
+        np.cumsum(shared, out=run[1:])
+        twins = np.zeros(n, np.int32)
+        np.cumsum(w.hash[1:] == w.hash[:-1], out=twins[1:])
         rim = np.where(twins[starts + window - 1] == twins[starts], 4, 5)
         inner = run[starts + window - rim] - run[starts + rim] == window - 2 * rim
         self.starts = starts[inner]
@@ -177,7 +177,7 @@ REQUEST = pa.schema([("segment", pa.string()), ("range", pa.int64()), ("names",
 
 def _request_names(bits: int):
     def run(batches):
-        for b in batches:
+        for b in giving_back(batches):
             for segment, payload in zip(b.column("segment").to_pylist(), b.column("payload"), strict=True):
                 values = Names(Words(_unpack(payload.as_py())), bits).values
                 rows = [(r, values[i:j].astype(np.uint32).tobytes()) for r, i, j in _ranges(values, 32, bits)]
@@ -187,13 +187,16 @@ def _request_names(bits: int):
 
 
 def _request_windows(bits: int, more: int, window: int):
+    def asked(payload, reply) -> list[tuple[int, bytes, bytes]]:  # what one segment needs is gone before the next one is read
+        w = Words(_unpack(payload.as_py()))
+        names = Names(w, bits)
+        win = Windows(w, names, _flags(reply.as_py(), len(names.values)), window)
+        return [(r, win.values[i:j].tobytes(), _zip(win.least[i:j])) for r, i, j in _ranges(win.values, 64 - more, more)]
+
     def run(batches):
-        for b in batches:
-            for segment, payload, reply in zip(b.column("segment").to_pylist(), b.column("payload"), b.column("reply").to_pylist(), strict=True):
-                w = Words(_unpack(payload.as_py()))
-                names = Names(w, bits)
-                win = Windows(w, names, _flags(reply, len(names.values)), window)
-                rows = [(r, win.values[i:j].tobytes(), _zip(win.least[i:j])) for r, i, j in _ranges(win.values, 64 - more, more)]
+        for b in giving_back(batches):
+            for segment, payload, reply in zip(b.column("segment").to_pylist(), b.column("payload"), b.column("reply"), strict=True):
+                rows = asked(payload, reply)
                 yield pa.RecordBatch.from_arrays([pa.array([segment] * len(rows)), pa.array([r for r, _, _ in rows], pa.int64()),
                                                   pa.array([x for _, x, _ in rows], pa.binary()), pa.array([x for _, _, x in rows], pa.binary())], schema=REQUEST)
     return run
@@ -201,7 +204,7 @@ def _request_windows(bits: int, more: int, window: int):
 
 def _answer(windows: bool):
     """Of one range: bitmaps for the names in two segments, or for the windows that a smaller document has elsewhere."""
-    def run(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         segments, blobs = table.column("segment").to_pylist(), table.column("names").to_pylist()
         parts = [np.frombuffer(x, np.uint64 if windows else np.uint32) for x in blobs]
         sizes = [len(p) for p in parts]
@@ -216,6 +219,10 @@ def _answer(windows: bool):
         cut = np.cumsum([0, *sizes])
         return pa.table({"segment": segments, "range": table.column("range"), "n": pa.array(sizes, pa.int32()),
                          "bits": pa.array([np.packbits(yes[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        [out] = map(answer, giving_back(iter([table])))
+        return out
     return run
 
 
@@ -238,18 +245,23 @@ def _judged(docs: DataFrame, window: int, finish, schema) -> DataFrame:
     second = _round(known.mapInArrow(_request_windows(bits, more, window), request), True, "answer")
     both = first.df.join(second.df, "segment", "left")
 
+    def removed(w: Words, reply, answer) -> np.ndarray:
+        names = Names(w, bits)
+        win = Windows(w, names, _flags(reply.as_py(), len(names.values)), window)
+        earlier = _flags(answer.as_py(), len(win.values))
+        hit = win.starts[earlier[win.inverse] | (win.owner > win.least[win.inverse])]
+        change = np.zeros(len(w.hash) + 1, np.int32)
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + window, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def judged(payload, reply, answer) -> pa.RecordBatch:
+        w = Words(_unpack(payload.as_py()))
+        return finish(w, removed(w, reply, answer))
+
     def run(batches):
-        for b in batches:
-            for payload, reply, answer in zip(b.column("payload"), b.column("reply").to_pylist(), b.column("answer").to_pylist(), strict=True):
-                w = Words(_unpack(payload.as_py()))
-                names = Names(w, bits)
-                win = Windows(w, names, _flags(reply, len(names.values)), window)
-                earlier = _flags(answer, len(win.values))
-                hit = win.starts[earlier[win.inverse] | (win.owner > win.least[win.inverse])]
-                change = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(change, hit, 1)
-                np.add.at(change, hit + window, -1)
-                yield finish(w, np.cumsum(change[:-1]) > 0)
+        for b in giving_back(batches):
+            yield from map(judged, b.column("payload"), b.column("reply"), b.column("answer"))
 
     return held.df.select("segment", "payload").join(both, "segment", "left").mapInArrow(run, schema)
 
