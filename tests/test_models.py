@@ -235,3 +235,16 @@ def test_break_states_and_lengths(spark):
     assert got == {"a": (3, [10, 12, 6, 2]), "b": (0, [5])}
     s = rm.break_states(rows, breaks).where("series = 'a'").orderBy("date").toPandas()["regime"].tolist()
     assert s == [0] * 10 + [1] * 12 + [2] * 8
+
+
+def test_histories_are_sent_to_few_blocks(spark, monkeypatch):
+    assert [pairs.block_count(n) for n in (0, 5, 1000, 60_000, 360_000, 1_000_000)] == [1, 1, 8, 32, 32, 62]
+    rng = np.random.default_rng(26)
+    wide = pd.DataFrame(rng.normal(size=(40, 17)), index=pd.date_range("2020-01-01", periods=40), columns=list(range(100, 117))).mask(rng.random((40, 17)) < 0.3)
+    long = wide.stack().rename("ret").reset_index().set_axis(["date", "symbol", "ret"], axis=1)
+    monkeypatch.setattr(pairs, "SPREAD", 2)
+    monkeypatch.setattr(pairs, "TILE", 3)
+    sent = pairs.asset_covariance(spark.createDataFrame(long), block=1)
+    got = sent.toPandas()
+    assert len(got) == 17 * 18 // 2 and (got["a"] <= got["b"]).all() and got.duplicated(["a", "b"]).sum() == 0
+    np.testing.assert_allclose(got["cov"], [wide.cov().loc[a, b] for a, b in zip(got["a"], got["b"])], atol=1e-12)
