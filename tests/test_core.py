@@ -59,3 +59,11 @@ def test_ewm_matches_pandas(spark, span):
     for out, f in (("m", lambda s: s.ewm(span=span).mean()), ("r", lambda s: s.ewm(span=span, adjust=False).mean()), ("s", lambda s: s.ewm(span=span).std())):
         want = pdf.sort_values(["symbol", "date"]).groupby("symbol")["close"].transform(f)
         np.testing.assert_allclose(got[out].astype(float).values, want.values, rtol=1e-7, atol=1e-9, err_msg=out)
+
+
+def test_smoothing_needs_one_sort_however_many_spans(spark):
+    from tidepanel.operators import technical as t
+    sdf, _ = walk(spark, 60)
+    for d in (t.ewm_vol(t.returns(sdf)), t.macd(sdf), t.ema(sdf), t.price_to_ma(sdf)):
+        plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Sort [") <= 2 and plan.count("Exchange hashpartitioning") <= 2

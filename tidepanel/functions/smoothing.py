@@ -1,90 +1,48 @@
-"""Exponentially weighted means and deviations with plain windows, O(rows).
+"""Exponentially weighted means and deviations of whole series, O(rows).
 
-y_t = sum_i x_i r^(t-i), r = 1-alpha, is a running sum of x_i r^(-i) times r^t. The
-powers are bounded by cutting each series into blocks of L rows with r^L < 1e-17:
-a row needs its own block's running sum plus the decayed total of the block before;
-anything older is below double precision.
+All figures of a call are made in one pass over a series in time order, so a panel needs one exchange and one sort, however many spans there are.
 """
 from __future__ import annotations
 
-import math
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from tidepanel.core.frames import KEY, TIME
+from tidepanel.core.series import per_series
 
-from tidepanel.core.frames import KEY, TIME, div, expanding, ordered
 
+def mean(x: np.ndarray, span: float | None = None, alpha: float | None = None) -> np.ndarray:
+    """Adjusted mean; weights decay over missing values, which keep the value before them."""
+    return pd.Series(x).ewm(span=span, alpha=alpha).mean().to_numpy()
 
-def _keep(span: float | None, alpha: float | None) -> float:
-    return 1.0 - (alpha if alpha is not None else 2.0 / (span + 1.0))
 
+def recursive(x: np.ndarray, span: float) -> np.ndarray:
+    """y = a x + (1-a) y_prev over the known values, seeded with the first of them."""
+    return pd.Series(x).ewm(span=span, adjust=False, ignore_na=True).mean().to_numpy()
 
-def _carried(x: str, value: Column, key, time) -> Column:
-    """``value`` where ``x`` is known, else the last such value; a long gap would decay to nothing otherwise."""
-    return F.last(F.when(F.col(x).isNotNull(), value), ignorenulls=True).over(expanding(key, time))
 
+def deviation(x: np.ndarray, span: float) -> np.ndarray:
+    """Adjusted, bias-corrected deviation; missing below two values."""
+    return pd.Series(x).ewm(span=span).std().to_numpy()
 
-def _decayed_sums(df: DataFrame, jobs: dict[str, tuple[Column, float]], key, time, position: Column | None = None) -> DataFrame:
-    """Add sum_i value_i * keep^(t-i) for each (value, keep); null values count as zero. ``position``: i other than the row number."""
-    keys = [key] if isinstance(key, str) else list(key)
-    df = df.withColumn("_i", position if position is not None else F.row_number().over(ordered(key, time)) - 1)
-    keeps = sorted({k for _, k in jobs.values()})
-    tag = {k: f"_b{n}" for n, k in enumerate(keeps)}
-    length = {k: max(2, math.ceil(math.log(1e-17) / math.log(k))) for k in keeps}
-    df = df.withColumns({tag[k]: F.floor(F.col("_i") / length[k]) for k in keeps})
-    own, total = {}, {}
-    for name, (value, k) in jobs.items():
-        pos = F.col("_i") % length[k]
-        w = (Window.partitionBy(*keys, tag[k]).orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-        own[f"_o_{name}"] = F.sum(F.coalesce(value, F.lit(0.0)) * F.pow(F.lit(k), -pos)).over(w) * F.pow(F.lit(k), pos)
-    df = df.withColumns(own)
-    before = ordered(key, time).rowsBetween(Window.unboundedPreceding, -1)
-    for name, (_, k) in jobs.items():
-        pos = F.col("_i") % length[k]
-        closed = F.when(pos == length[k] - 1, F.col(f"_o_{name}"))
-        carry = F.coalesce(F.last(closed, ignorenulls=True).over(before), F.lit(0.0))
-        total[name] = F.col(f"_o_{name}") + carry * F.pow(F.lit(k), pos + 1)
-    return df.withColumns(total).drop("_i", *tag.values(), *own)
+
+def _each(df: DataFrame, jobs: dict[str, tuple[str, float]], make, key, time) -> DataFrame:
+    columns = list(dict.fromkeys(x for x, _ in jobs.values()))
+    plan = [(columns.index(x), s) for x, s in jobs.values()]
+    return per_series(df, columns, list(jobs), lambda *x: [make(x[i], s) for i, s in plan], key, time)
 
 
 def ewm_mean(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIME, by_alpha=False) -> DataFrame:
     """Adjusted EWM means: out -> (column, span). Weights decay over null rows too, which keep the value before them."""
-    keep = {n: _keep(None, s) if by_alpha else _keep(s, None) for n, (_, s) in jobs.items()}
-    sums = {n: (F.col(x), keep[n]) for n, (x, _) in jobs.items()}
-    sums |= {f"_w_{n}": (F.col(x).isNotNull().cast("double"), keep[n]) for n, (x, _) in jobs.items()}
-    df = _decayed_sums(df, sums, key, time)
-    out = {n: _carried(x, F.col(n) / F.col(f"_w_{n}"), key, time) for n, (x, _) in jobs.items()}
-    return df.withColumns(out).drop(*[f"_w_{n}" for n in jobs])
+    return _each(df, jobs, (lambda x, a: mean(x, alpha=a)) if by_alpha else mean, key, time)
 
 
 def ewm_recursive(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIME) -> DataFrame:
-    """Unadjusted y = a x + (1-a) y_prev over the non-null rows, seeded with the first of them; null rows keep the value.
-
-    The seed weighs 1/a more than the others. Positions count non-null rows, so a null adds nothing and decays nothing.
-    """
-    keep = {n: _keep(s, None) for n, (_, s) in jobs.items()}
-    for x in dict.fromkeys(x for x, _ in jobs.values()):
-        mine = [n for n, (y, _) in jobs.items() if y == x]
-        df = df.withColumn("_seen", F.count(x).over(expanding(key, time)))
-        df = _decayed_sums(df, {n: (F.col(x) * F.when(F.col("_seen") == 1, 1.0).otherwise(1 - keep[n]), keep[n]) for n in mine}, key, time,
-                           F.greatest(F.col("_seen") - 1, F.lit(0)))
-        df = df.withColumns({n: _carried(x, F.col(n), key, time) for n in mine}).drop("_seen")
-    return df
+    """Unadjusted y = a x + (1-a) y_prev over the non-null rows, seeded with the first of them; null rows keep the value."""
+    return _each(df, jobs, recursive, key, time)
 
 
 def ewm_std(df: DataFrame, jobs: dict[str, tuple[str, float]], key=KEY, time=TIME) -> DataFrame:
     """Adjusted, bias-corrected EWM deviations: out -> (column, span); null below two values."""
-    keep = {n: _keep(s, None) for n, (_, s) in jobs.items()}
-    sums: dict[str, tuple[Column, float]] = {}
-    for n, (x, _) in jobs.items():
-        sums[f"{n}_1"], sums[f"{n}_2"] = (F.col(x), keep[n]), (F.col(x) * F.col(x), keep[n])
-        there = F.col(x).isNotNull().cast("double")
-        sums[f"{n}_w"], sums[f"{n}_v"] = (there, keep[n]), (there, keep[n] ** 2)
-    df = _decayed_sums(df, sums, key, time)
-    out = {}
-    for n, (x, _) in jobs.items():
-        seen = F.count(x).over(expanding(key, time))
-        w, w2 = F.col(f"{n}_w"), F.col(f"{n}_v")
-        m = div(F.col(f"{n}_1"), w)
-        var = F.greatest(div(F.col(f"{n}_2"), w) - m * m, F.lit(0.0))
-        out[n] = _carried(x, F.when(seen >= 2, F.sqrt(var * div(w * w, w * w - w2))), key, time)
-    return df.withColumns(out).drop(*sums)
+    return _each(df, jobs, deviation, key, time)
