@@ -67,3 +67,34 @@ def test_smoothing_needs_one_sort_however_many_spans(spark):
     for d in (t.ewm_vol(t.returns(sdf)), t.macd(sdf), t.ema(sdf), t.price_to_ma(sdf)):
         plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert plan.count("Sort [") <= 2 and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_tail_and_memory_windows_like_numpy(spark):
+    from tidepanel.operators import technical as t
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=160)
+    x[40], x[60:115] = np.nan, 0.25  # a gap, then equal values
+    rows = [("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("B", i, 0.1) for i in range(30)]
+    sdf = spark.createDataFrame(rows[::-1], "symbol string, date int, ret double")
+    d = t.hurst(t.autocorr(t.cvar(sdf), 50, (1, 5)), 30, 5)
+    plan = t.hurst(sdf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "sliding" not in plan
+    got = d.where("symbol = 'A'").orderBy("date").toPandas()
+    for n in (20, 50):
+        for p, tag in ((0.05, "5"), (0.01, "1")):
+            q = pd.Series(x).rolling(n).quantile(p)
+            np.testing.assert_allclose(got[f"var_{tag}_{n}"].astype(float), q, rtol=1e-9)
+            tail = [np.nan if np.isnan(q[i]) else (lambda w: w[w <= np.quantile(w, p)].mean())(x[i + 1 - n:i + 1]) for i in range(len(x))]
+            np.testing.assert_allclose(got[f"cvar_{tag}_{n}"].astype(float), tail, rtol=1e-9)
+    for k in (1, 5):
+        want = [np.nan] * len(x)
+        for i in range(49, len(x)):
+            w = x[i - 49:i + 1]
+            if not np.isnan(w).any() and np.ptp(w[k:]) > 0 and np.ptp(w[:-k]) > 0:
+                want[i] = np.corrcoef(w[k:], w[:-k])[0, 1]
+        np.testing.assert_allclose(got[f"autocorr_lag_{k}"].astype(float), want, rtol=1e-7, atol=1e-12)
+    w = x[120:150]
+    want = 2 * np.polyfit(np.log([2, 3, 4]), [np.log(np.std(w[k:] - w[:-k])) / 2 for k in (2, 3, 4)], 1)[0]
+    assert abs(got["hurst"][149] - want) < 1e-9 and np.isnan(got["hurst"][100])
+    assert d.where("symbol = 'B' and (var_5_20 is null) = (date < 19) and hurst is null and autocorr_lag_1 is null").count() == 30
