@@ -23,3 +23,11 @@ def test_nearest_price_across_periods_ties_and_gaps(spark):
         assert rows[o.order_id] == (first.close.iloc[0] if len(first) else None, high.close.iloc[0] if len(high) else None)
     plan = nearest_price(spark.createDataFrame(orders), spark.createDataFrame(known), "order_time")
     assert plan.columns[:2] == ["symbol", "order_time"] and "next_price" not in plan.columns
+
+
+def test_many_keys_and_periods_are_settled_at_once():
+    import pyarrow as pa
+    from tidepanel.operators.joins import _around
+    rows = [("a", 5, 1.0, False, 0), ("b", 6, 2.0, False, 0), ("a", 6, None, True, 0), ("b", 4, None, True, 0), ("a", 7, 3.0, False, 1), ("a", 9, 4.0, False, 0), ("a", 9, None, True, 0), ("c", 1, None, True, 0)]
+    got = _around(pa.Table.from_pylist([dict(zip(("symbol", "_ts", "_price", "_asks", "_b"), r)) for r in rows])).to_pylist()
+    assert [tuple(r.values()) for r in got] == [("a", 6, 1.0, 4.0), ("b", 4, 2.0, 2.0), ("a", 9, 4.0, 4.0), ("c", 1, None, None)]

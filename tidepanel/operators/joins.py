@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.core.scratch import materialise
@@ -50,16 +51,29 @@ def asof_lag(prices: DataFrame, fundamentals: DataFrame, values: list[str], lag_
     return asof(prices, f, ["symbol"], "date", "available", values)
 
 
+#: Times that one task's call looks at, of any number of keys and periods.
+TIMES = 50_000
+
+
 def _around(table: pa.Table) -> pa.Table:
-    """Last price at or before and first at or after each asked time, from rows (symbol, _ts in microseconds, _price, _asks) of one key and period."""
-    asks = table.column("_asks").to_numpy()
-    at, price = table.column("_ts").to_numpy(), table.column("_price").to_numpy()
-    order = np.flatnonzero(~asks)[np.argsort(at[~asks], kind="stable")]
-    known, values, t = at[order], price[order], at[asks]
-    before, after = np.searchsorted(known, t, "right") - 1, np.searchsorted(known, t, "left")
-    has_before, has_after = before >= 0, after < len(known)
-    pick = lambda i, ok: (values[np.where(ok, i, 0)], known[np.where(ok, i, 0)]) if len(known) else (np.zeros(len(t)), np.zeros(len(t), np.int64))
-    (low, low_t), (high, high_t) = pick(before, has_before), pick(after, has_after)
+    """Last price at or before and first at or after each asked time, from rows (symbol, _ts in microseconds, _price, _asks, _b) of any keys and periods _b."""
+    asks, at, price = (table.column(c).to_numpy() for c in ("_asks", "_ts", "_price"))
+    codes = [pc.fill_null(table.column(c).combine_chunks().dictionary_encode().indices, -1).to_numpy().astype(np.int64) for c in ("symbol", "_b")]
+    code, rows = codes[0] * (codes[1].max() + 2) + codes[1], np.arange(len(asks))
+
+    def met(first: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Price, its time and whether there is one, for the nearest price row on one side of every row in the order of (key, time, ``first``)."""
+        order = np.lexsort((first, at, code))
+        place = np.where(asks[order], len(rows) if later else -1, rows)
+        place = np.minimum.accumulate(place[::-1])[::-1] if later else np.maximum.accumulate(place)
+        there = (place >= 0) & (place < len(rows))
+        found = order[np.where(there, place, 0)]
+        there &= code[found] == code[order]
+        back = np.empty(len(rows), np.int64)
+        back[order] = rows
+        return price[found][back][asks], at[found][back][asks], there[back][asks]
+
+    (low, low_t, has_before), (high, high_t, has_after), t = met(asks, False), met(~asks, True), at[asks]
     earlier = has_before & (~has_after | (t - low_t <= high_t - t))
     market, none = np.where(earlier, low, high), ~(has_before | has_after)
     return pa.table({"symbol": table.column("symbol").filter(pa.array(asks)), "_ts": pa.array(t), "market_price": pa.array(market, mask=none), "next_price": pa.array(high, mask=~has_after)})
@@ -87,7 +101,8 @@ def nearest_price(orders: DataFrame, prices: DataFrame, order_time="order_time",
     edges = F.explode(F.array(*[F.struct(F.col(f"_{n}_t_c").alias("_ts"), F.col(f"_{n}_p_c").alias("_price")) for n in ("hi", "lo")]))
     edges = ends.select("symbol", "_b", edges.alias("e")).where("e._ts is not null").select("symbol", "e._ts", "e._price", F.lit(False).alias("_asks"), "_b")
     kind = met.schema["symbol"].dataType.simpleString()
-    found = met.unionByName(edges).groupBy("symbol", "_b").applyInArrow(_around, f"symbol {kind}, _ts long, market_price double, next_price double")
+    groups = max(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // TIMES))
+    found = met.unionByName(edges).groupBy(F.pmod(F.xxhash64("symbol", "_b"), F.lit(groups))).applyInArrow(_around, f"symbol {kind}, _ts long, market_price double, next_price double")
     found = found.select("symbol", F.timestamp_micros("_ts").alias(order_time), "market_price", *(["next_price"] if keep_next else []))
     return orders.join(found, ["symbol", order_time], "left")
 
