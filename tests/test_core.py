@@ -119,3 +119,29 @@ def _duck(x):
     con = duckdb.connect()
     con.execute("CREATE TABLE d AS SELECT unnest(?::BIGINT[]) AS i, unnest(?::DOUBLE[]) AS x", [list(range(len(x))), [float(v) for v in x]])
     return con
+
+
+def test_shuffles_start_with_partitions_that_follow_the_input(spark, sf):
+    from tidepanel.core import session
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    paths = [f"{sf}/lineitem.parquet", f"{sf}/none.parquet"]
+    try:
+        session.spread(spark, paths, 1000)
+        many = int(spark.conf.get(key))
+        assert many > 50
+        session.spread(spark, paths)
+        assert int(spark.conf.get(key)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(key, "7")
+        session.spread(spark, paths, 1000)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_profile_keeps_few_figures_a_day(spark):
+    from tidepanel.operators import quality as q
+    d = spark.createDataFrame([("A", 1, None, -1.0, 0.0), ("A", 1, float("inf"), 2.0, 3.0), ("A", 2, 1.0, None, None)], "symbol string, date int, x double, y double, volume double")
+    p = q.profile(d, ["x", "y", "volume"])
+    r = p.first()
+    assert (r["rows"], r["missing"], r["infinite"], r["negative"], r["zero_volume"], r["duplicate_dates"], r["first_date"], r["last_date"]) == (3, 3, 1, 1, 1, 1, 1, 2)
+    assert len(p._jdf.queryExecution().analyzed().child().output().mkString(",").split(",")) <= 7
