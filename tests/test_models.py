@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.models import factors as fm, gram as g, sparse_bayes as sb
+from tidepanel.core.session import ship
 from tidepanel.operators import cross_section as cs, pairs
 
 
@@ -248,3 +249,29 @@ def test_histories_are_sent_to_few_blocks(spark, monkeypatch):
     got = sent.toPandas()
     assert len(got) == 17 * 18 // 2 and (got["a"] <= got["b"]).all() and got.duplicated(["a", "b"]).sum() == 0
     np.testing.assert_allclose(got["cov"], [wide.cov().loc[a, b] for a, b in zip(got["a"], got["b"])], atol=1e-12)
+
+
+def test_histories_are_sent_to_fewer_bands_with_short_days(spark):
+    assert [pairs.band_count(n) for n in (0, 5, 1000, 60_000, 360_000, 1_000_000)] == [1, 1, 8, 12, 22, 62]
+    rng = np.random.default_rng(27)
+    wide = pd.DataFrame(rng.normal(size=(30, 15)), columns=[f"s{i:02d}" for i in range(15)]).mask(rng.random((30, 15)) < 0.3)
+    # whole days, days far apart, odd hours, dates, plain numbers
+    for index, short in ((pd.date_range("1969-12-20", periods=30), True), (pd.date_range("1900-01-01", periods=30, freq="1500D"), False),
+                         (pd.date_range("2020-01-01", periods=30, freq="7h"), False), (pd.date_range("2020-01-01", periods=30).date, False), (range(30), False)):
+        long = wide.set_axis(index).stack().rename("ret").reset_index().set_axis(["date", "symbol", "ret"], axis=1)
+        moments = pairs.pair_moments(spark.createDataFrame(long), block=2)
+        assert ("as smallint" in moments._jdf.queryExecution().toString()) == short
+        got = pairs.covariance(moments).toPandas()
+        assert len(got) == 15 * 16 // 2 and (got["a"] <= got["b"]).all()
+        np.testing.assert_allclose(got["cov"], [wide.cov().loc[a, b] for a, b in zip(got["a"], got["b"])], atol=1e-12)
+
+
+def test_many_pairs_leave_a_task_in_small_batches(spark):
+    days = pd.date_range("2020-01-01", periods=3)
+    rng = np.random.default_rng(28)
+    wide = pd.DataFrame(rng.normal(size=(3, 1100)), index=days)
+    long = wide.stack().rename("ret").reset_index().set_axis(["date", "symbol", "ret"], axis=1)
+    ship(spark)
+    got = pairs.asset_covariance(spark.createDataFrame(long), block=550)
+    got.write.format("noop").mode("overwrite").save()
+    assert got.where("n = 3 and cov is not null").count() == 1100 * 1101 // 2
