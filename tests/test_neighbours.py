@@ -71,3 +71,16 @@ def test_nothing_complete_and_empty(spark):
     pdf = data(20, 2, 1).assign(x1=np.nan)
     np.testing.assert_allclose(run(spark, pdf, ["x0", "x1"], 10), pdf["y"].fillna(pdf["y"].mean()))
     assert len(run(spark, pdf.iloc[:0], ["x0", "x1"], 10)) == 0
+
+
+def test_one_more_look_proves_all(spark, monkeypatch):
+    """Rows far from all others, too, and complete rows are not dealt more than twice."""
+    deals = []
+    dealt = neighbours._dealt
+    monkeypatch.setattr(neighbours, "_dealt", lambda *a: deals.append(a[5]) or dealt(*a))
+    pdf = data(2000, 3, 9)
+    pdf.loc[[3, 4], "x1"] = [40.0, -60.0]
+    pdf.loc[[3, 4], "y"] = np.nan
+    features = ["x0", "x1", "x2"]
+    np.testing.assert_allclose(run(spark, pdf, features, 30), exact(pdf, "y", features, 5)[0], rtol=1e-9)
+    assert len([keep for keep in deals if "_y" in keep]) <= 2
