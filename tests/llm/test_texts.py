@@ -208,3 +208,11 @@ def test_unlabelled_texts_are_accepted(odd):
     kept = langid.accepted(bare)
     assert kept.schema == bare.schema and kept.count() == odd.count() - 4
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in odd_rows()} - {1, 2, 3, 5}
+
+
+def test_words_that_come_back_are_encoded_once():
+    from tidepanel.llm.bpe import Chunks
+    made = []
+    memo = Chunks(lambda word: made.append(word) or word)
+    words = [f"w{i}" for i in range(350_000)]
+    assert all(memo(w) == w for _ in range(2) for w in words) and len(made) == len(words)

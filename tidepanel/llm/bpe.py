@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidepanel.llm.common import id_text, steps, without_gc
 
 #: Entries of each generation of the chunk caches of a worker.
-CACHE = 150_000
+CACHE = 400_000
 
 
 class PrefixBpe:
