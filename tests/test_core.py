@@ -145,3 +145,19 @@ def test_profile_keeps_few_figures_a_day(spark):
     r = p.first()
     assert (r["rows"], r["missing"], r["infinite"], r["negative"], r["zero_volume"], r["duplicate_dates"], r["first_date"], r["last_date"]) == (3, 3, 1, 1, 1, 1, 1, 2)
     assert len(p._jdf.queryExecution().analyzed().child().output().mkString(",").split(",")) <= 7
+
+
+def test_both_ranks_of_an_information_coefficient_come_from_one_stored_table(spark, monkeypatch):
+    from tidepanel.core import ordering
+    from tidepanel.operators import aggregates
+    stored = []
+    for module in (ordering, aggregates):
+        keep = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name="stage", keep=keep: stored.append(name) or keep(df, name))
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.integers(0, 40, 600).astype(float), "z": rng.normal(size=600)})
+    pdf["y"] = pdf["x"] + rng.integers(0, 30, 600)
+    sdf = spark.createDataFrame(pdf)
+    got = {r["feature"]: r["ic"] for r in aggregates.information_coefficient(sdf, ["x", "z"], "y").collect()}
+    np.testing.assert_allclose([got["x"], got["z"]], [pdf[c].rank().corr(pdf["y"].rank()) for c in ("x", "z")], rtol=1e-9)
+    assert stored.count("rank") == 1

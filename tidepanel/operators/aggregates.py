@@ -192,7 +192,9 @@ def information_coefficient(df: DataFrame, features: list[str], target: str, met
     long = df.select(target, *features).unpivot([target], features, "feature", "value").where(f"value is not null and {target} is not null")
     x, y = "value", target
     if method == "spearman":
-        long = grouped_rank(grouped_rank(long, ["feature"], "value", "_x"), ["feature"], target, "_y")
+        # both ranks are taken from one stored table, so neither waits for a stored copy with the other
+        base = materialise(long, "rank")
+        long = grouped_rank(grouped_rank(base, ["feature"], "value", "_x", base=base), ["feature"], target, "_y", base=base)
         x, y = "_x", "_y"
     return long.groupBy("feature").agg(F.coalesce(corr(x, y), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n"))
 
