@@ -275,3 +275,11 @@ def test_many_pairs_leave_a_task_in_small_batches(spark):
     got = pairs.asset_covariance(spark.createDataFrame(long), block=550)
     got.write.format("noop").mode("overwrite").save()
     assert got.where("n = 3 and cov is not null").count() == 1100 * 1101 // 2
+
+
+def test_orthogonal_factors_are_made_once(spark, sf):
+    from tidepanel.plans.cat_models import m_factor_orthogonalise
+    got = m_factor_orthogonalise(spark, sf)
+    assert got.inputFiles() and all("/factors-" in path for path in got.inputFiles())
+    pdf = got.toPandas()
+    assert len(pdf) > 100 and abs(pdf["smb_orth"].mean()) < 1e-9
