@@ -181,3 +181,13 @@ def test_slices_follow_from_their_orders_row(spark):
     three = got[got["order_id"] == 3]
     assert abs(three["slice_quantity"].sum() - 10.0) > 0 and (three["unfilled"] >= 0).all() and three["max_participation"].isna().all()
     assert three["slice_quantity"].iloc[0] == 0.75 and (got[got["order_id"] == 4]["slice_quantity"] == 0.0).all()
+
+
+def test_survivors_are_found_without_making_the_bars_twice(spark):
+    from pyspark.sql import functions as F
+    from tidepanel.operators import cleaning
+    days = spark.range(10).select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(None).cast("string"))).alias("symbol"), F.expr("timestamp'2020-01-01' + id * interval 1 day").alias("date"), F.lit(1.0).alias("close"))
+    rows = days.where("symbol is null or symbol <> 'b' or date > '2020-01-03'").withColumn("close", F.expr("if(symbol = 'c' and date > '2020-01-05', null, close)"))
+    kept = cleaning.survivorship_filter(rows, "2020-01-02", 6)
+    assert [r["symbol"] for r in kept.collect()] == ["a"] * 10 and kept.columns == rows.columns
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
