@@ -161,3 +161,40 @@ def test_both_ranks_of_an_information_coefficient_come_from_one_stored_table(spa
     got = {r["feature"]: r["ic"] for r in aggregates.information_coefficient(sdf, ["x", "z"], "y").collect()}
     np.testing.assert_allclose([got["x"], got["z"]], [pdf[c].rank().corr(pdf["y"].rank()) for c in ("x", "z")], rtol=1e-9)
     assert stored.count("rank") == 1
+
+
+def test_features_are_neither_stored_nor_made_for_nobody(spark, monkeypatch):
+    from tidepanel.core import ordering
+    from tidepanel.plans import pipelines
+    stored = []
+    for module in (ordering, pipelines):
+        keep = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name="stage", keep=keep: stored.append(name) or keep(df, name))
+    _, pdf = walk(spark, 40, list("ABCDE"))
+    pdf = pd.concat([pdf, pdf[pdf["symbol"] == "A"].assign(symbol="F"), pdf[pdf["symbol"] == "B"].iloc[30:].assign(symbol="G")])  # a tie, a short history
+    sdf = spark.createDataFrame(pdf)
+    sectors = spark.createDataFrame([(s, "x" if s in "ABF" else "y") for s in "ABCDEFG"], "symbol string, sector string")
+    wanted = ["symbol", "date", "sector", "ret", "sma_20", "momentum_20", "momentum_20_cs_rank", "momentum_20_cs_zscore", "momentum_20_sector_rank"]
+    got = pipelines.engineer(sdf, sectors)
+    plan = got.select(*wanted)._jdf.queryExecution().executedPlan().toString()
+    assert not stored and plan.count("Exchange hashpartitioning(date") == 1 and "obv" not in plan and "_gain" not in plan
+    frame = got.toPandas().sort_values(["symbol", "date"], ignore_index=True)
+    x = frame["momentum_20"]
+    np.testing.assert_allclose(x, frame.groupby("symbol")["close"].pct_change(20), rtol=1e-9)
+    day, part = x.groupby(frame["date"]), x.groupby([frame["date"], frame["sector"]])
+    np.testing.assert_allclose(frame["momentum_20_cs_rank"], day.rank(method="min") / day.transform("count"))
+    np.testing.assert_allclose(frame["momentum_20_sector_rank"], part.rank() / part.transform("count"))
+    spread = day.transform("std")
+    np.testing.assert_allclose(frame["momentum_20_cs_zscore"], ((x - day.transform("mean")) / spread).where(spread > 0, 0.0), atol=1e-9)
+    # dates beyond the limit: stored features and joined ranks, the same figures
+    monkeypatch.setattr(pipelines, "LIMIT", 3)
+    large = pipelines.engineer(sdf, sectors).toPandas().sort_values(["symbol", "date"], ignore_index=True)
+    assert stored == ["features"] and set(large.columns) == set(frame.columns)
+    pd.testing.assert_frame_equal(large[frame.columns], frame)
+
+
+def test_a_bound_beyond_the_limit_is_counted_again(hot):
+    sdf, pdf = hot
+    got = grouped_rank(sdf, ["k"], "x", "r", limit=100, most=len(pdf)).toPandas().set_index("id").sort_index()["r"]
+    want = pdf.set_index("id").groupby("k")["x"].rank() / pdf.set_index("id").groupby("k")["x"].transform("count")
+    np.testing.assert_allclose(got, want)
