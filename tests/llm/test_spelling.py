@@ -6,6 +6,7 @@ import zlib
 
 from tests.llm.conftest import odd_rows
 from tidepanel.llm import spelling
+from tidepanel.llm.common import Stage
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOW = str.maketrans(spelling.UPPER, spelling.LOWER)
@@ -84,6 +85,17 @@ def test_texts(spark, odd, none):
     assert result(spelling.variants(odd)) == brute(brute_words(odd_rows())) and result(spelling.variants(none)) == []
 
 
+def test_nothing_is_broadcast(spark):
+    # a table read from a file is taken to be as small as the file, whatever is made of it
+    words = made(random.Random(41), 300)
+    stored = Stage(spark.createDataFrame([(i, w, n) for i, (w, n) in enumerate(words.items())], "id long, word string, n long"), "words").df
+    pairs = spelling.near(stored)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    text = list(words)
+    assert sorted((text[r["id"]], text[r["other"]]) for r in pairs.collect()) == sorted((a, b) for a in words for b in words if abs(len(a) - len(b)) < 2 and one_edit(a, b))
+    assert "Broadcast" not in spelling.group(stored.select("word", "n"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql(spark, sf):
     from __spark_entry__ import oracle_sql, queries
     from tests.oracle_check import compare, connect

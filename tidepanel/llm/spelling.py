@@ -154,16 +154,21 @@ def gram_dictionary(words: DataFrame, qmax: int = QMAX, share: float = SHARE) ->
     return Dictionary([r["gram"] for r in counted.collect()], qmax)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """The right side of a join that is never broadcast: Spark goes by the compressed file of the words, of which keys and entries are many times as large."""
+    return df.hint("merge")
+
+
 def near(words: DataFrame, qmax: int = QMAX, share: float = SHARE) -> DataFrame:
     """(id, other): all ordered pairs of ``words`` (id, word) that differ by one inserted, deleted or replaced letter."""
     dictionary = gram_dictionary(words, qmax, share)
     entries = _keys(words, dictionary, False).select("key", F.col("id").alias("other"), F.col("gap").alias("met"))
     asked = _keys(words, dictionary, True)
-    met = asked.join(entries, (asked["key"] == entries["key"]) & (F.levenshtein("gap", "met", 1) == 1))
+    met = asked.join(_sorted(entries), (asked["key"] == entries["key"]) & (F.levenshtein("gap", "met", 1) == 1))
     both = F.when(F.col("shorter"), F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other")))).otherwise(F.array(F.struct("id", "other")))
     pairs = met.select(F.explode(both).alias("p")).select("p.id", "p.other").distinct()
     text = words.select("id", "word")
-    pairs = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("word").alias("other_word")), "other")
+    pairs = pairs.join(_sorted(text), "id").join(_sorted(text.select(F.col("id").alias("other"), F.col("word").alias("other_word"))), "other")
     return pairs.where(F.levenshtein("word", "other_word", 1) == 1).select("id", "other")
 
 
@@ -172,7 +177,7 @@ def _roots(links: DataFrame) -> DataFrame:
     at = Stage(links.select("id", F.col("form_id").alias("root")), "roots").df
     for _ in range(6):
         onward = at.select(F.col("id").alias("root"), F.col("root").alias("onward"))
-        moved = Stage(at.join(onward, "root", "left").select("id", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots").df
+        moved = Stage(at.join(_sorted(onward), "root", "left").select("id", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots").df
         at = moved.select("id", "root")
         if moved.where("moved").isEmpty():
             break
@@ -186,11 +191,11 @@ def group(vocabulary: DataFrame, ratio: int = 5, qmax: int = QMAX, share: float
     """
     words = Stage(vocabulary.select("word", "n").withColumn("id", F.monotonically_increasing_id()), "words").df
     other = words.select(F.col("id").alias("other"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    best = near(words, qmax, share).join(other, "other").groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("m"), "form", F.col("other").alias("form_id"))).alias("b"))
+    best = near(words, qmax, share).join(_sorted(other), "other").groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("m"), "form", F.col("other").alias("form_id"))).alias("b"))
     held = F.when(-F.col("b.m") >= ratio * F.col("n"), F.col("b"))
-    found = Stage(words.join(best, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), held["form"].alias("form"), (-held["m"]).alias("form_n"), held["form_id"].alias("form_id")), "forms").df
-    roots = _roots(found.where("form_id is not null")).join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return found.join(roots, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+    found = Stage(words.join(_sorted(best), "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), held["form"].alias("form"), (-held["m"]).alias("form_n"), held["form_id"].alias("form_id")), "forms").df
+    roots = _roots(found.where("form_id is not null")).join(_sorted(words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))), "root").select("id", "root_word")
+    return found.join(_sorted(roots), "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variants(docs: DataFrame) -> DataFrame:
