@@ -277,6 +277,33 @@ def test_many_pairs_leave_a_task_in_small_batches(spark):
     assert got.where("n = 3 and cov is not null").count() == 1100 * 1101 // 2
 
 
+def test_bands_meet_on_one_line(spark, monkeypatch):
+    for order in (0, 2, 3, 5, 7, 11, 13):
+        size, line = order * order + order + 1, pairs.plane_line(order)
+        met = [sorted(((a + s) % size, (b + s) % size)) for s in range(size) for a in line for b in line if a < b]
+        assert len(line) == order + 1 and line[0] == 0 and len(met) == len({tuple(m) for m in met}) == size * (size - 1) // 2
+    # 60,000 and 360,000 assets of 533 days: 6 and 8 copies of a history, 12 and 22 before
+    assert [pairs.plane_order(b, n) for b, n in ((1, 10**6), (2, 10**6), (8, 533_000), (12, 32 * 10**6), (22, 192 * 10**6))] == [0, 2, 5, 5, 7]
+    assert 10**9 * (pairs.plane_order(22, 10**9) + 1) <= pairs.HELD * (pairs.plane_order(22, 10**9) ** 2 + pairs.plane_order(22, 10**9) + 1)
+    monkeypatch.setattr(pairs, "TILE", 3)
+    monkeypatch.setattr(pairs, "CELLS", 150)
+    rng = np.random.default_rng(29)
+    wide = pd.DataFrame(rng.normal(size=(40, 50)), index=pd.date_range("2020-01-01", periods=40), columns=[f"s{i:02d}" for i in range(50)]).mask(rng.random((40, 50)) < 0.3)
+    weight = pd.Series(rng.random(40), wide.index)
+    long = wide.stack().rename("ret").reset_index().set_axis(["date", "symbol", "ret"], axis=1)
+    long["w"] = long["date"].map(weight)
+    unknown = long[long["symbol"] == "s07"].assign(symbol=None)
+    df = spark.createDataFrame(pd.concat([long, unknown]))
+    x, k, w = wide.fillna(0.0).to_numpy(), wide.notna().to_numpy().astype(float), weight.to_numpy()[:, None]
+    for block in (1, 20, 128):
+        sent = pairs.pair_moments(df, weight="w", block=block)
+        got = sent.toPandas()
+        assert len(got) == 50 * 51 // 2 and got["a"].notna().all()
+        a, b = got["a"].str[1:].astype(int), got["b"].str[1:].astype(int)
+        for name, want in (("n", (k * w).T @ k), ("sx", (x * w).T @ k), ("sy", (k * w).T @ x), ("sxx", (x * x * w).T @ k), ("syy", (k * w).T @ (x * x)), ("sxy", (x * w).T @ x)):
+            np.testing.assert_allclose(got[name], want[a, b], atol=1e-12)
+
+
 def test_orthogonal_factors_are_made_once(spark, sf):
     from tidepanel.plans.cat_models import m_factor_orthogonalise
     got = m_factor_orthogonalise(spark, sf)
