@@ -304,6 +304,20 @@ def test_bands_meet_on_one_line(spark, monkeypatch):
             np.testing.assert_allclose(got[name], want[a, b], atol=1e-12)
 
 
+def test_book_is_made_once_and_multiplied_alone(spark, sf):
+    from tidepanel.plans.cat_risk import agg_risk_attribution, last_book
+    from tidepanel.sources import domain as d
+    got = agg_risk_attribution(spark, sf)
+    assert got.inputFiles() and not any("lineitem" in path for path in got.inputFiles())
+    book, rets = last_book(spark, sf), d.rets(spark, sf)
+    every, inside = (pairs.marginal_risk(rets, book, inside=i).toPandas().set_index("symbol")["marginal"] for i in (False, True))
+    held = book.toPandas()["symbol"]
+    assert set(inside.index) == set(every.index) & set(held)
+    np.testing.assert_allclose(inside, every[inside.index], atol=1e-12)
+    dates = book.join(d.weights(spark, sf), ["symbol", "weight"]).groupBy("date").count().toPandas()
+    assert dates["count"].max() == len(held)
+
+
 def test_orthogonal_factors_are_made_once(spark, sf):
     from tidepanel.plans.cat_models import m_factor_orthogonalise
     got = m_factor_orthogonalise(spark, sf)

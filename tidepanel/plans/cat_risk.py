@@ -12,9 +12,10 @@ from tidepanel.plans.registry import query
 from tidepanel.sources import domain as d
 
 
-def last_book(sp, sf):
-    w = d.weights(sp, sf)
-    return w.join(w.agg(F.max("date").alias("date")), "date").select("symbol", "weight")
+def last_book(sp, sf, daily=None):
+    # sides of all months feed the last date, its counts and its rows: trades are read once, or not at all if daily bars are given
+    m = materialise(d.momentum_sides(d.bars(sp, sf) if daily is None else daily), "sides")
+    return d.book(m.join(m.agg(F.max("date").alias("date")), "date")).select("symbol", "weight")
 
 
 def model(sp, sf):
@@ -48,8 +49,11 @@ def risk_concentration(sp, sf):
 @query("agg_risk_attribution", f"""WITH {_WL}, x AS (SELECT symbol, date, ret FROM rets WHERE ret IS NOT NULL), c AS (SELECT p.symbol AS a, q.symbol AS b, covar_samp(p.ret,q.ret) AS cov FROM x p JOIN x q USING (date) GROUP BY ALL HAVING count(*)>1),
  m AS (SELECT a AS symbol, sum(cov*weight) AS mg FROM c JOIN wl ON c.b=wl.symbol GROUP BY a) SELECT symbol, R(weight) AS weight, R(mg) AS marginal, R(weight*mg) AS component, R(weight*mg/sum(weight*mg) OVER ()) AS share FROM wl JOIN m USING (symbol)""", 5)
 def agg_risk_attribution(sp, sf):
-    book = last_book(sp, sf)
-    return rk.marginal_attribution(book, pairs.marginal_risk(d.rets(sp, sf), book))
+    daily = materialise(d.bars(sp, sf).select("symbol", "date", "close"), "closes")
+    book = materialise(last_book(sp, sf, daily), "book")
+    # only the book's assets are asked for; their marginals feed both the shares and the total
+    marginal = materialise(pairs.marginal_risk(d.with_returns(daily.join(book, "symbol", "left_semi")), book, inside=True), "marginal")
+    return rk.marginal_attribution(book, marginal)
 
 
 _PR = f"{_WL}, pr AS (SELECT date, sum(weight*ret) AS ret FROM rets JOIN wl USING (symbol) WHERE ret IS NOT NULL GROUP BY date)"
